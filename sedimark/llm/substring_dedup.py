@@ -260,6 +260,14 @@ def repeated_spans(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     return answers.groupBy("block").applyInArrow(lambda t: _merge(t, width), "doc_id bigint, mark bigint, spans array<bigint>")
 
 
+def _kept(words: list[bytes], spans: list[int]) -> list[bytes]:
+    kept, at = [], 0
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        kept += words[at:a]
+        at = max(at, b)
+    return kept + words[at:]
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Remove words of repeated windows: doc_id, n_words, n_removed, kept_sha256, and kept_text on demand.
 
@@ -281,11 +289,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
                 words = (t or "").encode().split()
                 n = len(words)
                 if s:
-                    kept, at = [], 0
-                    for a, b in sorted(zip(s[::2], s[1::2], strict=True)):
-                        kept += words[at:a]
-                        at = max(at, b)
-                    words = kept + words[at:]
+                    words = _kept(words, s)
                 joined = b" ".join(words)
                 out.append((n, n - len(words), sha256(joined), joined.decode() if with_text else None))
             if out:
@@ -294,3 +298,24 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(arrays[: 4 + with_text], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
     return map_arrow(rows, apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+def rewrite(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the repeated words gone: same columns and rows.
+
+    A text that loses words becomes its kept words joined by one space; any other text stays
+    as it is, white space included. What is removed is what ``remove_repeats`` removes.
+    """
+    spans = repeated_spans(docs, width, doc_id, text).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
+    rows = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text}`")))
+    rows = rows.join(spans, rows[doc_id].cast("bigint").eqNullSafe(spans["_id"]) & (rows["_hash"] == spans["_mark"]), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            new = [t if not s else b" ".join(_kept((t or "").encode().split(), s)).decode() for t, s in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            columns = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return map_arrow(rows, apply, docs.schema)
