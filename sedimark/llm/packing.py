@@ -9,12 +9,16 @@ Neither pass shuffles a text or an id.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,15 +27,18 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, materialize, texts
 from .pretokens import CACHED_CHARS, WHITE
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 450_000
 WORD = re.compile(f"[^{WHITE}]+")
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 
 
 class WordIds:
     """Ids of whole texts under a vocabulary that drops white space (.json of tokenizers).
 
     The library encodes each distinct word (run without white space) once; nothing in such a
-    vocabulary looks past a word. Frequent words stay cached, in two generations.
+    vocabulary looks past a word. Plain words (Latin letters, then perhaps a full stop or
+    comma) go to it many at a time: as many word ends come back as it has parts, which tells
+    whose ids are whose. Frequent words stay cached, in two generations.
     """
 
     def __init__(self, path: str):
@@ -40,40 +47,56 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool) if suffix else None
+        for token, i in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def library(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as the library gives them."""
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """The same for words that match PLAIN."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        parts = np.cumsum([2 if w[-1] in ".," else 1 for w in words])
+        if parts[-1] != len(ends):
+            return self.library(words)
+        raw, cuts = ids.tobytes(), [0, *(self.width * ends[parts - 1]).tolist()]
+        return [raw[a:b] for a, b in pairwise(cuts)]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Cache the words; returns those too long to be cached."""
-        new = []
+        """Cache the words; returns those too long for that."""
+        plain, other, long = [], [], []
         for w in words:
             if (old := self.older.get(w)) is not None:
                 self.words[w] = old
+            elif len(w) > CACHED_CHARS:
+                long.append(w)
+            elif self.ends is not None and PLAIN(w):
+                plain.append(w)
             else:
-                new.append(w)
-        long: dict[str, bytes] = {}
-        for at in range(0, len(new), 5000):
-            block = new[at : at + 5000]
-            for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                (self.words if len(w) <= CACHED_CHARS else long)[w] = self.pack(e.ids)
-        return long
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids, ``width`` bytes each."""
-        words = WORD.findall(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
+                other.append(w)
+        for some, encode in ((plain, self.plain), (other, self.library)):
+            for at in range(0, len(some), 2000):
+                block = some[at : at + 2000]
+                self.words.update(zip(block, encode(block), strict=True))
+        return dict(zip(long, self.library(long), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text, ``width`` bytes each."""
+        split = [WORD.findall(t) for t in texts]
         if len(self.words) >= CACHE_ENTRIES:
             self.older, self.words = self.words, {}
-        long = self.learn(set(words).difference(self.words))
-        if long:
-            return b"".join([long[w] if w in long else self.words[w] for w in words])
-        return b"".join(map(self.words.__getitem__, words))
+        long = self.learn(set(chain.from_iterable(split)).difference(self.words))
+        every = ChainMap(long, self.words)
+        return [b"".join(map((every if long and not long.keys().isdisjoint(words) else self.words).__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -90,7 +113,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [coder.encode(t) + end for t in texts(batch)]
+            every = texts(batch)
+            rows = [ids + end for at in range(0, len(every), 256) for ids in coder.encode(every[at : at + 256])]
             lengths = [len(x) // coder.width for x in rows]
             starts = []
             for n in lengths:
@@ -110,8 +134,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, doc_i
     their own; other columns are ignored; an empty table gives no piece. The order of documents
     in the concatenation is that of the input partitions.
     """
-    import numpy as np
-
     spark = docs.sparkSession
     first = materialize(tokenised(docs, tokenizer, end_id, doc_id, text))
     totals = first.groupBy("part").agg(F.sum("n").alias("total")).orderBy("part").collect()  # a row per input partition
