@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, language, packing, quality, substring_dedup, token_counts, url_filter
+from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, language, oracles, packing, quality, substring_dedup, token_counts, url_filter
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -66,4 +66,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_embedding_dedup": oracles.EMBEDDING,
+        "op4_exact_dedup": oracles.EXACT,
+        "op6_url_filter": oracles.url(URL_RULES, LISTED_SITES),
+        "op7_substring_dedup": oracles.SUBSTRING,
+        "op9_jaccard_join": oracles.JACCARD,
+    }
