@@ -15,12 +15,13 @@ from heapq import heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from ._common import map_rows, sha256, texts
 from .pretokens import CHUNK, ChunkCache, splitter
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 BIT = [1 << i for i in range(256)]
 
 
@@ -44,6 +45,7 @@ class ByteBpe:
                     self.pairs[left << 32 | right] = rank
         self.low = [0] * ((self.size >> 8) + 1)  # a bit per rank with a bucket; all 0 between pre-tokens
         self.split = splitter(pattern)
+        self.letters = regex.compile(r" ?\p{L}+").fullmatch if r"| ?\p{L}+|" in pattern else lambda chunk: None  # such a chunk is one match
         self.cache = ChunkCache(self.chunk, CACHE_ENTRIES)
 
     def pretoken(self, data: bytes) -> list[int]:
@@ -96,6 +98,8 @@ class ByteBpe:
                 todo = (h,) if h >= 0 else ()
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
+        if self.letters(chunk):
+            return tuple(self.pretoken(chunk.encode()))
         return tuple(chain.from_iterable([self.pretoken(p.encode()) for p in self.split.findall(chunk)]))
 
     def encode(self, text: str) -> list[int]:
