@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import corpus_queries, receipt_queries
+
+_ALL = receipt_queries.QUERIES | corpus_queries.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
