@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, materialize, texts
 from .pretokens import CACHED_CHARS, WHITE
 
-CACHE_ENTRIES = 450_000
+CACHE_ENTRIES = 800_000
 WORD = re.compile(f"[^{WHITE}]+")
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 
