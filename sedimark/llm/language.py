@@ -143,6 +143,9 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     ship(docs.sparkSession)
     names, table = train(docs, text, label or declared, doc_id)
     K = len(names)
+    if not K:
+        nothing = F.lit(None).cast("string")
+        return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), nothing.alias("language"), F.lit(0.0).alias("confidence"), nothing.alias("text_language"), (F.lower(F.col(f"`{declared}`").cast("string")) if declared else nothing).alias("declared"), F.lit(False).alias("kept"))
     column = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lower(F.regexp_extract(column(declared), "^[A-Za-z]+", 0)).alias("declared"), column(host).alias("host"), F.lower(column(suffix)).alias("suffix"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
@@ -162,7 +165,7 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     whole = rated.agg(*sums(), F.lit(1)).first()
     total = sum(whole[k] for k in range(K)) or 1.0
     prior = [(whole[k] + 1.0) / (total + K) for k in range(K)]
-    languages = F.array(*[F.lit(x) for x in names]) if K else F.array().cast("array<string>")
+    languages = F.array(*[F.lit(x) for x in names])
 
     out = rated
     evidence = [F.col("ll")[k] for k in range(K)]
@@ -185,9 +188,9 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     else:
         evidence = [e + F.log(F.lit(prior[k])) for k, e in enumerate(evidence)]
 
-    out = out.withColumn("e", F.array(*evidence) if K else F.array().cast("array<double>")).withColumn("top", F.array_max("e"))
+    out = out.withColumn("e", F.array(*evidence)).withColumn("top", F.array_max("e"))
     best = lambda c: F.element_at(languages, F.array_position(c, F.array_max(c)).cast("int"))
-    letters = (F.col("pairs") > 0) & F.lit(K > 0)
+    letters = (F.col("pairs") > 0)
     sure = F.when(letters, 1 / F.aggregate(F.transform("e", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
     out = out.select("doc_id", F.when(letters, best(F.col("e"))).alias("language"), sure.alias("confidence"), F.when(letters, best(F.col("ll"))).alias("text_language"), "declared")
     fits = F.col("language").isin(accept) if accept is not None else F.col("language").isNotNull()

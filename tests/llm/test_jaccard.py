@@ -75,3 +75,12 @@ def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200), (101, 100)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100, 200: 200}
+
+
+def test_large_clusters_are_opened_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 2)
+    monkeypatch.setattr(jaccard, "FIRST", 1)
+    monkeypatch.setattr(jaccard, "ROOM", 3)
+    rows = rows_of(4)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == brute(rows)
