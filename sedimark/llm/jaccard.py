@@ -4,13 +4,15 @@ The set of a document is its distinct shingles of ``words`` words (A-Z lower-cas
 hashes. The join is exact: no link between two different sets is lost.
 
 1. Equal sets collapse into one representative.
-2. Similar sets come together by three min-hashes; what is verified there forms groups. A
-   group is a block of at most ``GROUP`` sets out of one such cluster, alone ones included.
-3. Each group's union of prefix tokens is stored as rows (token, group): the matrix. A set's
-   prefix is as many of its tokens, rarest first, as a similar set must meet at least one of.
-   The order comes from a count sketch of fixed size over all documents; any order is exact.
-4. A set queries the groups of other, larger clusters in which it meets a prefix token and
-   whose sizes allow the threshold. Only these are opened, and their sets compared in full.
+2. Similar sets come together by three min-hashes; what is verified there forms clusters,
+   one set alone being one too. A group is a block of at most ``GROUP`` sets of a cluster.
+3. Each cluster's union of prefix tokens is stored as rows (token, cluster): the matrix. A
+   set's prefix is as many of its tokens, rarest first, as a similar set must meet at least
+   one of. The order comes from a sketch of fixed size that counts, over all documents, the
+   tokens that repeat within a block of them; any order is exact.
+4. A set queries the larger clusters in which it meets a prefix token and whose sizes allow
+   the threshold. Only these are opened: one of a single group in full; of a larger one first
+   ``FIRST`` sets, and all its groups if none of them links.
 5. Links give the components. Sets already in one cluster need no comparison with each other,
    so a group of copies of any size costs rows in proportion to it, never pairs.
 
@@ -20,7 +22,9 @@ to each, the visitors are dealt out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +34,60 @@ from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize, ship
 from .graph import components
-from .substring_dedup import BASES, _gaps, _mix, _pack, _places, _unpack, rolling, word_hashes
+from .substring_dedup import BASES, _gaps, _mix, _pack, _places, _unpack, word_hashes
 from .url_filter import _masks, bloom_blocks
 
 GROUP = 128
+FIRST = 16
 #: Visitors of a room on average.
 ROOM = 500
-#: Clusters that a set is compared with while groups form. The join stays exact beyond it.
+#: Clusters that a set is compared with while clusters form. The join stays exact beyond it.
 LEADERS = 24
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SKETCH_PARTS = 16
+#: Tokens in which repeats are looked for at a time.
+BLOCK_TOKENS = 4_000_000
 #: Blocks of the Bloom filter in front of a text exchange at most: 2.6 MB.
 BLOOM_BLOCKS = 1 << 16
 REDUCER_TOKENS = 1_000_000
 LEAST_REDUCERS = 64
 HASHES = 3
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; a text of fewer words has its whole sequence as one."""
-    split = (text or "").encode().lower().split()
-    n = len(split)
-    if not n:
-        return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(word_hashes().__getitem__, split), np.uint64, n)
-    if n < words:
-        return rolling(hashed, n, BASES[0]) ^ np.uint64(n)
-    return np.unique(rolling(hashed, words, BASES[0]))
+PIECE_WORDS = 500_000
+
+
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct shingle hashes; a text of fewer words has its whole sequence as one."""
+    held: list[list[bytes]] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").encode().lower().split())
+        size += len(held[-1])
+        if size >= PIECE_WORDS:
+            yield from _sets(held, words)
+            held, size = [], 0
+    yield from _sets(held, words)
+
+
+def _sets(split: list[list[bytes]], words: int) -> Iterator[np.ndarray]:
+    lengths = [len(w) for w in split]
+    base = np.uint64(BASES[0])
+    hashed = np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(split)), np.uint64, sum(lengths))
+    rolled = np.zeros(max(0, len(hashed) - words + 1), np.uint64)
+    for k in range(words):
+        rolled = rolled * base + hashed[k : len(hashed) - words + 1 + k]
+    rolled = _mix(rolled)
+    at = 0
+    for n in lengths:
+        if n >= words:
+            yield np.unique(rolled[at : at + n - words + 1])
+        elif n:
+            whole = np.uint64(n)
+            for h in hashed[at : at + n]:
+                whole = whole * base + h
+            yield _mix(np.array([whole], np.uint64))
+        else:
+            yield np.zeros(0, np.uint64)
+        at += n
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -79,44 +110,83 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    part = lambda: TaskContext.get().partitionId()
+
+    def repeats(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.sort(np.concatenate(sets))
+        ends = np.flatnonzero(np.append(tokens[1:] != tokens[:-1], True))
+        many = np.diff(ends, prepend=-1)
+        cells, back = np.unique(tokens[ends[many > 1]] & np.uint64(SKETCH - 1), return_inverse=True)
+        counts = np.bincount(back, many[many > 1], len(cells)).astype(np.int64) if len(cells) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(cells, np.arange(SKETCH_PARTS + 1).astype(np.uint64) * np.uint64(SKETCH // SKETCH_PARTS))
+        rows = []
+        for k in range(SKETCH_PARTS):
+            own = slice(cuts[k], cuts[k + 1])
+            places = cells[own].astype(np.int64) - k * (SKETCH // SKETCH_PARTS)
+            rows.append((1, k, part(), _sparse(places, counts[own]), *[0] * HASHES))
+        return batch_of(rows)
 
-        sketch = np.zeros(SKETCH, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = [np.uint64(0xA24BAED4963EE407 * (2 * k + 1) & (1 << 64) - 1) for k in range(HASHES)]
+        held: list[np.ndarray] = []
+        seen: set[bytes] = set()
+        size = 0
         for batch in batches:
-            rows, sets = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = shingle_set(text, words)
-                sets.append(s)
-                least = [int(_mix(s ^ salt).min().view(np.int64)) for salt in salts] if len(s) else [0] * HASHES
-                rows.append((0, doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *least))
-            if rows:
-                sketch += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                yield batch_of(rows)
-        part = TaskContext.get().partitionId()
-        yield batch_of([(1, k, part, _pack(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), *[0] * HASHES) for k, x in enumerate(np.split(sketch, SKETCH_PARTS))])
+            if not batch.num_rows:
+                continue
+            sets = list(shingle_sets(batch.column("text").to_pylist(), words))
+            lengths = np.array([len(s) for s in sets])
+            full = np.flatnonzero(lengths)
+            least = np.zeros((HASHES, len(sets)), np.int64)
+            if len(full):
+                every, starts = np.concatenate(sets), (np.cumsum(lengths) - lengths)[full]
+                for k, salt in enumerate(salts):
+                    least[k, full] = np.minimum.reduceat(_mix(every ^ salt), starts).view(np.int64)
+            prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array(lengths.astype(np.int64)), pa.array(prints, pa.binary()), *[pa.array(x) for x in least]], names=names)
+            for p, s in zip(prints, sets, strict=True):
+                if len(s) and p not in seen:
+                    seen.add(p)
+                    held.append(s)
+                    size += len(s)
+                    if size >= BLOCK_TOKENS:
+                        yield repeats(held)
+                        held, seen, size = [], set(), 0
+        if held:
+            yield repeats(held)
 
     return map_arrow(docs, run, ", ".join(["kind int", "doc_id bigint", "n bigint", "print binary", *[f"m{k} bigint" for k in range(HASHES)]]))
 
 
+def _sparse(places: np.ndarray, counts: np.ndarray) -> bytes:
+    gaps = _gaps(places)
+    return len(gaps).to_bytes(8, "little") + gaps + _pack(counts.astype(np.uint32))
+
+
+def _read_sparse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = int.from_bytes(data[:8], "little") + 8
+    return _places(data[8:cut]), _unpack(data[cut:], np.uint32)
+
+
 def _add(key: tuple, rows: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH // SKETCH_PARTS, np.int64)
     for x in rows.column("print").to_pylist():
-        total += np.ascontiguousarray(_unpack(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "print": pa.array([_pack(total.view(np.uint8).reshape(-1, 4).T)], pa.binary())})
+        places, counts = _read_sparse(x)
+        total[places] += counts
+    places = np.flatnonzero(total)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "print": pa.array([_sparse(places, np.minimum(total[places], 0xFFFFFFFF))], pa.binary())})
 
 
 def _levels(profile: DataFrame) -> bytes:
-    """How frequent the tokens of each sketch cell are, as a power of two; SKETCH bytes."""
+    """How often the tokens of each sketch cell repeat, as a power of two; SKETCH bytes."""
     parts = profile.where("kind = 1").select(F.col("doc_id").alias("part"), (F.col("n") % 64).alias("some"), "print")
     once = parts.groupBy("part", "some").applyInArrow(_add, "part bigint, print binary")
-    rows = once.groupBy("part").applyInArrow(_add, "part bigint, print binary").collect()  # SKETCH_PARTS rows of fixed size
-    counts = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint32)
+    rows = once.groupBy("part").applyInArrow(_add, "part bigint, print binary").collect()  # SKETCH_PARTS rows of bounded size
+    levels = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
     for r in rows:
-        counts[r["part"]] = np.ascontiguousarray(_unpack(r["print"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return np.ceil(np.log2(counts.ravel().astype(np.float64) + 1)).astype(np.uint8).tobytes()
+        places, counts = _read_sparse(r["print"])
+        levels[r["part"], places] = np.ceil(np.log2(counts + 1.0))
+    return levels.tobytes()
 
 
 def _only(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -140,8 +210,9 @@ def _compare(rows: pa.Table, words: int, percent: int, among: bool) -> pa.Table:
     A visitor that meets a cluster found here links with one of its members at most.
     """
     residents, visitors = [], []
-    for doc_id, home, text in sorted(zip(rows.column("doc_id").to_pylist(), rows.column("resident").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda r: r[0]):
-        (residents if home else visitors).append((doc_id, shingle_set(text, words)))
+    every = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("resident").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda r: r[0])
+    for (doc_id, home, _), s in zip(every, shingle_sets([t for _, _, t in every], words), strict=True):
+        (residents if home else visitors).append((doc_id, s))
     links: list[tuple[int, int]] = []
     if among:
         leaders = residents[:]
@@ -185,24 +256,24 @@ def _prefixes(docs: DataFrame, levels: bytes, words: int, percent: int) -> DataF
             if not batch.num_rows:
                 continue
             out = []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column("text").to_pylist(), words):
                 n = len(s)
                 most = n - (percent * n + 99) // 100 + 1
-                out.append(s[np.lexsort((s, table[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:most]].tobytes())
+                order = np.argsort(table[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")  # by level, then by hash
+                out.append(s[order[:most]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
 
     return map_arrow(docs, run, "doc_id bigint, tokens binary")
 
 
 def _columns(rows: DataFrame, reducers: int) -> DataFrame:
-    """Blocks of sets (doc_id, cluster, weight, grp, n, tokens) as one row of the matrix per reducer."""
+    """Blocks of sets (doc_id, cluster, weight, n, tokens) as one row of the matrix per reducer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "cluster", "weight", "grp", "n")]).astype(np.int64)
+            head = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "cluster", "weight", "n")]).astype(np.int64)
             tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
             owner = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
             every = np.concatenate(tokens)
@@ -219,47 +290,40 @@ def _columns(rows: DataFrame, reducers: int) -> DataFrame:
 
 
 def _query(group: pa.Table, percent: int) -> pa.Table:
-    """One reducer: (set, group) that share a prefix token and may hold similar sets."""
+    """One reducer: (set, cluster) that share a prefix token and may hold similar sets."""
     heads, owners, tokens, base = [], [], [], 0
     for d, c, t in zip(group.column("docs").to_pylist(), group.column("counts").to_pylist(), group.column("tokens").to_pylist(), strict=True):
-        head = _unpack(d, np.int64).reshape(5, -1)
+        head = _unpack(d, np.int64).reshape(4, -1)
         heads.append(head)
         owners.append(np.repeat(np.arange(base, base + head.shape[1]), _unpack(c, np.uint32)))
         tokens.append(np.frombuffer(t, np.uint64))
         base += head.shape[1]
-    ids, cluster, weight, grp, size = np.concatenate(heads, axis=1)
+    ids, cluster, weight, size = np.concatenate(heads, axis=1)
     owner, token = np.concatenate(owners), np.concatenate(tokens)
     order = np.lexsort((cluster[owner], token))
     owner, token = owner[order], token[order]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
     ends = np.append(starts[1:], len(token))
+    mixed = cluster[owner[starts]] != cluster[owner[ends - 1]]
     found = [np.zeros((2, 0), np.int64)]
     held = 0
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if len(token) else ():
-        if cluster[owner[a]] == cluster[owner[b - 1]]:
-            continue
+    for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
         mine = owner[a:b]
-        groups, back = np.unique(grp[mine], return_inverse=True)
-        few, most = np.full(len(groups), np.iinfo(np.int64).max), np.zeros(len(groups), np.int64)
-        np.minimum.at(few, back, size[mine])
-        np.maximum.at(most, back, size[mine])
-        head = np.zeros(len(groups), np.int64)
-        head[back] = mine
+        c = cluster[mine]  # ascending
+        head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        few, most = np.minimum.reduceat(size[mine], head), np.maximum.reduceat(size[mine], head)
+        names, heavy = c[head], weight[mine][head]
         for at in range(0, len(mine), 1024):
             x = mine[at : at + 1024]
-            w, c = weight[x][:, None], cluster[x][:, None]
-            after = (weight[head] > w) | (weight[head] == w) & (cluster[head] > c)
-            n = size[x][:, None]
-            q, g = np.nonzero(after & (100 * most >= percent * n) & (percent * few <= 100 * n))
+            w, own, n = weight[x][:, None], cluster[x][:, None], size[x][:, None]
+            q, g = np.nonzero(((heavy > w) | (heavy == w) & (names > own)) & (100 * most >= percent * n) & (percent * few <= 100 * n))
             if len(q):
-                found.append(np.stack([ids[x[q]], groups[g]]))
+                found.append(np.stack([ids[x[q]], names[g]]))
                 held += len(q)
         if held > 2_000_000:
             found, held = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.table({"doc_id": pa.array(pairs[0], pa.int64()), "place": pa.array(pairs[1], pa.int64())})
+    return pa.table({"doc_id": pa.array(pairs[0], pa.int64()), "cluster": pa.array(pairs[1], pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,20 +350,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
 
     labels = sets.select("doc_id", "n").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"))
     weights = labels.groupBy("cluster").agg(F.count("*").alias("weight"))
-    labels = labels.join(weights, "cluster").withColumn("grp", F.xxhash64("cluster", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("weight") / GROUP))))
-    labels = materialize(labels)
+    labels = materialize(labels.join(weights, "cluster"))
     tokens = labels.agg(F.sum("n")).first()[0] or 0
     reducers = max(LEAST_REDUCERS, -(-tokens * (100 - percent) // 100 // REDUCER_TOKENS))
-    prefixes = _prefixes(docs, _levels(profile), words, percent).join(labels, "doc_id").select("doc_id", "cluster", "weight", "grp", "n", "tokens")
-    asked = _columns(prefixes, reducers).groupBy("r").applyInArrow(lambda t: _query(t, percent), "doc_id bigint, place bigint")
+    prefixes = _prefixes(docs, _levels(profile), words, percent).join(labels, "doc_id").select("doc_id", "cluster", "weight", "n", "tokens")
+    asked = _columns(prefixes, reducers).groupBy("r").applyInArrow(lambda t: _query(t, percent), "doc_id bigint, cluster bigint")
     queries = materialize(asked.distinct())
-    opened = queries.select("place").distinct()
-    homes = labels.select(F.col("grp").alias("place"), "doc_id").join(opened, "place")
-    far = _meet(docs, queries, homes, words, percent, False)
-
-    # a cluster's links stand for it: its nodes with their least one
-    whole = materialize(clusters.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(far))
-    final = components(whole).withColumnRenamed("node", "first_id")
+    whole = clusters.select(F.col("node").alias("u"), F.col("component").alias("v"))  # a cluster's links stand for it: its sets with the least one
+
+    opened = labels.join(queries.select("cluster").distinct(), "cluster").select("cluster", "doc_id", "weight")
+    some = opened.where(F.col("weight") > GROUP).groupBy("cluster", F.pmod(F.xxhash64("doc_id"), F.lit(FIRST))).agg(F.min("doc_id").alias("doc_id"))
+    homes = opened.where(F.col("weight") <= GROUP).select("cluster", "doc_id").unionByName(some.select("cluster", "doc_id"))
+    first = materialize(_meet(docs, queries.select(F.col("cluster").alias("place"), "doc_id"), homes.withColumnRenamed("cluster", "place"), words, percent, False))
+    whole = whole.unionByName(first)
+    large = opened.where(F.col("weight") > GROUP).select("cluster", "weight").distinct()
+    if not large.isEmpty():  # sets that no one of the first links with meet the whole cluster, unless they got there otherwise
+        parts = components(whole)
+        left = queries.join(large, "cluster").join(parts.select(F.col("node").alias("cluster"), F.col("component").alias("there")), "cluster", "left").join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("here")), "doc_id", "left")
+        left = left.where(~F.coalesce("here", "doc_id").eqNullSafe(F.coalesce("there", "cluster"))).select("doc_id", "cluster", "weight")
+        grp = lambda k: F.xxhash64("cluster", k.cast("bigint"))
+        blocks = F.ceil(F.col("weight") / GROUP)
+        visits = materialize(left.select("doc_id", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("k")).select("doc_id", grp(F.col("k")).alias("place")))
+        members = opened.where(F.col("weight") > GROUP).select(grp(F.pmod(F.xxhash64("doc_id"), blocks)).alias("place"), "doc_id").join(visits.select("place").distinct(), "place")
+        whole = whole.unionByName(_meet(docs, visits, members, words, percent, False))
+    final = components(materialize(whole)).withColumnRenamed("node", "first_id")
     firsts = full.groupBy("print").agg(F.min("doc_id").alias("first_id")).join(final, "first_id", "left").select(F.col("print").alias("key"), F.coalesce("component", "first_id").alias("component_id"))
     linked = full.join(firsts, full["print"] == firsts["key"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = every.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
