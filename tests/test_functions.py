@@ -45,3 +45,22 @@ def test_cash(spark):
 def test_boxes(spark):
     lo, hi = numbers.box_1000(F.lit(399.9), F.lit(0.0), F.lit(400.0))
     assert tuple(spark.range(1).select(lo, hi).first()) == (999, 1000)
+
+
+def test_words(spark):
+    from sedimark.functions import words
+
+    keys = F.array(*[F.lit(x) for x in ("tims", "depanneur", "cafe")])
+    assert column(spark, ["cheztims cafe"], lambda c: words.unglue(F.split(c, " "), keys)) == [["chez", "tims", "cafe"]]
+    assert column(spark, ["depan neur cafe", "de panneur"], lambda c: words.glue(F.split(c, " "), keys)) == [["depanneur", "cafe"], ["de", "panneur"]]
+    got = column(spark, ["ab  cd ab"], lambda c: words.word_boxes(c, F.lit(0.0), F.lit(90.0)))[0]
+    assert [(r.text, r.x, r.w) for r in got] == [("ab", 0.0, 20.0), ("cd", 40.0, 20.0), ("ab", 70.0, 20.0)]
+    df = spark.createDataFrame([("chez A &W", "a & w"), ("BA&W", "a & w")], "t string, p string").select(F.expr("true") & F.regexp_like(F.lower("t"), words.ampersand_pattern(F.col("p"))))
+    assert [r[0] for r in df.collect()] == [True, False]
+
+
+def test_filled_fields(spark):
+    from sedimark.operators import stages
+
+    df = spark.createDataFrame([("a", "", [1], None)], "a string, b string, c array<int>, d int")
+    assert stages.filled_fields(df, ["a", "b", "c", "d"]).select("filled", "fields").first()[:] == (2, 4)
