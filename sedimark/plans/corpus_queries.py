@@ -133,7 +133,7 @@ def argmax_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", best.alias("b")).select("vec_id", F.col("b.ix").cast("bigint").alias("best"), F.round("b.p", 5).alias("p"))
 
 
-ARGMAX = "select vec_id, list_position(e, list_max(e)) - 1 as best, round(1 / list_sum([exp(x - list_max(e)) for x in e]), 5) as p from (select vec_id, cast(embedding as double[]) e from embeddings)"
+ARGMAX = "select vec_id, cast(list_position(e, list_max(e)) - 1 as bigint) as best, round(1 / list_sum([exp(x - list_max(e)) for x in e]), 5) as p from (select vec_id, cast(embedding as double[]) e from embeddings)"
 
 
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

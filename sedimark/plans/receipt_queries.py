@@ -111,7 +111,7 @@ def total_candidates_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("k", F.posexplode(kept).alias("rank", "c")).select("k", F.col("rank").cast("bigint").alias("rank"), F.round(F.col("c.value") * 100).cast("bigint").alias("cents"), F.round("c.conf", 6).alias("conf"))
 
 
-TOP4 = f"""with {REC} select k, 0 as rank, case when k % 5 = 1 then misread else total end as cents, cast(0.7 as double) as conf from hd
+TOP4 = f"""with {REC} select k, cast(0 as bigint) as rank, case when k % 5 = 1 then misread else total end as cents, cast(0.7 as double) as conf from hd
 union all select k, 1, total, cast(0.56 as double) from hd where k % 5 = 1 and abs(misread - total) > 2"""
 
 
@@ -295,7 +295,7 @@ def evidence_two_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVIDENCE = f"""with {REC}, e as (select k, (case when k % 5 = 3 then 1 else 0 end) + (case when k % 5 <> 4 then 1 else 0 end) + (case when k % 4 = 3 then 1 else 0 end) as kinds,
-least(case when k % 5 = 3 then lines + 6 end, case when k % 5 <> 4 then lines + 5 end, case when k % 4 = 3 then lines + 8 end) as first_line from hd) select k, kinds, first_line from e where kinds >= 2"""
+least(case when k % 5 = 3 then lines + 6 end, case when k % 5 <> 4 then lines + 5 end, case when k % 4 = 3 then lines + 8 end) as first_line from hd) select k, cast(kinds as bigint) as kinds, first_line from e where kinds >= 2"""
 
 
 def null_field_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,9 +334,9 @@ QUERIES = {
     "card_reader": (card_reader, f"with {REC} select k, lower((['VISA', 'MASTERCARD', 'INTERAC'])[k % 4 + 1]) as card, cast(0.9 as double) as card_conf from hd where k % 4 < 3"),
     "merchant_reader": (merchant_reader, f"with {REC} select k, {_shop()} as merchant, cast(0.7 as double) as merchant_conf from hd"),
     "total_candidates_top4": (total_candidates_top4, TOP4),
-    "tax_recompute_violations": (tax_recompute_violations, f"with {REC} select 'tps' as kind, count(*) as taxes, 0 as violations from hd union all select 'tvq', count(*), 0 from hd where k % 5 <> 4"),
+    "tax_recompute_violations": (tax_recompute_violations, f"with {REC} select 'tps' as kind, count(*) as taxes, cast(0 as bigint) as violations from hd union all select 'tvq', count(*), 0 from hd where k % 5 <> 4"),
     "total_closure_violations": (total_closure_violations, CLOSURE),
-    "line_count_violations": (line_count_violations, f"with {REC} select lines, count(*) as receipts, 0 as violations from tot group by 1"),
+    "line_count_violations": (line_count_violations, f"with {REC} select lines, count(*) as receipts, cast(0 as bigint) as violations from tot group by 1"),
     "cash_rounding_change": (cash_rounding_change, CASH),
     "line_grouping": (line_grouping, GROUPED),
     "read_quality": (read_quality, QUALITY),
