@@ -349,3 +349,21 @@ QUERIES = {
     "null_field_list": (null_field_list, NULLS),
     "split_blocks": (split_blocks, SPLITS),
 }
+
+
+def collected_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole invoices of the printed receipts, with the totals labelled word by word."""
+    from ..operators import categories, collect
+
+    t = receipts.lines(spark, sf_dir)
+    label = F.when(F.col("text").startswith("TOTAL"), "TOTAL").when(F.col("text").startswith("SOUS-TOTAL"), "SUBTOTAL").when(F.col("text").rlike("^(T\\.P\\.S|TVQ)"), "TAX").otherwise("O")
+    w = t.select("k", F.col("line").alias("ix"), "line", "text", label.alias("label"), F.lit(False).alias("begin"), F.lit(0.9).alias("score"), F.lit(1.0).alias("conf"))
+    c = collect.collect(w, t, categories.keywords(spark), F.expr(AS_OF))
+    return c.select("k", "merchant", "date", "currency", "card", F.col("total.value").alias("total"), F.col("subtotal.value").alias("subtotal"), F.size("taxes").cast("bigint").alias("n_taxes"), F.size("articles").cast("bigint").alias("n_articles"), "category", "coherence", F.array_join("missing", ",").alias("missing"))
+
+
+COLLECTED = f"""with {SOLVED},
+f as (select b.k, {_shop()} as merchant, hd.dt as date, 'CAD' as currency, lower((['VISA', 'MASTERCARD', 'INTERAC'])[b.k % 4 + 1]) as card, v as total, s as subtotal, n_taxes, lines as n_articles,
+  case segment when 'AUTOMOBILE' then 'transport' when 'BUILDING' then 'maison' when 'FURNITURE' then 'maison' when 'HOUSEHOLD' then 'epicerie' when 'MACHINERY' then 'restaurant' end as category, coherence from b join hd using (k) where r = 1)
+select *, concat_ws(',', case when subtotal is null then 'subtotal' end, case when total is null then 'total' end, case when card is null then 'card' end, case when n_taxes = 0 then 'taxes' end) as missing from f"""
+QUERIES["collected_receipts"] = (collected_receipts, COLLECTED)
