@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
+import sys
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 
 def _setting(spark: SparkSession, key: str) -> str | None:
     return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
@@ -53,24 +56,39 @@ def purge(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application; map functions are imported there by name."""
-    context = spark.sparkContext
-    if getattr(context, "_sedimark_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="sedimark-")) / "sedimark.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for f in package.rglob("*.py"):
-            out.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._sedimark_shipped = True
+#: What operators keep in a Python worker between tasks: name to module and cached function.
+CACHES = {"words": ("substring_dedup", "word_hashes"), "counts": ("token_counts", "counter"), "bpe": ("byte_bpe", "codec"), "ids": ("packing", "word_ids")}
+
+
+def claim(keep: str | None) -> None:
+    """In a worker: drop what other operators have cached there, so that the caches of a pipeline don't add up."""
+    dropped = False
+    for name, (module, function) in CACHES.items():
+        cached = getattr(sys.modules.get(f"{__package__}.{module}"), function, None)
+        if name != keep and cached is not None and cached.cache_info().currsize:
+            cached.cache_clear()
+            dropped = True
+    if dropped:
+        trim()
+
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, cache: str | None = None) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors. cache: the one of CACHES that ``run`` uses."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(cache)
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def total_bytes(df: DataFrame, text: str) -> int:
@@ -80,7 +98,7 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def map_rows(df: DataFrame, columns: dict[str, str], work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, columns: dict[str, str], work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, cache: str | None = None) -> DataFrame:
     """``mapInArrow`` over the chosen columns under new names; batches without rows are skipped.
 
     columns: new name to old name. Renaming first keeps clashes with other columns out.
@@ -92,7 +110,10 @@ def map_rows(df: DataFrame, columns: dict[str, str], work: Callable[[pa.RecordBa
             if batch.num_rows:
                 yield work(batch)
 
-    return map_arrow(df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()]), run, schema)
+    named = {new: F.col(f"`{old}`") for new, old in columns.items()}
+    if "doc_id" in named:
+        named["doc_id"] = named["doc_id"].cast("bigint")
+    return map_arrow(df.select(*[c.alias(new) for new, c in named.items()]), run, schema, cache)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, ship
+from ._common import claim, map_arrow, materialize, ship
 from .graph import components
 from .substring_dedup import BASES, _gaps, _mix, _pack, _places, _unpack, word_hashes
 from .url_filter import _masks, bloom_blocks
@@ -46,7 +46,7 @@ LEADERS = 24
 SKETCH = 1 << 22
 SKETCH_PARTS = 16
 #: Tokens in which repeats are looked for at a time.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 3_000_000
 #: Blocks of the Bloom filter in front of a text exchange at most: 2.6 MB.
 BLOOM_BLOCKS = 1 << 16
 REDUCER_TOKENS = 1_000_000
@@ -155,7 +155,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield repeats(held)
 
-    return map_arrow(docs, run, ", ".join(["kind int", "doc_id bigint", "n bigint", "print binary", *[f"m{k} bigint" for k in range(HASHES)]]))
+    return map_arrow(docs, run, ", ".join(["kind int", "doc_id bigint", "n bigint", "print binary", *[f"m{k} bigint" for k in range(HASHES)]]), "words")
 
 
 def _sparse(places: np.ndarray, counts: np.ndarray) -> bytes:
@@ -209,6 +209,7 @@ def _compare(rows: pa.Table, words: int, percent: int, among: bool) -> pa.Table:
 
     A visitor that meets a cluster found here links with one of its members at most.
     """
+    claim("words")
     residents, visitors = [], []
     every = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("resident").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda r: r[0])
     for (doc_id, home, _), s in zip(every, shingle_sets([t for _, _, t in every], words), strict=True):
@@ -244,7 +245,7 @@ def _meet(docs: DataFrame, visits: DataFrame, homes: DataFrame, words: int, perc
     return _only(docs, needed).groupBy("place", "room").applyInArrow(lambda t: _compare(t, words, percent, among), "u bigint, v bigint")
 
 
-_ASK = pa.schema([("r", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+_ASK = pa.schema([("r", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("rest", pa.binary())])
 
 
 def _prefixes(docs: DataFrame, levels: bytes, words: int, percent: int) -> DataFrame:
@@ -263,7 +264,7 @@ def _prefixes(docs: DataFrame, levels: bytes, words: int, percent: int) -> DataF
                 out.append(s[order[:most]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
 
-    return map_arrow(docs, run, "doc_id bigint, tokens binary")
+    return map_arrow(docs, run, "doc_id bigint, tokens binary", "words")
 
 
 def _columns(rows: DataFrame, reducers: int) -> DataFrame:
@@ -277,6 +278,9 @@ def _columns(rows: DataFrame, reducers: int) -> DataFrame:
             tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
             owner = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
             every = np.concatenate(tokens)
+            n = head[3][owner]
+            place = np.concatenate([np.arange(len(x)) for x in tokens])
+            rest = (-(-(n - place) * 255 // n)).astype(np.uint8)  # share of the set from this token on, rounded up
             to = (_mix(every) % np.uint64(reducers)).astype(np.int64)
             order = np.lexsort((owner, to))
             cuts = np.searchsorted(to[order], np.arange(reducers + 1))
@@ -284,24 +288,32 @@ def _columns(rows: DataFrame, reducers: int) -> DataFrame:
                 own = order[cuts[r] : cuts[r + 1]]
                 if len(own):
                     who, counts = np.unique(owner[own], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_pack(head[:, who])], pa.binary()), pa.array([_pack(counts.astype(np.uint32))], pa.binary()), pa.array([every[own].tobytes()], pa.binary())], schema=_ASK)
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_pack(head[:, who])], pa.binary()), pa.array([_pack(counts.astype(np.uint32))], pa.binary()), pa.array([every[own].tobytes()], pa.binary()), pa.array([rest[own].tobytes()], pa.binary())], schema=_ASK)
 
-    return map_arrow(rows, run, "r int, docs binary, counts binary, tokens binary")
+    return map_arrow(rows, run, "r int, docs binary, counts binary, tokens binary, rest binary", "words")
 
 
 def _query(group: pa.Table, percent: int) -> pa.Table:
-    """One reducer: (set, cluster) that share a prefix token and may hold similar sets."""
-    heads, owners, tokens, base = [], [], [], 0
-    for d, c, t in zip(group.column("docs").to_pylist(), group.column("counts").to_pylist(), group.column("tokens").to_pylist(), strict=True):
+    """One reducer: (set, cluster) that share a prefix token and may hold similar sets.
+
+    Sets of a and b tokens need an overlap of percent / (100 + percent) * (a + b). If the token is the
+    first that they share, the overlap is at most what either has from it on; so each can only
+    go with sets up to a size ``reach``. A pair is found by its first common token at the latest.
+    """
+    heads, owners, tokens, rests, base = [], [], [], [], 0
+    for d, c, t, r in zip(*[group.column(x).to_pylist() for x in ("docs", "counts", "tokens", "rest")], strict=True):
         head = _unpack(d, np.int64).reshape(4, -1)
         heads.append(head)
         owners.append(np.repeat(np.arange(base, base + head.shape[1]), _unpack(c, np.uint32)))
         tokens.append(np.frombuffer(t, np.uint64))
+        rests.append(np.frombuffer(r, np.uint8))
         base += head.shape[1]
     ids, cluster, weight, size = np.concatenate(heads, axis=1)
     owner, token = np.concatenate(owners), np.concatenate(tokens)
+    left = -(-np.concatenate(rests).astype(np.int64) * size[owner] // 255)
+    reach = left * (100 + percent) // percent - size[owner]
     order = np.lexsort((cluster[owner], token))
-    owner, token = owner[order], token[order]
+    owner, token, reach = owner[order], token[order], reach[order]
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
     ends = np.append(starts[1:], len(token))
     mixed = cluster[owner[starts]] != cluster[owner[ends - 1]]
@@ -311,12 +323,13 @@ def _query(group: pa.Table, percent: int) -> pa.Table:
         mine = owner[a:b]
         c = cluster[mine]  # ascending
         head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        few, most = np.minimum.reduceat(size[mine], head), np.maximum.reduceat(size[mine], head)
+        far = reach[a:b]
+        few, most = np.minimum.reduceat(size[mine], head), np.maximum.reduceat(far, head)
         names, heavy = c[head], weight[mine][head]
         for at in range(0, len(mine), 1024):
             x = mine[at : at + 1024]
             w, own, n = weight[x][:, None], cluster[x][:, None], size[x][:, None]
-            q, g = np.nonzero(((heavy > w) | (heavy == w) & (names > own)) & (100 * most >= percent * n) & (percent * few <= 100 * n))
+            q, g = np.nonzero(((heavy > w) | (heavy == w) & (names > own)) & (n <= most) & (few <= far[at : at + 1024][:, None]))
             if len(q):
                 found.append(np.stack([ids[x[q]], names[g]]))
                 held += len(q)
