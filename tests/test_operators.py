@@ -125,3 +125,13 @@ def test_files(spark, tmp_path):
         writers.invoices(rows, str(tmp_path / "inv"))
     reply = spark.range(1).select(writers.error_reply(F.lit("secret"), F.lit("inner")).alias("r")).first().r
     assert (reply.status, reply.message) == (500, "internal error")
+
+
+def test_category_evidence(spark):
+    names = spark.createDataFrame([(1, "Chez A & W Ltée"), (2, "BA&W")], "k int, name string")
+    assert [(r.k, r.phrase) for r in categories.ampersand_hits(names, "k", "name", ["a&w", "b & b"]).collect()] == [(1, "a&w")]
+    lines = spark.createDataFrame([(1, "FRUITS ET LÉGUMES"), (1, "1,5 kg @ 4,39"), (2, "Boulangerie"), (3, "VIANDE"), (3, "Surgelés")], "k int, text string")
+    assert {r.k: r.aisles for r in categories.aisle_evidence(lines).collect()} == {1: True, 2: False, 3: True}
+    df = spark.createDataFrame([(["cafe"], ["bar"], True), ([], ["bar"], True), (None, None, True), ([], [], False)], "n array<string>, s array<string>, a boolean")
+    got = [r[0] for r in df.select(categories.brand_or_site(F.col("n"), F.col("s"), F.col("a"))).collect()]
+    assert [(r.subcategories, r.conf) for r in got] == [(["cafe"], 0.8), (["bar"], 0.8), (["supermarche"], 0.7), ([], 0.0)]
