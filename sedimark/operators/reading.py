@@ -128,7 +128,7 @@ def card(lines: DataFrame) -> DataFrame:
 
 def date(lines: DataFrame, as_of: Column) -> DataFrame:
     """The first line with a plausible date: k, date, date_conf."""
-    found = lines.withColumn("d", dates.date_of(F.col("text"), as_of)).where("d is not null")
+    found = lines.select("k", "line", F.explode(F.array_compact(F.array(dates.date_of(F.col("text"), as_of)))).alias("d"))  # not read twice
     return first_by(found, F.lit(0), F.col("d.value"), F.col("d.sure"), "date")
 
 
