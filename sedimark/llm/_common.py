@@ -60,6 +60,10 @@ def purge(spark: SparkSession) -> None:
 CACHES = {"words": ("substring_dedup", "word_hashes"), "counts": ("token_counts", "counter"), "bpe": ("byte_bpe", "codec"), "ids": ("packing", "word_ids")}
 
 
+#: Rows that a map function works on at a time.
+ROWS = 1024
+
+
 def claim(keep: str | None) -> None:
     """In a worker: drop what other operators have cached there, so that the caches of a pipeline don't add up."""
     dropped = False
@@ -80,12 +84,15 @@ def trim() -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, cache: str | None = None) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors. cache: the one of CACHES that ``run`` uses."""
+    """``mapInArrow`` with this package at hand on the executors.
+
+    ``run`` gets batches of at most ROWS rows, whatever the session's setting. cache: the one of CACHES that it uses.
+    """
     ship(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(cache)
-        yield from run(batches)
+        yield from run(b.slice(at, ROWS) for b in batches for at in range(0, max(1, b.num_rows), ROWS))
         trim()
 
     return df.mapInArrow(tidy, schema)

@@ -121,7 +121,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
         bpe = codec(ranks, pattern)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(t) for t in texts(batch)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return map_rows(docs, {"doc_id": doc_id, "text": text}, work, "doc_id bigint, ids array<int>")
+    return map_rows(docs, {"doc_id": doc_id, "text": text}, work, "doc_id bigint, ids array<int>", "bpe")
 
 
 def decode(tokens: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -131,7 +131,7 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id",
         bpe = codec(ranks, pattern)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())], names=["doc_id", "data"])
 
-    return map_rows(tokens, {"doc_id": doc_id, "ids": ids}, work, "doc_id bigint, data binary")
+    return map_rows(tokens, {"doc_id": doc_id, "ids": ids}, work, "doc_id bigint, data binary", "bpe")
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,4 +153,4 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id"
             text_digests.append(sha256(bpe.decode(ids)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_rows(docs, {"doc_id": doc_id, "text": text}, work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs, {"doc_id": doc_id, "text": text}, work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "bpe")

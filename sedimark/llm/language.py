@@ -28,7 +28,7 @@ LEAST_DOCS = 5
 PAIRS = 100
 #: Documents that the level above counts as.
 HOST_PULL, VALUE_PULL = 20.0, 5.0
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[[*range(97, 123)]] = range(97, 123)

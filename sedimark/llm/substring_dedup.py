@@ -3,7 +3,7 @@ r"""Substring deduplication by Rabin-Karp hashes of word windows.
 Words are ``[^\x20\x09-\x0D]+``. Every window of ``width`` words gets a rolling hash, and a
 word is removed if a window over it also starts in a document with a smaller id.
 
-1. Each input partition is read in blocks of about a million words. A block settles its own
+1. Each input partition is read in blocks of about half a million words. A block settles its own
    repeats; of each hash only the windows of its first document go on, in one compact row per
    reducer (hashes, and the windows' places as compressed differences). However hot a passage
    is, a block asks about it for one document.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._common import map_arrow, sha256, ship, total_bytes
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Windows that one reducer gets on average at most: some 100 MB while it sorts them.
 REDUCER_WINDOWS = 1_500_000
 LEAST_REDUCERS = 64
@@ -59,7 +59,7 @@ def _places(data: bytes) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; two generations of at most 300,000 words."""
+    """Word to 64-bit hash; two generations of at most 120,000 words."""
 
     def __init__(self):
         super().__init__()
@@ -70,7 +70,7 @@ class WordHashes(dict):
         if out is None:
             out = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:
-            if len(self) >= 300_000:
+            if len(self) >= 120_000:
                 self.older = dict(self)
                 self.clear()
             self[word] = out
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
             yield from _ask(block, part << 24 | k, width, extra, reducers)
 
     ship(docs.sparkSession)
-    answers = map_arrow(rows, ask, _ASK_DDL).groupBy("r").applyInArrow(lambda t: _answer(t, extra), "block bigint, docs binary, places binary")
+    answers = map_arrow(rows, ask, _ASK_DDL, "words").groupBy("r").applyInArrow(lambda t: _answer(t, extra), "block bigint, docs binary, places binary")
     return answers.groupBy("block").applyInArrow(lambda t: _merge(t, width), "doc_id bigint, mark bigint, spans array<bigint>")
 
 
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
                 arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays[: 4 + with_text], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
-    return map_arrow(rows, apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
+    return map_arrow(rows, apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text, "words")
 
 
 def rewrite(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,4 +318,4 @@ def rewrite(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str
             columns = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return map_arrow(rows, apply, docs.schema)
+    return map_arrow(rows, apply, docs.schema, "words")

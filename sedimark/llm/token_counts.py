@@ -134,4 +134,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 512
             names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
         )
 
-    return map_rows(docs, {"doc_id": doc_id, "text": text}, work, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_rows(docs, {"doc_id": doc_id, "text": text}, work, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", "counts")
