@@ -13,32 +13,36 @@ import json
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, texts
-from .pretokens import CACHED_CHARS, WHITE
+from ._common import map_arrow, materialize
 
-CACHE_ENTRIES = 800_000
-WORD = re.compile(f"[^{WHITE}]+")
+#: Bytes of text whose words are made distinct at a time.
+PIECE_BYTES = 24_000_000
+#: Words of a gather at a time.
+GATHER_WORDS = 200_000
+#: Frequent words that a worker remembers, of at most so many characters.
+KNOWN, KNOWN_CHARS = 150_000, 32
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 
 
 class WordIds:
     """Ids of whole texts under a vocabulary that drops white space (.json of tokenizers).
 
-    The library encodes each distinct word (run without white space) once; nothing in such a
-    vocabulary looks past a word. Plain words (Latin letters, then perhaps a full stop or
-    comma) go to it many at a time: as many word ends come back as it has parts, which tells
-    whose ids are whose. Frequent words stay cached, in two generations.
+    Arrow splits the texts of a piece at ASCII white space and makes the words distinct; the
+    library encodes each of these once, since nothing in such a vocabulary looks past a word;
+    NumPy puts the ids in the places of the words. Plain words (Latin letters, then perhaps a
+    full stop or comma) go to the library many at a time: as many word ends come back as it
+    has parts, which tells whose ids are whose.
     """
 
     def __init__(self, path: str):
@@ -51,8 +55,7 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool) if suffix else None
         for token, i in self.tokenizer.get_vocab().items() if suffix else ():
             self.ends[i] = token.endswith(suffix)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -71,32 +74,46 @@ class WordIds:
         raw, cuts = ids.tobytes(), [0, *(self.width * ends[parts - 1]).tolist()]
         return [raw[a:b] for a, b in pairwise(cuts)]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Cache the words; returns those too long for that."""
-        plain, other, long = [], [], []
-        for w in words:
-            if (old := self.older.get(w)) is not None:
-                self.words[w] = old
-            elif len(w) > CACHED_CHARS:
-                long.append(w)
-            elif self.ends is not None and PLAIN(w):
-                plain.append(w)
-            else:
-                other.append(w)
-        for some, encode in ((plain, self.plain), (other, self.library)):
-            for at in range(0, len(some), 2000):
-                block = some[at : at + 2000]
-                self.words.update(zip(block, encode(block), strict=True))
-        return dict(zip(long, self.library(long), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, ``width`` bytes each."""
-        split = [WORD.findall(t) for t in texts]
-        if len(self.words) >= CACHE_ENTRIES:
-            self.older, self.words = self.words, {}
-        long = self.learn(set(chain.from_iterable(split)).difference(self.words))
-        every = ChainMap(long, self.words)
-        return [b"".join(map((every if long and not long.keys().isdisjoint(words) else self.words).__getitem__, words)) for words in split]
+    def distinct(self, words: list[str], counts: np.ndarray) -> list[bytes]:
+        """Ids of distinct words that occur so many times each."""
+        out = [self.known.get(w) for w in words]
+        new = [i for i, x in enumerate(out) if x is None]
+        plain = [i for i in new if PLAIN(words[i])] if self.ends is not None else []
+        odd = set(plain)
+        for places, encode in ((plain, self.plain), ([i for i in new if i not in odd], self.library)):
+            for at in range(0, len(places), 2000):
+                some = places[at : at + 2000]
+                for i, ids in zip(some, encode([words[i] for i in some]), strict=True):
+                    out[i] = ids
+        if len(self.known) < KNOWN:
+            often = [i for i in np.flatnonzero(counts > 2).tolist() if len(words[i]) <= KNOWN_CHARS]
+            self.known.update((words[i], out[i]) for i in often[: KNOWN - len(self.known)])
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text, ``width`` bytes each; null is an empty text."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        index = split.flatten().dictionary_encode()
+        place, words = index.indices.to_numpy().astype(np.int64), index.dictionary.to_pylist()
+        ids = self.distinct(words, np.bincount(place, minlength=len(words)))
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        starts = np.cumsum(lengths) - lengths
+        offsets = offsets - offsets[0]
+        out: list[bytes] = []
+        row = 0
+        while row < len(texts):
+            last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + GATHER_WORDS, side="right")) - 1)
+            some = place[offsets[row] : offsets[last]]
+            n = lengths[some]
+            ends = np.cumsum(n)
+            every = flat[np.repeat(starts[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.concatenate([[0], ends])[offsets[row : last + 1] - offsets[row]]
+            raw, w = every.tobytes(), self.width
+            out += [raw[w * a : w * b] for a, b in pairwise(cuts.tolist())]
+            row = last
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -104,25 +121,41 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text of a partition in pieces of about PIECE_BYTES."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if size >= PIECE_BYTES:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.concat_arrays([b.column(c).cast(t) for b in held]) for c, t in (("doc_id", pa.int64()), ("text", pa.large_string())))
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """First pass: doc_id, part, before (ids of the partition before this row), n, ids (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, before, part = word_ids(tokenizer), 0, TaskContext.get().partitionId()
         end = coder.pack([end_id])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            every = texts(batch)
-            rows = [ids + end for at in range(0, len(every), 256) for ids in coder.encode(every[at : at + 256])]
-            lengths = [len(x) // coder.width for x in rows]
-            starts = []
-            for n in lengths:
-                starts.append(before)
-                before += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(rows), pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "part", "before", "n", "ids"])
+        for ids, columns in _pieces(batches):
+            rows = [x + end for x in coder.encode(columns)]
+            lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // coder.width
+            starts = before + np.cumsum(lengths) - lengths
+            before += int(lengths.sum())
+            for at in range(0, len(rows), 4096):
+                to = at + 4096
+                yield pa.RecordBatch.from_arrays([ids[at:to], pa.array(np.full(len(rows[at:to]), part, np.int32)), pa.array(starts[at:to]), pa.array(lengths[at:to]), pa.array(rows[at:to], pa.binary())], names=["doc_id", "part", "before", "n", "ids"])
 
-    return map_arrow(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), run, "doc_id bigint, part int, before bigint, n bigint, ids binary")
+    return map_arrow(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), run, "doc_id bigint, part int, before bigint, n bigint, ids binary", "ids")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,4 +192,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, doc_i
 
     starts = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))  # 12 bytes per input partition
     rows = first.join(starts, "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
-    return map_arrow(rows, cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return map_arrow(rows, cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint", "ids")
