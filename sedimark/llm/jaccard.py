@@ -46,13 +46,15 @@ LEADERS = 24
 SKETCH = 1 << 22
 SKETCH_PARTS = 16
 #: Tokens in which repeats are looked for at a time.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
+#: Rows of ids and numbers (some 50 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 300_000
 #: Blocks of the Bloom filter in front of a text exchange at most: 2.6 MB.
 BLOOM_BLOCKS = 1 << 16
-REDUCER_TOKENS = 1_000_000
+REDUCER_TOKENS = 600_000
 LEAST_REDUCERS = 64
 HASHES = 3
-PIECE_WORDS = 500_000
+PIECE_WORDS = 200_000
 
 
 def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
@@ -190,7 +192,9 @@ def _levels(profile: DataFrame) -> bytes:
 
 
 def _only(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """docs joined with ``needed`` (doc_id and more); a small Bloom filter first keeps other texts off the network."""
+    """docs joined with ``needed`` (doc_id and more): broadcast up to BROADCAST_ROWS, else by shuffle behind a small Bloom filter that keeps other texts off the network."""
+    if needed.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(needed), "doc_id")
     ids = needed.select("doc_id").distinct()
     blocks = min(BLOOM_BLOCKS, max(1, ids.count() // 10))
     bloom = F.broadcast(bloom_blocks(ids, "doc_id", blocks))
@@ -364,9 +368,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     labels = sets.select("doc_id", "n").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"))
     weights = labels.groupBy("cluster").agg(F.count("*").alias("weight"))
     labels = materialize(labels.join(weights, "cluster"))
-    tokens = labels.agg(F.sum("n")).first()[0] or 0
+    many, tokens = labels.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     reducers = max(LEAST_REDUCERS, -(-tokens * (100 - percent) // 100 // REDUCER_TOKENS))
-    prefixes = _prefixes(docs, _levels(profile), words, percent).join(labels, "doc_id").select("doc_id", "cluster", "weight", "n", "tokens")
+    prefixes = _prefixes(docs, _levels(profile), words, percent).join(F.broadcast(labels) if many <= BROADCAST_ROWS else labels, "doc_id").select("doc_id", "cluster", "weight", "n", "tokens")
     asked = _columns(prefixes, reducers).groupBy("r").applyInArrow(lambda t: _query(t, percent), "doc_id bigint, cluster bigint")
     queries = materialize(asked.distinct())
     whole = clusters.select(F.col("node").alias("u"), F.col("component").alias("v"))  # a cluster's links stand for it: its sets with the least one

@@ -81,6 +81,7 @@ def test_large_clusters_are_opened_in_steps(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 2)
     monkeypatch.setattr(jaccard, "FIRST", 1)
     monkeypatch.setattr(jaccard, "ROOM", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)  # and everything by shuffle
     rows = rows_of(4)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == brute(rows)
