@@ -83,6 +83,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(table: pa.Table) -> pa.Table:
+    """The result of a grouped map, after its working memory has gone back to the system."""
+    trim()
+    return table
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, cache: str | None = None) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors.
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, sha256, ship, total_bytes
+from ._common import map_arrow, sha256, ship, total_bytes, trimmed
 
 BLOCK_WORDS = 500_000
 #: Windows that one reducer gets on average at most: some 100 MB while it sorts them.
@@ -256,8 +256,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
             yield from _ask(block, part << 24 | k, width, extra, reducers)
 
     ship(docs.sparkSession)
-    answers = map_arrow(rows, ask, _ASK_DDL, "words").groupBy("r").applyInArrow(lambda t: _answer(t, extra), "block bigint, docs binary, places binary")
-    return answers.groupBy("block").applyInArrow(lambda t: _merge(t, width), "doc_id bigint, mark bigint, spans array<bigint>")
+    answers = map_arrow(rows, ask, _ASK_DDL, "words").groupBy("r").applyInArrow(lambda t: trimmed(_answer(t, extra)), "block bigint, docs binary, places binary")
+    return answers.groupBy("block").applyInArrow(lambda t: trimmed(_merge(t, width)), "doc_id bigint, mark bigint, spans array<bigint>")
 
 
 def _kept(words: list[bytes], spans: list[int]) -> list[bytes]:
