@@ -16,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize, ship
 
-#: Documents that the letter-pair models are fitted on at most: those with the least hash of their id.
+#: Documents of a language that its letter-pair model is fitted on, if it has so many: those with the least hash of their id.
 SAMPLE = 5_000
-#: A language needs so many of them.
+#: A language needs so many labelled documents, of all.
 LEAST_DOCS = 5
+#: Steps of the cut between hashes per power of two: a sample exceeds SAMPLE by a tenth or so.
+STEPS = 8
 PAIRS = 100
 #: Documents that the level above counts as.
 HOST_PULL, VALUE_PULL = 20.0, 5.0
@@ -58,31 +60,47 @@ def _folded(text: str | None) -> bytes:
     return b" " + (text or "").encode().translate(FOLD) + b" "
 
 
+def _place() -> Column:
+    """How many STEPS of halving the hash of a row's id (of its text without one) is below the largest."""
+    h = F.xxhash64("i", F.when(F.col("i").isNull(), F.col("text")))
+    return F.floor(-F.log2((F.shiftrightunsigned(h, 1) + 1.0) / 2.0**63) * STEPS).cast("int")
+
+
+def _limits(named: DataFrame) -> DataFrame:
+    """Labels (k), how many rows have them (docs) and the place from which on rows make the sample (least)."""
+    own = Window.partitionBy("k").orderBy(F.desc("z"))
+    places = named.select("k", _place().alias("z")).groupBy("k", "z").agg(F.count("*").alias("n"))  # some hundred places a label
+    return places.withColumn("before", F.sum("n").over(own) - F.col("n")).groupBy("k").agg(F.sum("n").alias("docs"), F.min(F.when(F.col("before") < SAMPLE, F.col("z"))).alias("least"))
+
+
+def _sample(named: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per label the rows with the least hashes: all of them, or SAMPLE and those of the same place as the last."""
+    return named.withColumn("z", _place()).join(F.broadcast(limits.select("k", "least")), "k").where("z >= least").select("k", "text")
+
+
 def train(docs: DataFrame, text: str, label: str, doc_id: str) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of the second byte of a pair given the first, 65536 x languages."""
     named = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("string").alias("k"), F.col(f"`{text}`").alias("text")).where("k is not null")
-    ids = named.select("i", "k").orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
-    sample = named.select("i", "text").join(F.broadcast(ids), "i").select("k", "text").limit(2 * SAMPLE).repartition(8, "k", F.xxhash64("text") % 8)
+    limits = materialize(_limits(named))
+    if not limits.where(F.col("docs") >= LEAST_DOCS).isEmpty():
+        limits = limits.where(F.col("docs") >= LEAST_DOCS)
+    sample = _sample(named, limits).repartition(max(8, limits.count()), "k", F.pmod(F.xxhash64("text"), F.lit(8)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
         for batch in batches:
             for k, t in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = _folded(t)
                 at = totals.setdefault(k, np.zeros(65536, np.int64))
                 for a in range(0, len(data), PIECE):
                     at += np.bincount(_pairs(data[a : a + PIECE + 1]), minlength=65536)
-                docs_of[k] = docs_of.get(k, 0) + 1
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array(list(docs_of.values()), pa.int64()), pa.array([pa.compress(v.tobytes(), codec="zstd", asbytes=True) for v in totals.values()], pa.binary())], names=["k", "docs", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([pa.compress(v.tobytes(), codec="zstd", asbytes=True) for v in totals.values()], pa.binary())], names=["k", "counts"])
 
     counts: dict[str, np.ndarray] = {}
-    seen: dict[str, int] = {}
-    for r in map_arrow(sample, count, "k string, docs bigint, counts binary").collect():  # a row per language and task, 8 tasks
+    for r in map_arrow(sample, count, "k string, counts binary").collect():  # 8 rows of bounded size per language at most
         counts[r["k"]] = counts.get(r["k"], 0) + np.frombuffer(pa.decompress(r["counts"], decompressed_size=65536 * 8, codec="zstd", asbytes=True), np.int64)
-        seen[r["k"]] = seen.get(r["k"], 0) + r["docs"]
-    names = sorted(k for k in counts if seen[k] >= LEAST_DOCS) or sorted(counts)
+    names = sorted(counts)
     if not names:
         return [], np.zeros((65536, 0), np.float32)
     table = []
@@ -133,8 +151,11 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     """Languages of documents: doc_id, language, confidence, text_language, declared, kept; one row per input row.
 
     declared, host, suffix name columns with the markup language, the host and the address
-    suffix; None leaves that evidence out. The letter-pair models are fitted on a sample of
-    rows with a ``label`` (by default the declared language). A document is kept if its text
+    suffix; None leaves that evidence out. Every ``label`` (by default the declared language)
+    of at least LEAST_DOCS rows of the whole table has a letter-pair model, fitted on a sample
+    of its own rows. A language with fewer has none unless all have fewer: its documents come
+    out as the nearest language with a model, kept if the confidence among these is high
+    enough, whatever they declare. A document is kept if its text
     has letters, its language is in ``accept`` (by default any of the models') and its
     confidence at least ``threshold``. Texts without letters (null, empty) get language null,
     confidence 0 and are rejected. Null evidence says nothing. Other columns are ignored; an

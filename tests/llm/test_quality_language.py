@@ -45,6 +45,28 @@ def test_language_of_texts_alone(spark):
     assert kept / n > 0.99
 
 
+def test_rare_languages_have_models(spark):
+    parts = {"en": "the of and to in that it is was for on are with as this", "fr": "le la les des et un une dans pour que qui sur avec est", "es": "el los las y del por con para una como pero sus muy donde", "pt": "o os uma não com em são mais também pelo"}
+    words = {k: v.split() for k, v in parts.items()}
+    text = lambda k, i: " ".join(words[k][(i * 7 + j * (1 + i % 5)) % len(words[k])] for j in range(12))
+    lang = lambda i: "es" if i % 2000 == 7 else "pt" if i in (50, 5000) else "en" if i % 2 else "fr"
+    docs = spark.createDataFrame([(i, text(lang(i), i), lang(i), "s") for i in range(12_000)], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    rare = [got[i] for i in range(7, 12_000, 2000)]
+    assert len(got) == 12_000 and [(r.language, r.text_language, r.kept) for r in rare] == [("es", "es", True)] * 6
+    assert {r.language for r in got.values()} == {"en", "es", "fr"}  # two documents are too few for a model
+    assert all(got[i].language == lang(i) for i in got if lang(i) != "pt")
+
+
+def test_sample_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 200)
+    named = spark.range(20_000).select(F.when(F.col("id") % 4 != 1, F.col("id")).alias("i"), F.when(F.col("id") < 40, "b").when(F.col("id") < 300, "c").otherwise("a").alias("k"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    limits = language._limits(named)
+    assert {r.k: r.docs for r in limits.collect()} == {"a": 19_700, "b": 40, "c": 260}
+    n = {r.k: r["count"] for r in language._sample(named, limits).groupBy("k").count().collect()}
+    assert n["b"] == 40 and 200 <= n["a"] < 300 and 200 <= n["c"] <= 260
+
+
 def test_evidence_settles_short_texts(spark):
     rows = [(i, "the cat and the dog went to the house with them", "en", "a") for i in range(30)] + [(100 + i, "le chat et le chien sont dans la maison avec nous", "fr", "b") for i in range(30)]
     rows += [(200, "x", "fr", "b"), (201, "x", "en", "a"), (202, "123 !", "fr", "b"), (203, None, "en", "a"), (204, "le chat et le chien", None, None)]
