@@ -76,7 +76,7 @@ def _sets(split: list[list[bytes]], words: int) -> Iterator[np.ndarray]:
     hashed = np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(split)), np.uint64, sum(lengths))
     rolled = np.zeros(max(0, len(hashed) - words + 1), np.uint64)
     for k in range(words):
-        rolled = rolled * base + hashed[k : len(hashed) - words + 1 + k]
+        rolled = rolled * base + hashed[k : k + len(rolled)]
     rolled = _mix(rolled)
     at = 0
     for n in lengths:

@@ -71,6 +71,13 @@ def test_empty_and_repeated_rows(spark):
     assert sorted([tuple(r) for r in got], key=str) == [(7, 2, 7), (7, 2, 7), (8, 0, 8), (9, 2, 7), (None, 2, None)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_one_short_text_alone(spark, n):
+    rows = [(7, " ".join("abcd"[:n])), (8, ""), (9, None)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows) == [(7, 1, 7), (8, 0, 8), (9, 0, 9)]
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200), (101, 100)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
