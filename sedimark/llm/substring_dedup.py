@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -169,7 +170,7 @@ def _row(*values) -> pa.RecordBatch:
 def _answer(group: pa.Table, extra: int) -> pa.Table:
     """One reducer: the windows of each block whose hash has a smaller document in another."""
     rows = [r for r in group.to_pylist() if r["hashes"] is not None]
-    own = group.filter(pa.compute.is_null(group.column("hashes"))).select(["block", "docs", "places"])
+    own = group.filter(pc.is_null(group.column("hashes"))).select(["block", "docs", "places"])
     if not rows:
         return own
     keys, more, docs, counts, places = [], [], [], [], []
