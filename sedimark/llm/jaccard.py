@@ -4,16 +4,19 @@ The set of a document is its distinct shingles of ``words`` words (A-Z lower-cas
 hashes. The join is exact: no link between two different sets is lost.
 
 1. Equal sets collapse into one representative.
-2. Similar sets come together by three min-hashes; what is verified there forms clusters,
-   one set alone being one too. A group is a block of at most ``GROUP`` sets of a cluster.
-3. Each cluster's union of prefix tokens is stored as rows (token, cluster): the matrix. A
+2. Similar sets come together by three min-hashes; what is verified there forms groups (a
+   group is named ``cluster`` below), one set alone being one too.
+3. Each group's union of prefix tokens is stored as rows (token, group): the matrix. A
    set's prefix is as many of its tokens, rarest first, as a similar set must meet at least
    one of. The order comes from a sketch of fixed size that counts, over all documents, the
    tokens that repeat within a block of them; any order is exact.
-4. A set queries the larger clusters in which it meets a prefix token and whose sizes allow
-   the threshold. Only these are opened: one of a single group in full; of a larger one first
-   ``FIRST`` sets, and all its groups if none of them links.
-5. Links give the components. Sets already in one cluster need no comparison with each other,
+4. A set queries the larger groups in which it meets a prefix token that sizes and places
+   allow to be the first common one. For each such query and group the tokens that they
+   share are added up: with what may still follow beyond the prefixes, they bound the overlap
+   with any set of the group. Only groups whose bound reaches the threshold are opened: one of
+   at most ``GROUP`` sets in full; of a larger one first ``FIRST`` sets, and all of it, in
+   blocks, if none of them links.
+5. Links give the components. Sets already in one group need no comparison with each other,
    so a group of copies of any size costs rows in proportion to it, never pairs.
 
 A large cell or a group that many sets query is split into rooms; its few residents are copied
@@ -29,10 +32,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import claim, map_arrow, materialize, ship
+from ._common import claim, map_arrow, materialize, ship, trimmed
 from .graph import components
 from .substring_dedup import BASES, _gaps, _mix, _pack, _places, _unpack, word_hashes
 from .url_filter import _masks, bloom_blocks
@@ -83,9 +86,9 @@ def _sets(split: list[list[bytes]], words: int) -> Iterator[np.ndarray]:
         if n >= words:
             yield np.unique(rolled[at : at + n - words + 1])
         elif n:
-            whole = np.uint64(n)
-            for h in hashed[at : at + n]:
-                whole = whole * base + h
+            whole = n
+            for h in hashed[at : at + n].tolist():
+                whole = (whole * BASES[0] + h) % (1 << 64)
             yield _mix(np.array([whole], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
@@ -253,7 +256,7 @@ _ASK = pa.schema([("r", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary
 
 
 def _prefixes(docs: DataFrame, levels: bytes, words: int, percent: int) -> DataFrame:
-    """Second pass: doc_id, n, the prefix tokens (rarest first) as bytes."""
+    """Second pass: doc_id, the prefix tokens (rarest first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels, np.uint8)
@@ -265,10 +268,11 @@ def _prefixes(docs: DataFrame, levels: bytes, words: int, percent: int) -> DataF
                 n = len(s)
                 most = n - (percent * n + 99) // 100 + 1
                 order = np.argsort(table[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")  # by level, then by hash
-                out.append(s[order[:most]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
+                out.append(s[order[: most if n else 0]].view(np.int64))
+            offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))], names=["doc_id", "tokens"])
 
-    return map_arrow(docs, run, "doc_id bigint, tokens binary", "words")
+    return map_arrow(docs, run, "doc_id bigint, tokens array<bigint>", "words")
 
 
 def _columns(rows: DataFrame, reducers: int) -> DataFrame:
@@ -279,11 +283,12 @@ def _columns(rows: DataFrame, reducers: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             head = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "cluster", "weight", "n")]).astype(np.int64)
-            tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
-            owner = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
-            every = np.concatenate(tokens)
+            lists = batch.column("tokens")
+            lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            every = lists.flatten().to_numpy().view(np.uint64)
             n = head[3][owner]
-            place = np.concatenate([np.arange(len(x)) for x in tokens])
+            place = np.arange(len(every)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             rest = (-(-(n - place) * 255 // n)).astype(np.uint8)  # share of the set from this token on, rounded up
             to = (_mix(every) % np.uint64(reducers)).astype(np.int64)
             order = np.lexsort((owner, to))
@@ -343,14 +348,47 @@ def _query(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(pairs[0], pa.int64()), "cluster": pa.array(pairs[1], pa.int64())})
 
 
+def _spare(a: Column, b: Column, percent: int) -> Column:
+    """100 * (100 + percent) times the prefix tokens that sets of a and b tokens must share beyond none.
+
+    They need percent / (100 + percent) * (a + b) common tokens. Up to the earlier end of the two
+    prefixes all common tokens are in both; after it come fewer than percent / 100 of the larger set.
+    """
+    return percent * (100 * (a + b) - (100 + percent) * F.greatest(a, b))
+
+
+def qualifying(queries: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """The queries (doc_id, cluster) whose overlap with the group can reach the threshold.
+
+    placed: doc_id, n, cluster, few, most (the least and greatest set of the group), tokens (the
+    prefix). For each query and group the tokens of the query's prefix in the union of the
+    group's prefixes are counted. ``_spare`` is least at an end of the sizes that the group has
+    and the threshold allows; where it is below one token, the token that brought the query
+    here is enough, and nothing is counted.
+    """
+    one = 100 * (100 + percent)
+    groups = placed.select("cluster", "few", "most").distinct()
+    sized = queries.join(groups, "cluster").join(placed.select("doc_id", "n"), "doc_id")
+    low, high = F.greatest(F.col("few"), F.ceil(F.col("n") * percent / 100)), F.least(F.col("most"), F.floor(F.col("n") * 100 / percent))
+    sized = sized.withColumn("low", low.cast("bigint")).withColumn("high", high.cast("bigint")).where("low <= high")
+    sized = materialize(sized.select("doc_id", "cluster", F.least(_spare(F.col("n"), F.col("low"), percent), _spare(F.col("n"), F.col("high"), percent)).alias("spare")))
+    rest = sized.where(F.col("spare") >= one)
+    asked = rest.join(placed.select("doc_id", "tokens"), "doc_id").select("cluster", F.explode("tokens").alias("token"), "doc_id", "spare")
+    union = placed.select("cluster", "tokens").join(rest.select("cluster").distinct(), "cluster", "left_semi").select("cluster", F.explode("tokens").alias("token")).distinct()
+    enough = asked.join(union, ["cluster", "token"]).groupBy("doc_id", "cluster", "spare").agg(F.count("*").alias("shared")).where(F.col("shared") * one > F.col("spare"))
+    return sized.where(F.col("spare") < one).select("doc_id", "cluster").unionByName(enough.select("doc_id", "cluster"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Components under the join: doc_id, n_shingles, component_id, one row per input row.
 
     Two documents link when 100 * intersection >= percent * union. Documents with fewer words
     than a shingle have their whole sequence as one; those without words (null, empty, white
     space) have an empty set, link with nothing and are their own component. component_id is
-    the least id reachable. Rows that repeat an id must repeat its text; rows with a null id
-    count as unlinked. Other columns are ignored; an empty table gives an empty result.
+    the least id reachable. Rows that repeat an id are one document that links through each of
+    their texts; rows with a null id count as unlinked. Texts may be of any length: a set is
+    held whole, 8 bytes a word, in one task. Other columns are ignored; an empty table gives an
+    empty result.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -366,13 +404,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     clusters = components(near)
 
     labels = sets.select("doc_id", "n").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"))
-    weights = labels.groupBy("cluster").agg(F.count("*").alias("weight"))
+    weights = labels.groupBy("cluster").agg(F.count("*").alias("weight"), F.min("n").alias("few"), F.max("n").alias("most"))
     labels = materialize(labels.join(weights, "cluster"))
     many, tokens = labels.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     reducers = max(LEAST_REDUCERS, -(-tokens * (100 - percent) // 100 // REDUCER_TOKENS))
-    prefixes = _prefixes(docs, _levels(profile), words, percent).join(F.broadcast(labels) if many <= BROADCAST_ROWS else labels, "doc_id").select("doc_id", "cluster", "weight", "n", "tokens")
-    asked = _columns(prefixes, reducers).groupBy("r").applyInArrow(lambda t: _query(t, percent), "doc_id bigint, cluster bigint")
-    queries = materialize(asked.distinct())
+    placed = materialize(_prefixes(docs, _levels(profile), words, percent).join(F.broadcast(labels) if many <= BROADCAST_ROWS else labels, "doc_id"))
+    asked = _columns(placed, reducers).groupBy("r").applyInArrow(lambda t: trimmed(_query(t, percent)), "doc_id bigint, cluster bigint")
+    queries = materialize(qualifying(materialize(asked.distinct()), placed, percent))
     whole = clusters.select(F.col("node").alias("u"), F.col("component").alias("v"))  # a cluster's links stand for it: its sets with the least one
 
     opened = labels.join(queries.select("cluster").distinct(), "cluster").select("cluster", "doc_id", "weight")

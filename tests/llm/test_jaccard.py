@@ -92,3 +92,52 @@ def test_large_clusters_are_opened_in_steps(spark, monkeypatch):
     rows = rows_of(4)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == brute(rows)
+
+
+def test_opens_only_groups_whose_overlap_bound_reaches_the_threshold(spark, monkeypatch):
+    """The bound is recomputed from the sets; what was asked for and lies below it is not opened."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(4000)]
+    line = [rng.choice(words) for _ in range(14)]
+    rows = rows_of(5)
+    for _ in range(60):  # sets of one size that share a passage too short for the threshold
+        rows.append((len(rows), " ".join(line + [rng.choice(words) for _ in range(24)])))
+    seen = {}
+    qualifying = jaccard.qualifying
+
+    def spy(queries, placed, percent):
+        out = qualifying(queries, placed, percent)
+        seen.update(queries=[tuple(r) for r in queries.collect()], placed=placed.collect(), opened={(r.doc_id, r.cluster) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "qualifying", spy)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == brute(rows)
+    sets = {r.doc_id: (r.n, set(r.tokens)) for r in seen["placed"]}
+    groups = {}
+    for r in seen["placed"]:
+        groups.setdefault(r.cluster, []).append(r)
+    assert len(seen["opened"]) < len(seen["queries"])
+    for q, c in seen["queries"]:
+        a, prefix = sets[q]
+        shared = len(prefix & set().union(*[set(r.tokens) for r in groups[c]]))
+        sizes = [b for b in range(min(r.n for r in groups[c]), max(r.n for r in groups[c]) + 1) if 4 * min(a, b) >= 3 * max(a, b)]
+        reaches = any(7 * shared + 7 * 0.75 * max(a, b) > 3 * (a + b) for b in sizes)
+        assert ((q, c) in seen["opened"]) <= reaches, (q, c)
+        links = any(4 * len(sets[q][1] & set(r.tokens)) >= 3 * max(len(prefix), len(r.tokens)) and r.n == a for r in groups[c] if set(r.tokens) == prefix)
+        assert not links or (q, c) in seen["opened"]
+
+
+def test_an_id_with_several_texts_links_through_each(spark):
+    a, b = "one two three four five six seven", "red blue green white black grey pink"
+    rows = [(5, a), (5, b), (3, a), (9, b), (8, "x y z")]
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(3, 3, 3), (5, 3, 3), (5, 3, 3), (8, 1, 8), (9, 3, 3)]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(1)
+    long = " ".join(rng.choice("abcdefghij") * rng.randint(1, 5) for _ in range(250_000))
+    rows = [(1, long), (2, long[:-30]), (3, "a b c d e f")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
