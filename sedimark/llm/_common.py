@@ -37,6 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+#: Tables that this driver has written and not deleted yet.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -46,14 +50,51 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sedimark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize``, once nothing is left that reads it."""
+    if table.written_to in _WRITTEN:
+        _WRITTEN.remove(table.written_to)
+    _delete(table.sparkSession, table.written_to)
+
 
+def purge(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the intermediate tables of this application but ``keep``; results must have been written."""
+    stay = getattr(keep, "written_to", None)
+    for path in [p for p in _WRITTEN if p != stay]:
+        _delete(spark, path)
+        _WRITTEN.remove(path)
+
+
+#: Keys whose figures are broadcast together at most, and rows from which a key counts as hot.
+SMALL_KEYS, HOT_ROWS = 20_000, 1_000_000
+
+
+def join_figures(rows: DataFrame, figures: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the figures of their ``key`` (unique there), null where there are none.
+
+    Up to SMALL_KEYS keys are broadcast. Beyond that the hot ones (``size`` of HOT_ROWS or more:
+    at most one in HOT_ROWS rows) are, and only rows of other keys are shuffled, so no task gets
+    more than HOT_ROWS rows of a key. Rows with a null key stay where they are.
+    """
+    from pyspark.sql import functions as F
 
-def purge(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application; results must have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/sedimark-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if figures.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
+        return rows.join(F.broadcast(figures), key, "left")
+    hot = F.broadcast(figures.where(F.col(size) >= HOT_ROWS))
+    direct = rows.join(hot, key, "left").where(F.col(key).isNull() | F.col(size).isNotNull())
+    cold = rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(figures.where(F.col(size) < HOT_ROWS), key, "left")
+    return direct.unionByName(cold)
 
 
 #: What operators keep in a Python worker between tasks: name to module and cached function.
@@ -99,6 +140,8 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(cache)
         yield from run(b.slice(at, ROWS) for b in batches for at in range(0, max(1, b.num_rows), ROWS))
+        if cache == "words":  # filled again in no time, and an idle worker is small without it
+            claim(None)
         trim()
 
     return df.mapInArrow(tidy, schema)

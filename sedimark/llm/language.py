@@ -3,11 +3,14 @@
 The log posterior of a language is the sum of
 
 * the likelihood of the text under letter-pair models, a long text counting as ``PAIRS`` pairs,
-* the likelihoods of the declared (markup) language and of the address suffix,
-* the log prior of the host: soft counts of the languages of its other documents, shrunk to
-  the corpus as a whole.
-
-All tables behind these are grouped sums of the text posteriors over all documents.
+* the likelihood of the declared (markup) language,
+* the log prior of the site: soft counts of the languages of the other documents of the host,
+  shrunk to those of its address suffix, and these to the corpus as a whole.
+
+All tables behind these are grouped sums of the text posteriors over all documents. The declared
+language is evidence and, unless other labels are given, what the letter-pair models are
+fitted on: they learn what texts of a declaration look like as a rule, so one wrong
+declaration still meets the evidence of its text.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, ship
+from ._common import join_figures, map_arrow, materialize, ship
 
 #: Documents of a language that its letter-pair model is fitted on, if it has so many: those with the least hash of their id.
 SAMPLE = 5_000
@@ -29,7 +32,7 @@ LEAST_DOCS = 5
 STEPS = 8
 PAIRS = 100
 #: Documents that the level above counts as.
-HOST_PULL, VALUE_PULL = 20.0, 5.0
+HOST_PULL, SUFFIX_PULL, VALUE_PULL = 20.0, 50.0, 5.0
 PIECE = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -46,9 +49,9 @@ def markup_language(html: Column) -> Column:
 
 
 def address_suffix(host: Column) -> Column:
-    """Last label of a host; null without one."""
-    found = F.regexp_extract(host, r"([^.]+)$", 1)
-    return F.when(found != "", found)
+    """Last label of a host with several, in lower case; null for others."""
+    found = F.regexp_extract(host, r"\.([^.]+)$", 1)
+    return F.when(found != "", F.lower(found))
 
 
 def _pairs(data: bytes) -> np.ndarray:
@@ -151,15 +154,18 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     """Languages of documents: doc_id, language, confidence, text_language, declared, kept; one row per input row.
 
     declared, host, suffix name columns with the markup language, the host and the address
-    suffix; None leaves that evidence out. Every ``label`` (by default the declared language)
-    of at least LEAST_DOCS rows of the whole table has a letter-pair model, fitted on a sample
-    of its own rows. A language with fewer has none unless all have fewer: its documents come
-    out as the nearest language with a model, kept if the confidence among these is high
-    enough, whatever they declare. A document is kept if its text
-    has letters, its language is in ``accept`` (by default any of the models') and its
-    confidence at least ``threshold``. Texts without letters (null, empty) get language null,
-    confidence 0 and are rejected. Null evidence says nothing. Other columns are ignored; an
-    empty table gives an empty result; without any label all are rejected.
+    suffix; without a suffix column the host's last label is it, and None for the others leaves
+    that evidence out. Every ``label`` (by default the declared language) of at least LEAST_DOCS
+    rows of the whole table has a letter-pair model, fitted on a sample of its own rows. A
+    language with fewer has none unless all have fewer: its documents come out as the nearest
+    language with a model, kept if the confidence among these is high enough, whatever they
+    declare. A document is kept if its text has letters, its language is in ``accept`` (by
+    default any of the models') and its confidence at least ``threshold``. Of equally likely
+    languages the first in alphabetical order is named. Texts without letters (null, empty) get
+    language null, confidence 0 and are rejected; a text of any length is read whole. Null
+    evidence says nothing. Rows that repeat an id are judged each by its own values and count
+    each in the sums. Other columns are ignored; an empty table gives an empty result; without
+    any label all are rejected.
     """
     ship(docs.sparkSession)
     names, table = train(docs, text, label or declared, doc_id)
@@ -168,7 +174,7 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
         nothing = F.lit(None).cast("string")
         return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), nothing.alias("language"), F.lit(0.0).alias("confidence"), nothing.alias("text_language"), (F.lower(F.col(f"`{declared}`").cast("string")) if declared else nothing).alias("declared"), F.lit(False).alias("kept"))
     column = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lower(F.regexp_extract(column(declared), "^[A-Za-z]+", 0)).alias("declared"), column(host).alias("host"), F.lower(column(suffix)).alias("suffix"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lower(F.regexp_extract(column(declared), "^[A-Za-z]+", 0)).alias("declared"), column(host).alias("host"), (F.lower(column(suffix)) if suffix else address_suffix(column(host))).alias("suffix"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,26 +194,28 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     prior = [(whole[k] + 1.0) / (total + K) for k in range(K)]
     languages = F.array(*[F.lit(x) for x in names])
 
+    def figures(kind: str) -> DataFrame:
+        """Per value of a column: soft counts of the languages and their sum, over all documents with letters."""
+        seen = rated.where(F.col(kind).isNotNull() & F.col("p").isNotNull()).groupBy(kind).agg(*sums(), F.count("*").cast("double").alias(f"{kind}_n"))
+        return seen.select(kind, F.array(*[F.col(f"s{k}") for k in range(K)]).alias(f"{kind}_s"), f"{kind}_n")
+
     out = rated
     evidence = [F.col("ll")[k] for k in range(K)]
-    for kind, used in (("declared", declared), ("suffix", suffix)):
-        if used:  # P(value | language), shrunk to P(value)
-            seen = rated.where(F.col(kind).isNotNull() & F.col("p").isNotNull()).groupBy(kind).agg(*sums())
-            seen = seen.select(F.col(kind).alias("value"), F.array(*[F.col(f"s{k}") for k in range(K)]).alias(f"{kind}_s"))
-            out = out.join(seen, F.col(kind) == F.col("value"), "left").drop("value")
-            s = F.col(f"{kind}_s")
-            share = F.aggregate(s, F.lit(0.0), lambda a, b: a + b) / total
-            evidence = [e + F.coalesce(F.log((s[k] + VALUE_PULL * share + 1e-3) / (prior[k] * total + VALUE_PULL)), F.lit(0.0)) for k, e in enumerate(evidence)]
-    if host:  # without the document itself
-        seen = rated.where("host is not null and p is not null").groupBy("host").agg(*sums()).select(F.col("host").alias("value"), F.array(*[F.col(f"s{k}") for k in range(K)]).alias("host_s"))
-        out = out.join(seen, F.col("host") == F.col("value"), "left").drop("value")
-        s = F.col("host_s")
-        n = F.aggregate(s, F.lit(0.0), lambda a, b: a + b)
-        one = F.when(F.col("p").isNotNull(), 1.0).otherwise(0.0)
-        own = lambda k: F.coalesce(F.col("p")[k], F.lit(0.0))
-        evidence = [e + F.coalesce(F.log(F.greatest(s[k] - own(k), F.lit(0.0)) + HOST_PULL * prior[k]) - F.log(F.greatest(n - one, F.lit(0.0)) + HOST_PULL), F.log(F.lit(prior[k]))) for k, e in enumerate(evidence)]
-    else:
-        evidence = [e + F.log(F.lit(prior[k])) for k, e in enumerate(evidence)]
+    if declared:  # P(value | language), shrunk to P(value)
+        out = join_figures(out, figures("declared"), "declared", "declared_n")
+        s, n = F.col("declared_s"), F.col("declared_n")
+        evidence = [e + F.coalesce(F.log((s[k] + VALUE_PULL * n / total + 1e-3) / (prior[k] * total + VALUE_PULL)), F.lit(0.0)) for k, e in enumerate(evidence)]
+    one = F.when(F.col("p").isNotNull(), 1.0).otherwise(0.0)
+    site: list[Column] = [F.lit(x) for x in prior]
+    for kind, used, pull in (("suffix", bool(suffix or host), SUFFIX_PULL), ("host", bool(host), HOST_PULL)):
+        if used:  # without the document itself; a null value has what the level above says
+            out = join_figures(out, figures(kind), kind, f"{kind}_n")
+            others = lambda c, own: F.greatest(F.coalesce(c, F.lit(0.0)) - F.when(F.col(kind).isNull(), 0.0).otherwise(own), F.lit(0.0))  # noqa: B023, E731
+            n = others(F.col(f"{kind}_n"), one)
+            names_of = [f"{kind}_prior{k}" for k in range(K)]
+            out = out.withColumns({c: (others(F.col(f"{kind}_s")[k], F.coalesce(F.col("p")[k], F.lit(0.0))) + pull * site[k]) / (n + pull) for k, c in enumerate(names_of)})
+            site = [F.col(c) for c in names_of]
+    evidence = [e + F.log(site[k]) for k, e in enumerate(evidence)]
 
     out = out.withColumn("e", F.array(*evidence)).withColumn("top", F.array_max("e"))
     best = lambda c: F.element_at(languages, F.array_position(c, F.array_max(c)).cast("int"))

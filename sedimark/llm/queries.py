@@ -61,8 +61,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from the words of its markup, the lang attribute, its host and address suffix."""
+    pages = _table(spark, sf_dir, "pages")
+    words = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&#?\w+;", " ")
+    rows = pages.select("page_id", words.alias("words"), language.markup_language(F.col("html")).alias("markup"), url_filter.host_path(F.col("url"))[0].alias("host"))
+    found = language.identify(rows.withColumn("host", F.when(F.col("host") != "", F.col("host"))), declared="markup", host="host", doc_id="page_id", text="words")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_token_counts, op4_exact_dedup, op5_byte_bpe, op6_url_filter, op7_substring_dedup, op8_packing, op9_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_token_counts, op4_exact_dedup, op5_byte_bpe, op6_url_filter, op7_substring_dedup, op8_packing, op9_jaccard_join, op10_language_id, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
