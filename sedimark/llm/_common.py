@@ -80,7 +80,7 @@ def purge(spark: SparkSession, keep: DataFrame | None = None) -> None:
 SMALL_KEYS, HOT_ROWS = 20_000, 1_000_000
 
 
-def join_figures(rows: DataFrame, figures: DataFrame, key: str, size: str) -> DataFrame:
+def join_figures(rows: DataFrame, figures: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """rows with the figures of their ``key`` (unique there), null where there are none.
 
     Up to SMALL_KEYS keys are broadcast. Beyond that the hot ones (``size`` of HOT_ROWS or more:
@@ -92,8 +92,9 @@ def join_figures(rows: DataFrame, figures: DataFrame, key: str, size: str) -> Da
     if figures.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
         return rows.join(F.broadcast(figures), key, "left")
     hot = F.broadcast(figures.where(F.col(size) >= HOT_ROWS))
-    direct = rows.join(hot, key, "left").where(F.col(key).isNull() | F.col(size).isNotNull())
-    cold = rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(figures.where(F.col(size) < HOT_ROWS), key, "left")
+    first = key if isinstance(key, str) else key[0]
+    direct = rows.join(hot, key, "left").where(F.col(first).isNull() | F.col(size).isNotNull())
+    cold = rows.where(F.col(first).isNotNull()).join(hot.select(key), key, "left_anti").join(figures.where(F.col(size) < HOT_ROWS), key, "left")
     return direct.unionByName(cold)
 
 

@@ -8,8 +8,9 @@ bucket is compared in double precision by a block product.
 
 A pair that meets several times counts where it meets first, which each room sees from the
 buckets that travel with a vector; so rooms put out a row per vector (its links, and the
-leader of its cluster), never pairs. Buckets beyond ``ROOM`` vectors are split into chunks,
-and each pair of chunks is a room of its own: no candidate is dropped.
+leader of its cluster), never pairs. First only bucket numbers and ids are dealt out; vectors go
+to the buckets in which one lives and another meets it. Buckets beyond ``ROOM`` vectors are
+split into chunks, and each pair of chunks is a room of its own: no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, ship
+from ._common import join_figures, map_arrow, materialize, ship
 from .graph import components
 
 ROOM = 512
@@ -113,6 +114,11 @@ def _room(t: int, bucket: int, ids: np.ndarray, many: np.ndarray, side: np.ndarr
     return [(int(ids[x]), int(links[x]), int(ids[label[x]])) for x in touched]
 
 
+def tables_for(k: int) -> int:
+    """Tables for k rotations a bucket: the chance to meet in one falls with k."""
+    return math.ceil(TABLES * 1.5 ** max(0, k - 2))
+
+
 _FOUND = "vec_id bigint, links bigint, leader bigint"
 
 
@@ -164,7 +170,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     n_links is the number of other vectors linked directly, component_id the least vec_id
     reachable, kept whether that is the vector itself. Vectors that are null or zero or hold a
     null or a component that isn't finite link with nothing, nor do vectors of different
-    lengths or with a null id. Ids are taken as unique. Links are never wrong; one may be
+    lengths or with a null id. Rows that repeat an id and its vector are vectors of their own, which
+    link with each other; of several vectors of one id the one with the least digest links, the
+    others with nothing. Vectors exactly at the threshold link. Links are never wrong; one may be
     missed with a small probability, which the tests measure. Other columns are ignored; an
     empty table gives an empty result.
     """
@@ -173,12 +181,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     marked = rows.where(good).select("vec_id", "v", F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256).alias("print"))
+    members = marked.select("vec_id", "print")
+    firsts = members.groupBy("vec_id").agg(F.min("print").alias("first"))
+    members = materialize(members.join(firsts, "vec_id").select("vec_id", "print", (F.col("print") == F.col("first")).alias("counts")))
+    if not members.where("not counts").isEmpty():  # an id with several vectors
+        marked = marked.join(members.where("counts").select("vec_id", "print").distinct(), ["vec_id", "print"], "left_semi")
     sets = materialize(marked.groupBy("print").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("many"), F.first("v").alias("v")))
-    members = materialize(marked.select("vec_id", "print"))
     n, dim = sets.agg(F.count("*"), F.max(F.size("v"))).first()
     sides = 2 << max(1, ((dim or 1) - 1).bit_length())
     k = k or max(1, min(round(math.log(max(n, 2)) / math.log(sides)), int(55 // math.log2(sides))))
-    tables = tables or math.ceil(TABLES * 1.5 ** max(0, k - 2))
+    tables = tables or tables_for(k)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,13 +207,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
                     yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("many").take(take), pa.array([x.tobytes() for x in unit[at : at + 4096]], pa.binary()), pa.array([x.tobytes() for x in some], pa.binary()), pa.array(some.reshape(len(some), -1).tolist(), pa.list_(pa.int64()))], names=["vec_id", "many", "vector", "codes", "places"])
 
     coded = materialize(map_arrow(sets.select("vec_id", "many", "v"), code, "vec_id bigint, many bigint, vector binary, codes binary, places array<bigint>"))
-    table = F.floor(F.col("p") / (1 + PROBES)).cast("int").alias("t")
-    each = coded.select("vec_id", "many", "vector", "codes", F.posexplode("places").alias("p", "bucket")).select("vec_id", "many", "vector", "codes", "bucket", table).where("bucket >= 0")
-    crowds = coded.select(F.posexplode("places").alias("p", "bucket")).where("bucket >= 0").groupBy(table, "bucket").agg(F.count("*").alias("size")).where(F.col("size") > ROOM)
-    crowds = materialize(crowds.withColumn("chunks", F.ceil(F.col("size") / ROOM).cast("int")).drop("size"))
-    small = crowds.limit(50_001).count() <= 50_000  # 24 bytes each
-    each = each.join(F.broadcast(crowds) if small else crowds, ["t", "bucket"], "left").withColumn("c", F.pmod(F.xxhash64("vec_id"), F.coalesce("chunks", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("o")
+    postings = coded.select("vec_id", F.posexplode("places").alias("p", "bucket")).where("bucket >= 0")
+    postings = postings.select(F.floor(F.col("p") / (1 + PROBES)).cast("int").alias("t"), "bucket", "vec_id", (F.col("p") % (1 + PROBES) == 0).alias("home"))
+    used = postings.groupBy("t", "bucket").agg(F.count("*").alias("size"), F.count_if("home").alias("homes")).where("size > 1 and homes > 0")
+    used = materialize(used.select("t", "bucket", "size", F.ceil(F.col("size") / ROOM).cast("int").alias("chunks")))
+    each = join_figures(postings.drop("home"), used, ["t", "bucket"], "size").where("chunks is not null").join(coded.select("vec_id", "many", "vector", "codes"), "vec_id")
+    each = each.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
     each = each.select("t", "bucket", "vec_id", "many", "vector", "codes", "c", other).select("t", "bucket", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).alias("side"), "vec_id", "many", "vector", "codes")
     found = map_arrow(each.repartition("t", "bucket", "a", "b").sortWithinPartitions("t", "bucket", "a", "b"), lambda b: _rooms(b, tables, threshold), _FOUND)
     found = materialize(found.groupBy("vec_id", "leader").agg(F.sum("links").alias("links")))
@@ -209,7 +221,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     parts = components(found.select(F.col("vec_id").alias("u"), F.col("leader").alias("v")))
     known = sets.select("print", F.col("vec_id").alias("first_id"), "many")
     known = known.join(links.withColumnRenamed("vec_id", "first_id"), "first_id", "left").join(parts.withColumnRenamed("node", "first_id"), "first_id", "left")
-    known = known.select("print", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "first_id").alias("component_id"))
-    linked = members.join(known, "print").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    alone = rows.where(~good).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    known = materialize(known.select("print", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "first_id").alias("component_id"), "many"))
+    linked = join_figures(members.where("counts"), known, "print", "many").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = rows.where(~good).select("vec_id").unionByName(members.where("not counts").select("vec_id"))
+    alone = alone.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)

@@ -7,8 +7,9 @@ their first bits. Overflow of the filter doubles it and fills it again from the
 
 Each input partition first collapses its own copies in an index with a bounded number of
 live digests (the oldest are deleted from it and put out), so a group that holds a third of
-all rows reaches the exchange as a few rows a partition. The exchange is by digest; indexes of
-the same kind there merge what the partitions found.
+all rows reaches the exchange as a few rows a partition. The exchange is by digest, to as many
+partitions as hold the index of each to about LIVE digests; indexes of the same kind there
+merge what the partitions found.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, map_rows, materialize, sha256, texts
+from ._common import join_figures, map_arrow, map_rows, materialize, sha256, texts
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -195,5 +196,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(t) for t in rows], pa.int64())], names=["doc_id", "key", "chars"])
 
     signed = materialize(map_rows(docs, {"doc_id": doc_id, "text": text}, sign, "doc_id bigint, key binary, chars bigint"))
-    groups = map_arrow(map_arrow(signed, _collapse, _PART).repartition("key"), _combine, _PART)
-    return signed.select("doc_id", "key").join(groups.select("key", F.col("best_id").alias("keep_id"), F.col("rows").alias("group_size")), "key").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() // LIVE))
+    groups = materialize(map_arrow(map_arrow(signed, _collapse, _PART).repartition(parts, "key"), _combine, _PART))
+    kept = join_figures(signed.select("doc_id", "key"), groups.select("key", F.col("best_id").alias("keep_id"), F.col("rows").alias("group_size")), "key", "group_size")
+    return kept.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"))

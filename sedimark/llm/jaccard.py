@@ -35,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import claim, map_arrow, materialize, ship, trimmed
+from ._common import claim, join_figures, map_arrow, materialize, ship, trimmed
+from .bloom import flagged
 from .graph import components
 from .substring_dedup import BASES, _gaps, _mix, _pack, _places, _unpack, word_hashes
-from .url_filter import _masks, bloom_blocks
 
 GROUP = 128
 FIRST = 16
@@ -52,8 +52,6 @@ SKETCH_PARTS = 16
 BLOCK_TOKENS = 2_000_000
 #: Rows of ids and numbers (some 50 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 300_000
-#: Blocks of the Bloom filter in front of a text exchange at most: 2.6 MB.
-BLOOM_BLOCKS = 1 << 16
 REDUCER_TOKENS = 600_000
 LEAST_REDUCERS = 64
 HASHES = 3
@@ -198,13 +196,7 @@ def _only(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """docs joined with ``needed`` (doc_id and more): broadcast up to BROADCAST_ROWS, else by shuffle behind a small Bloom filter that keeps other texts off the network."""
     if needed.count() <= BROADCAST_ROWS:
         return docs.join(F.broadcast(needed), "doc_id")
-    ids = needed.select("doc_id").distinct()
-    blocks = min(BLOOM_BLOCKS, max(1, ids.count() // 10))
-    bloom = F.broadcast(bloom_blocks(ids, "doc_id", blocks))
-    hit = F.lit(True)
-    for i, m in enumerate(_masks(F.col("doc_id"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
-    some = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).join(bloom, "block").where(hit).select("doc_id", "text")
+    some = flagged(docs, "doc_id", needed.select("doc_id").distinct(), "maybe").where("maybe").select("doc_id", "text")
     return some.join(needed, "doc_id")
 
 
@@ -429,7 +421,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
         members = opened.where(F.col("weight") > GROUP).select(grp(F.pmod(F.xxhash64("doc_id"), blocks)).alias("place"), "doc_id").join(visits.select("place").distinct(), "place")
         whole = whole.unionByName(_meet(docs, visits, members, words, percent, False))
     final = components(materialize(whole)).withColumnRenamed("node", "first_id")
-    firsts = full.groupBy("print").agg(F.min("doc_id").alias("first_id")).join(final, "first_id", "left").select(F.col("print").alias("key"), F.coalesce("component", "first_id").alias("component_id"))
-    linked = full.join(firsts, full["print"] == firsts["key"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    firsts = full.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).join(final, "first_id", "left")
+    firsts = materialize(firsts.select("print", F.coalesce("component", "first_id").alias("component_id"), "copies"))
+    linked = join_figures(full.select("print", "doc_id", "n"), firsts, "print", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = every.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

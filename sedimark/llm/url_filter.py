@@ -1,8 +1,8 @@
 """URL verdicts: host and path rules, then a list of URLs behind a blocked Bloom filter.
 
-DataFrame functions only. The listed canonical URLs set bits in 256-bit blocks (four longs a
-block, two bits in each); a URL whose bits aren't all set is not listed, and most end there.
-The possible hits go through an exact join with the list, which removes false positives.
+DataFrame functions only. The listed canonical URLs make a blocked Bloom filter (``bloom``); most
+URLs end there, as not listed. The possible hits go through an exact hash join with the list,
+which removes false positives: all in one pass over the pages.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYS_A_BLOCK = 10
-#: Filters of at most so many blocks (40 bytes each) are broadcast, others are joined by shuffle.
-BROADCAST_BLOCKS = 200_000
+from ._common import SMALL_KEYS, join_figures, materialize
+from .bloom import flagged
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -46,48 +45,28 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def _masks(key: Column) -> list[Column]:
-    """The bits of a key in the four longs of its block."""
-    h = F.xxhash64(key, F.lit(1))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
-    return [bit(2 * w).bitwiseOR(bit(2 * w + 1)) for w in range(4)]
-
-
-def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """The filter as rows: block, w0 to w3. Blocks without a key have no row."""
-    masks = _masks(F.col(key))
-    rows = listed.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(masks)])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", listed_url: str = "url") -> DataFrame:
     """Judge URLs: page_id, host, path, rule, verdict (allow or block), listed.
 
     One row per input row. The longest rule that fits decides; where none does, a URL whose
     canonical form is listed is blocked and any other allowed. Null or malformed URLs have an
-    empty host and path and are never listed. Repeated rows stay; repeated or null listed URLs
-    count once or not at all; an empty list blocks nothing; other columns are ignored.
+    empty host and path and are never listed. Repeated rows stay, null ids too; repeated or null
+    listed URLs count once or not at all; an empty list blocks nothing; a URL of any length is
+    read whole; other columns are ignored; no pages give an empty result.
     """
     lh, lp = host_path(F.col(listed_url))
-    names = listed.select(canonical(lh, lp).alias("key")).where("key is not null").distinct()
-    blocks = max(1, -(-names.count() // KEYS_A_BLOCK))
-    bloom = bloom_blocks(names, "key", blocks)
-    if blocks <= BROADCAST_BLOCKS:
-        bloom = F.broadcast(bloom)
+    names = materialize(listed.select(canonical(lh, lp).alias("key")).where("key is not null").distinct())
 
     h, p = host_path(F.col("url"))
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"))
     rows = rows.select("page_id", h.alias("host"), p.alias("path"))
-    rows = rows.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("key", canonical(F.col("host"), F.col("path")))
-    ask = F.col("hit").isNull() & F.col("key").isNotNull()  # the list matters to these only
-    out = ("page_id", "host", "path", F.col("hit.rule").alias("rule"))
-
-    ruled = rows.where(~ask).select(*out, F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"), F.lit(False).alias("listed"))
-    asked = rows.where(ask).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).join(bloom, "block", "left")
-    maybe = F.lit(True)
-    for i, m in enumerate(_masks(F.col("key"))):
-        maybe = maybe & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) == m)
-    clear = asked.where(~maybe).select(*out, F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
-    hits = asked.where(maybe).join(names.withColumn("listed", F.lit(True)), "key", "left")
-    hits = hits.select(*out, F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"), F.coalesce("listed", F.lit(False)).alias("listed"))
-    return ruled.unionByName(clear).unionByName(hits)
+    rows = rows.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("key", F.when(F.col("hit").isNull(), canonical(F.col("host"), F.col("path"))))  # the list matters where no rule fits
+    asked = flagged(rows, "key", names, "maybe").withColumn("key", F.when(F.col("maybe"), F.col("key"))).drop("maybe")
+    figures = names.withColumn("pages", F.lit(1).cast("bigint"))
+    if names.limit(SMALL_KEYS + 1).count() > SMALL_KEYS:  # then the pages of each possible hit are counted, since one URL may be on very many
+        figures = asked.where("key is not null").groupBy("key").agg(F.count("*").alias("pages")).join(names, "key")
+        figures = materialize(figures)
+    judged = join_figures(asked, figures, "key", "pages")
+    there = F.col("pages").isNotNull()
+    verdict = F.when(F.col("hit").isNotNull(), F.col("hit.verdict")).when(there, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), there.alias("listed"))

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from sedimark.llm import embedding_dedup
+from sedimark.llm import _common, embedding_dedup
 
 
 def brute(rows, threshold=0.95):
@@ -57,19 +58,38 @@ def test_split_rooms_count_each_link_once(spark, monkeypatch):
     assert sum(r[1] for r in want) * 0.999 <= sum(r.n_links for r in got) <= sum(r[1] for r in want)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5])
+def test_recall_at_the_threshold(k):
+    """With the tables that an input large enough for this k gets."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(4000, 64))
+    n = 2000 if k < 4 else 600
+    x = rng.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     y = rng.normal(size=x.shape)
     y -= (y * x).sum(1)[:, None] * x
     y /= np.linalg.norm(y, axis=1)[:, None]
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * y
-    a, b = (embedding_dedup.buckets(v, embedding_dedup.TABLES, 2, embedding_dedup.PROBES) for v in (x, y))
+    tables = embedding_dedup.tables_for(k)
+    a, b = (embedding_dedup.buckets(v, tables, k, embedding_dedup.PROBES) for v in (x, y))
     found = (embedding_dedup._meets(a, b) != np.iinfo(np.int64).max).any(1).mean()
-    print("recall at cosine 0.95:", found)
+    print("recall at cosine 0.95:", k, tables, found)
     assert found >= 0.99
 
 
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_null_and_repeated_ids(spark, monkeypatch, small):
+    monkeypatch.setattr(_common, "SMALL_KEYS", small)
+    monkeypatch.setattr(_common, "HOT_ROWS", 2)
+    a, b = [1.0, 2.0, 3.0], [3.0, -2.0, 1.0]
+    rows = [(None, a), (1, a), (1, a), (2, a), (3, b), (4, a), (4, b), (None, None)]
+    got = sorted((tuple(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()), key=str)
+    one = [r for r in got if r[0] in (1, 2)]
+    links_of_a = 3 + [r for r in got if r[0] == 4].count((4, 3, 1, False))  # 1, 1, 2 and perhaps 4
+    assert one == [(1, links_of_a - 1, 1, True)] * 2 + [(2, links_of_a - 1, 1, False)]
+    four = [r for r in got if r[0] == 4]
+    assert len(four) == 2 and (4, 0, 4, True) in four and len(got) == 8
+    assert [r for r in got if r[0] is None] == [(None, 0, None, True)] * 2 or all(r[1] == 0 for r in got if r[0] is None)
+
+
 def test_empty(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []

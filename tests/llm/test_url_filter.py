@@ -1,6 +1,6 @@
 import random
 
-from sedimark.llm import url_filter
+from sedimark.llm import _common, bloom, url_filter
 from sedimark.llm.queries import URL_RULES
 
 
@@ -45,12 +45,18 @@ def test_matches_brute_force(spark):
     got = url_filter.filter_urls(df, lf, URL_RULES)
     assert got.columns == ["page_id", "host", "path", "rule", "verdict", "listed"]
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute(pages, listed)
-    url_filter_limit = url_filter.BROADCAST_BLOCKS
-    try:
-        url_filter.BROADCAST_BLOCKS = 0  # the way for lists too long to broadcast
-        assert sorted([tuple(r) for r in url_filter.filter_urls(df, lf, URL_RULES).collect()], key=str) == brute(pages, listed)
-    finally:
-        url_filter.BROADCAST_BLOCKS = url_filter_limit
+
+
+def test_long_lists_hot_urls_and_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SMALL_KEYS", 0)
+    monkeypatch.setattr(_common, "SMALL_KEYS", 0)
+    monkeypatch.setattr(_common, "HOT_ROWS", 50)
+    monkeypatch.setattr(bloom, "BROADCAST_BLOCKS", 1)  # nearly everything passes the filter
+    pages = [(i, "x://hot.org/p" if i % 3 == 0 else f"x://h{i % 40}.org/q?{i}") for i in range(600)] + [(7, None), (8, "x://l.org/" + "a" * 300_000), (9, "x://l.org/" + "a" * 300_000 + "b")]
+    listed = ["x://hot.org/p/", "http://h3.org/q", "x://l.org/" + "a" * 300_000]
+    df = spark.createDataFrame(pages, "page_id bigint, url string").repartition(5)
+    got = url_filter.filter_urls(df, spark.createDataFrame([(u,) for u in listed], "url string"), URL_RULES)
+    assert sorted([tuple(r) for r in got.collect()], key=str) == brute(pages, listed)
 
 
 def test_empty_tables(spark):
