@@ -182,7 +182,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of equal texts: doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
+    """Groups of equal texts: doc_id, keep_id, group_size, kept, text_sha256, mark (xxhash64 of the text), one row per input row.
 
     Null text counts as empty, and all empty texts are one group. The row with the most code
     points stays, of several the one with the least id; null ids come last. Rows that repeat an
@@ -193,10 +193,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = texts(batch)
         keys = [bytes.fromhex(digest(t)) for t in rows]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(t) for t in rows], pa.int64())], names=["doc_id", "key", "chars"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(t) for t in rows], pa.int64()), batch.column("mark")], names=["doc_id", "key", "chars", "mark"])
 
-    signed = materialize(map_rows(docs, {"doc_id": doc_id, "text": text}, sign, "doc_id bigint, key binary, chars bigint"))
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    signed = materialize(map_rows(named, {c: c for c in named.columns}, sign, "doc_id bigint, key binary, chars bigint, mark bigint"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() // LIVE))
-    groups = materialize(map_arrow(map_arrow(signed, _collapse, _PART).repartition(parts, "key"), _combine, _PART))
-    kept = join_figures(signed.select("doc_id", "key"), groups.select("key", F.col("best_id").alias("keep_id"), F.col("rows").alias("group_size")), "key", "group_size")
-    return kept.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"))
+    groups = materialize(map_arrow(map_arrow(signed.drop("mark"), _collapse, _PART).repartition(parts, "key"), _combine, _PART))
+    kept = join_figures(signed.drop("chars"), groups.select("key", F.col("best_id").alias("keep_id"), F.col("rows").alias("group_size")), "key", "group_size")
+    return kept.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"), "mark")

@@ -53,6 +53,8 @@ BLOCK_TOKENS = 2_000_000
 #: Rows of ids and numbers (some 50 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 300_000
 REDUCER_TOKENS = 600_000
+#: Pairs of a set and a group that are looked at at a time.
+CELLS = 500_000
 LEAST_REDUCERS = 64
 HASHES = 3
 PIECE_WORDS = 200_000
@@ -294,6 +296,13 @@ def _columns(rows: DataFrame, reducers: int) -> DataFrame:
     return map_arrow(rows, run, "r int, docs binary, counts binary, tokens binary, rest binary", "words")
 
 
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    """Distinct columns of arrays of two rows."""
+    every = np.concatenate(pairs, axis=1)
+    every = every[:, np.lexsort(every)]
+    return every[:, np.append(True, (every[:, 1:] != every[:, :-1]).any(0))[: every.shape[1]]]
+
+
 def _query(group: pa.Table, percent: int) -> pa.Table:
     """One reducer: (set, cluster) that share a prefix token and may hold similar sets.
 
@@ -327,16 +336,17 @@ def _query(group: pa.Table, percent: int) -> pa.Table:
         far = reach[a:b]
         few, most = np.minimum.reduceat(size[mine], head), np.maximum.reduceat(far, head)
         names, heavy = c[head], weight[mine][head]
-        for at in range(0, len(mine), 1024):
-            x = mine[at : at + 1024]
+        step = max(1, CELLS // len(head))
+        for at in range(0, len(mine), step):
+            x = mine[at : at + step]
             w, own, n = weight[x][:, None], cluster[x][:, None], size[x][:, None]
-            q, g = np.nonzero(((heavy > w) | (heavy == w) & (names > own)) & (n <= most) & (few <= far[at : at + 1024][:, None]))
+            q, g = np.nonzero(((heavy > w) | (heavy == w) & (names > own)) & (n <= most) & (few <= far[at : at + step][:, None]))
             if len(q):
                 found.append(np.stack([ids[x[q]], names[g]]))
                 held += len(q)
-        if held > 2_000_000:
-            found, held = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            if held > 2 * CELLS:
+                found, held = [_distinct(found)], 0
+    pairs = _distinct(found)
     return pa.table({"doc_id": pa.array(pairs[0], pa.int64()), "cluster": pa.array(pairs[1], pa.int64())})
 
 

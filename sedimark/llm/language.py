@@ -151,7 +151,7 @@ def _scores(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def identify(docs: DataFrame, declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, label: str | None = None, doc_id: str = "doc_id", text: str = "text", accept: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Languages of documents: doc_id, language, confidence, text_language, declared, kept; one row per input row.
+    """Languages of documents: doc_id, language, confidence, text_language, declared, kept, mark (xxhash64 of the text); one row per input row.
 
     declared, host, suffix name columns with the markup language, the host and the address
     suffix; without a suffix column the host's last label is it, and None for the others leaves
@@ -172,9 +172,9 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     K = len(names)
     if not K:
         nothing = F.lit(None).cast("string")
-        return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), nothing.alias("language"), F.lit(0.0).alias("confidence"), nothing.alias("text_language"), (F.lower(F.col(f"`{declared}`").cast("string")) if declared else nothing).alias("declared"), F.lit(False).alias("kept"))
+        return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), nothing.alias("language"), F.lit(0.0).alias("confidence"), nothing.alias("text_language"), (F.lower(F.col(f"`{declared}`").cast("string")) if declared else nothing).alias("declared"), F.lit(False).alias("kept"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
     column = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lower(F.regexp_extract(column(declared), "^[A-Za-z]+", 0)).alias("declared"), column(host).alias("host"), (F.lower(column(suffix)) if suffix else address_suffix(column(host))).alias("suffix"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lower(F.regexp_extract(column(declared), "^[A-Za-z]+", 0)).alias("declared"), column(host).alias("host"), (F.lower(column(suffix)) if suffix else address_suffix(column(host))).alias("suffix"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +182,9 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
             if batch.num_rows:
                 ll, n = _scores(batch.column("text").to_pylist(), table)
                 ll = ll * (np.minimum(n, PAIRS) / np.maximum(n, 1))[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("declared"), batch.column("host"), batch.column("suffix"), pa.array(n, pa.int64()), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["doc_id", "declared", "host", "suffix", "pairs", "ll"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("declared"), batch.column("host"), batch.column("suffix"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["doc_id", "declared", "host", "suffix", "mark", "pairs", "ll"])
 
-    rated = map_arrow(rows, read, "doc_id bigint, declared string, host string, suffix string, pairs bigint, ll array<double>")
+    rated = map_arrow(rows, read, "doc_id bigint, declared string, host string, suffix string, mark bigint, pairs bigint, ll array<double>")
     top = F.array_max("ll")
     weights = F.transform("ll", lambda x: F.exp(x - top))
     rated = materialize(rated.withColumn("w", weights).withColumn("p", F.when(F.col("pairs") > 0, F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b)))).drop("w"))
@@ -221,6 +221,6 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     best = lambda c: F.element_at(languages, F.array_position(c, F.array_max(c)).cast("int"))
     letters = (F.col("pairs") > 0)
     sure = F.when(letters, 1 / F.aggregate(F.transform("e", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
-    out = out.select("doc_id", F.when(letters, best(F.col("e"))).alias("language"), sure.alias("confidence"), F.when(letters, best(F.col("ll"))).alias("text_language"), "declared")
+    out = out.select("doc_id", F.when(letters, best(F.col("e"))).alias("language"), sure.alias("confidence"), F.when(letters, best(F.col("ll"))).alias("text_language"), "declared", "mark")
     fits = F.col("language").isin(accept) if accept is not None else F.col("language").isNotNull()
-    return out.withColumn("kept", F.coalesce(fits & (F.col("confidence") >= threshold), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(fits & (F.col("confidence") >= threshold), F.lit(False))).select("doc_id", "language", "confidence", "text_language", "declared", "kept", "mark")

@@ -32,7 +32,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(_table(spark, sf_dir, "documents"))
+    return language.identify(_table(spark, sf_dir, "documents")).drop("mark")
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&#?\w+;", " ")
     rows = pages.select("page_id", words.alias("words"), language.markup_language(F.col("html")).alias("markup"), url_filter.host_path(F.col("url"))[0].alias("host"))
     found = language.identify(rows.withColumn("host", F.when(F.col("host") != "", F.col("host"))), declared="markup", host="host", doc_id="page_id", text="words")
-    return found.withColumnRenamed("doc_id", "page_id")
+    return found.withColumnRenamed("doc_id", "page_id").drop("mark")
 
 
 def queries() -> dict:

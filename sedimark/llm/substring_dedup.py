@@ -10,11 +10,13 @@ word is removed if a window over it also starts in a document with a smaller id.
 2. Reducers, by hash, find the windows whose hash has a smaller document elsewhere and answer
    each block.
 3. Blocks merge the windows to remove into maximal intervals of words, one row per document.
-4. The intervals meet the texts by document id and text hash; the kept words are joined.
+4. The intervals meet the texts by document id and text hash; the kept words are joined. A
+   broadcast Bloom filter keeps texts that lose nothing off the network.
 
-Hashes are as wide as the input asks for: 64 bits and as many bytes of a second, independent
-hash as hold the expected number of chance matches under 1/1000. A text crosses the network
-once, a window as 9 to 10 bytes.
+Spark deals the windows out and groups them by hash; within a block and a reducer NumPy sorts and
+counts them. Hashes are as wide as the input asks for: 64 bits and as many bytes of a second hash,
+from words hashed with another seed, as hold the expected number of chance matches under
+1/1000. A window crosses the network as 9 to 10 bytes.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ._common import map_arrow, sha256, ship, total_bytes, trimmed
+from ._common import map_arrow, materialize, sha256, ship, total_bytes, trimmed
+from .bloom import flagged
 
 BLOCK_WORDS = 500_000
 #: Windows that one reducer gets on average at most: some 100 MB while it sorts them.
@@ -62,14 +66,15 @@ def _places(data: bytes) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash; two generations of at most 120,000 words."""
 
-    def __init__(self):
+    def __init__(self, seed: int):
         super().__init__()
+        self.seed = seed
         self.older: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         out = self.older.get(word)
         if out is None:
-            out = xxhash.xxh3_64_intdigest(word)
+            out = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(word) < 64:
             if len(self) >= 120_000:
                 self.older = dict(self)
@@ -78,9 +83,9 @@ class WordHashes(dict):
         return out
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+@lru_cache(maxsize=2)
+def word_hashes(seed: int = 0) -> WordHashes:
+    return WordHashes(seed)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,10 +140,10 @@ def _ask(block: list[tuple], number: int, width: int, extra: int, reducers: int)
     ids, marks, firsts = (np.array([d[i] for d in block], np.int64) for i in range(3))
     sizes = np.array([len(d[3]) for d in block], np.int64)
     starts = np.cumsum(sizes) - sizes
-    cache = word_hashes().__getitem__
-    words = np.fromiter((h for d in block for h in map(cache, d[3])), np.uint64, int(sizes.sum()))
+    hashed = lambda seed: np.fromiter((h for d in block for h in map(word_hashes(seed).__getitem__, d[3])), np.uint64, int(sizes.sum()))
+    words = hashed(0)
     keys = rolling(words, width, BASES[0])
-    more = rolling(_mix(words), width, BASES[1]).view(np.uint8).reshape(-1, 8)[:, :extra] if extra else None
+    more = rolling(hashed(1), width, BASES[1]).view(np.uint8).reshape(-1, 8)[:, :extra] if extra else None
     owner = np.repeat(np.arange(len(block)), sizes)
     place = np.flatnonzero(np.arange(len(words)) + width <= (starts + sizes)[owner])
     order = place[np.argsort(keys[place], kind="stable")]
@@ -269,24 +274,37 @@ def _kept(words: list[bytes], spans: list[int]) -> list[bytes]:
     return kept + words[at:]
 
 
+def _with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Columns c0, c1, ... of docs in their order, and spans (null where nothing is to go): the rows that lose nothing, and those that may.
+
+    Own names keep clashes with columns of the caller out. Only the latter are shuffled.
+    """
+    spans = materialize(spans.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.xxhash64("doc_id", "mark").alias("key"), F.col("doc_id").alias("id"), "mark", "spans"))
+    mark = F.xxhash64(F.col(f"`{text}`"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{doc_id}`").cast("bigint").alias("own_id"), mark.alias("own_mark"))
+    rows = flagged(rows.withColumn("key", F.xxhash64("own_id", "own_mark")), "key", spans.select("key").distinct(), "maybe")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    stay = rows.where("not maybe").select(*names, F.lit(None).cast("array<bigint>").alias("spans"))
+    some = rows.where("maybe").drop("key").join(spans.drop("key"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left").select(*names, "spans")
+    return stay, some
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Remove words of repeated windows: doc_id, n_words, n_removed, kept_sha256, and kept_text on demand.
 
     kept_text is the kept words joined by one space. One row per input row. Null and empty
-    texts and texts under ``width`` words lose nothing. Windows are judged on the input. A
+    texts and texts under ``width`` words lose nothing; a very long text is cut into overlapping
+    pieces, so its windows are all judged. Windows are judged on the input. A
     repeat within one document, or in rows with the same id, is no reason to remove; null ids
     come after all others. Other columns are ignored; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, width, doc_id, text).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    spans = spans.select(F.col("doc_id").alias("id"), "mark", "spans")
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["id"]) & (rows["mark"] == spans["mark"]), "left").select("doc_id", "text", "spans")
+    ids = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    stay, some = _with_spans(ids, repeated_spans(ids, width), "doc_id", "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for t, s in zip(batch.column("c1").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = (t or "").encode().split()
                 n = len(words)
                 if s:
@@ -295,28 +313,27 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
                 out.append((n, n - len(words), sha256(joined), joined.decode() if with_text else None))
             if out:
                 n, removed, digests, kept_texts = zip(*out, strict=True)
-                arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
+                arrays = [batch.column("c0"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays[: 4 + with_text], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
-    return map_arrow(rows, apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text, "words")
+    return map_arrow(stay.unionByName(some), apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text, "words")
 
 
 def rewrite(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated words gone: same columns and rows.
+    """docs with the repeated words gone: same columns and rows, whatever the columns are called.
 
     A text that loses words becomes its kept words joined by one space; any other text stays
-    as it is, white space included. What is removed is what ``remove_repeats`` removes.
+    as it is, white space and null included. What is removed, also of null ids, repeated rows and
+    very long texts, is what ``remove_repeats`` removes. An empty table stays empty.
     """
-    spans = repeated_spans(docs, width, doc_id, text).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text}`")))
-    rows = rows.join(spans, rows[doc_id].cast("bigint").eqNullSafe(spans["_id"]) & (rows["_hash"] == spans["_mark"]), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    at = docs.columns.index(text)
+    stay, some = _with_spans(docs, repeated_spans(docs, width, doc_id, text), doc_id, text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            new = [t if not s else b" ".join(_kept((t or "").encode().split(), s)).decode() for t, s in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            new = [t if not s else b" ".join(_kept((t or "").encode().split(), s)).decode() for t, s in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             columns = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return map_arrow(rows, apply, docs.schema, "words")
+    kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    return stay.drop("spans").unionByName(map_arrow(some, apply, kinds, "words")).toDF(*docs.columns)

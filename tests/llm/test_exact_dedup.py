@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from sedimark.llm import exact_dedup
+from sedimark.llm import _common, exact_dedup
 from sedimark.llm.exact_dedup import CuckooIndex
 
 
@@ -31,8 +31,17 @@ def test_matches_brute_force(spark):
     rows = rows_of()
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id bigint, text string, key string, rows int").repartition(4)
     got = exact_dedup.exact_groups(df)
-    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    assert sorted([tuple(r) for r in got.collect()], key=str) == brute(rows)
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "mark"]
+    assert sorted([tuple(r)[:5] for r in got.collect()], key=str) == brute(rows)
+
+
+def test_hot_groups_beside_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(_common, "SMALL_KEYS", 0)
+    monkeypatch.setattr(_common, "HOT_ROWS", 8)
+    monkeypatch.setattr(exact_dedup, "LIVE", 20)
+    rows = rows_of()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted([tuple(r)[:5] for r in exact_dedup.exact_groups(df).collect()], key=str) == brute(rows)
 
 
 def test_index_with_few_live_digests_gives_the_same():

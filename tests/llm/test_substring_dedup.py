@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -74,3 +77,33 @@ def test_rolling_is_by_content():
     words = np.array([5, 6, 7, 1, 5, 6, 7, 2, 7, 6, 5], np.uint64)
     got = substring_dedup.rolling(words, 3, substring_dedup.BASES[0])
     assert got[0] == got[4] and got[0] != got[8] and len(set(got.tolist())) == 8
+
+
+def test_rewrite_whatever_the_columns_are_called(spark):
+    rows = rows_of(8)
+    want = {}
+    for i, _, removed, digest in brute(rows, 50):
+        want.setdefault(i, set()).add((removed, digest))
+    schema = "_spans string, doc_id bigint, text string, _hash bigint, spans int, mark string, c1 int, key int, block int, maybe int"
+    df = spark.createDataFrame([("s", i, t, 77, 1, "m", 2, 3, 4, 5) for i, t in rows], schema).repartition(4)
+    out = substring_dedup.rewrite(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert len(got) == len(rows) and {(r["_spans"], r["_hash"], r["spans"], r["mark"], r["c1"], r["key"], r["block"], r["maybe"]) for r in got} == {("s", 77, 1, "m", 2, 3, 4, 5)}
+    texts = {(i, t) for i, t in rows}
+    for r in got:
+        assert (r.doc_id, r.text) in texts or any(n and hashlib.sha256(r.text.encode()).hexdigest() == d for n, d in want[r.doc_id])
+    assert sum((r.doc_id, r.text) not in texts for r in got) == sum(n > 0 for _, _, n, _ in brute(rows, 50))
+    assert substring_dedup.rewrite(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_answers_in_a_fresh_process():
+    """The reducer's function needs nothing that another module happens to have imported."""
+    code = """
+import pyarrow as pa
+from sedimark.llm.substring_dedup import _answer
+print(_answer(pa.table({"r": pa.array([0], pa.int32()), "block": [1], "docs": [b"x"], "places": [b""], "hashes": pa.array([None], pa.binary())}), 0).num_rows)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "1", done.stderr
