@@ -185,9 +185,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Groups of equal texts: doc_id, keep_id, group_size, kept, text_sha256, mark (xxhash64 of the text), one row per input row.
 
     Null text counts as empty, and all empty texts are one group. The row with the most code
-    points stays, of several the one with the least id; null ids come last. Rows that repeat an
-    id with an equal text each count in group_size and share ``kept``. Other columns are
-    ignored; an empty table gives an empty result.
+    points stays, of several the one with the least id; null ids come last. Rows that repeat id
+    and text wholly each count in group_size and share ``kept``. Texts of any length are read
+    whole. Other columns are ignored; an empty table gives an empty result.
     """
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,5 +199,5 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     signed = materialize(map_rows(named, {c: c for c in named.columns}, sign, "doc_id bigint, key binary, chars bigint, mark bigint"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() // LIVE))
     groups = materialize(map_arrow(map_arrow(signed.drop("mark"), _collapse, _PART).repartition(parts, "key"), _combine, _PART))
-    kept = join_figures(signed.drop("chars"), groups.select("key", F.col("best_id").alias("keep_id"), F.col("rows").alias("group_size")), "key", "group_size")
-    return kept.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"), "mark")
+    kept = join_figures(signed, groups.select("key", F.col("best_id").alias("keep_id"), F.col("chars").alias("most"), F.col("rows").alias("group_size")), "key", "group_size")
+    return kept.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most"))).alias("kept"), F.lower(F.hex("key")).alias("text_sha256"), "mark")

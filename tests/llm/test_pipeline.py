@@ -15,6 +15,7 @@ from test_jaccard import brute as jaccard_brute  # noqa: E402
 from test_substring_dedup import brute as substring_brute  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
+from sedimark.llm import _common  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -71,3 +72,43 @@ def test_run_is_the_stages_in_turn(spark):
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard", "substring_dedup", "packing"]
     got = pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and "sequence_id" in got.columns and np.all([r.length > 0 for r in got.collect()])
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, ids with several texts, a very long text, extra columns with clashing names, and no rows."""
+    rng = random.Random(5)
+    words = "the of and to in that it is was for on are with as this be at by from have".split()
+    text = lambda n: " ".join(rng.choice(words) + rng.choice("abcdefghij") * rng.randint(0, 3) for _ in range(n))
+    a, b, c, d, long = text(30), text(40), text(50), text(60), text(90_000)
+    rows = [(1, a), (1, a), (1, b), (2, c), (2, "  " + c + " "), (3, c.replace(" ", "\n")), (None, d), (None, d), (None, None), (4, None), (4, None), (5, ""), (6, long), (7, long + " x"), (8, "1 2 3"), (9, a + " more")]
+    schema = "key string, doc_id bigint, text string, lang string, source string, n_chars bigint, mark int, block int, c0 int, spans int, maybe int, place int"
+    made = [("k", i, t, "en", "s", len(t or ""), 1, 2, 3, 4, 5, 6) for i, t in rows]
+    df = spark.createDataFrame(made, schema).repartition(3)
+    kept = {}
+    for at, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, df, "")
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if at < 4:
+            assert out.columns == df.columns
+            assert {(r.key, r.mark, r.block, r.c0, r.spans, r.maybe, r.place) for r in out.collect()} == {("k", 1, 2, 3, 4, 5, 6)}
+            kept[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        df = out
+    assert kept["language_id"] == sorted([(i, t) for i, t in rows if any(x.isalpha() for x in t or "")], key=str)
+    assert kept["exact_dedup"] == sorted([(1, a), (1, b), (2, "  " + c + " "), (None, d), (6, long), (7, long + " x"), (9, a + " more")], key=str)
+    assert kept["ngram_jaccard"] == sorted([(1, a), (1, b), (2, "  " + c + " "), (None, d), (6, long)], key=str)
+    assert kept["substring_dedup"] == kept["ngram_jaccard"]
+    assert {r.doc_id for r in df.collect()} == {1, 2, 6, None}
+    none = spark.createDataFrame([], schema)
+    for at, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, none, "")
+        assert out.collect() == [] and (at == 4 or out.columns == none.columns)
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    got = pipeline.run(spark, "/root/testdata/sf0.001")
+    n = got.count()
+    left = list(_common._WRITTEN)
+    assert n > 0 and len(left) <= 2
+    _common.purge(spark)
+    assert _common._WRITTEN == []
