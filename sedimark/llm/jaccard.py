@@ -53,6 +53,8 @@ BLOCK_TOKENS = 2_000_000
 #: Rows of ids and numbers (some 50 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 300_000
 REDUCER_TOKENS = 600_000
+#: Tokens of a group's union in one row at most, and sets that one copy of it is compared with on average.
+UNION_TOKENS, ASKERS = 200_000, 2_000
 #: Pairs of a set and a group that are looked at at a time.
 CELLS = 500_000
 LEAST_REDUCERS = 64
@@ -375,10 +377,23 @@ def qualifying(queries: DataFrame, placed: DataFrame, percent: int) -> DataFrame
     sized = sized.withColumn("low", low.cast("bigint")).withColumn("high", high.cast("bigint")).where("low <= high")
     sized = materialize(sized.select("doc_id", "cluster", F.least(_spare(F.col("n"), F.col("low"), percent), _spare(F.col("n"), F.col("high"), percent)).alias("spare")))
     rest = sized.where(F.col("spare") >= one)
-    asked = rest.join(placed.select("doc_id", "tokens"), "doc_id").select("cluster", F.explode("tokens").alias("token"), "doc_id", "spare")
-    union = placed.select("cluster", "tokens").join(rest.select("cluster").distinct(), "cluster", "left_semi").select("cluster", F.explode("tokens").alias("token")).distinct()
-    enough = asked.join(union, ["cluster", "token"]).groupBy("doc_id", "cluster", "spare").agg(F.count("*").alias("shared")).where(F.col("shared") * one > F.col("spare"))
-    return sized.where(F.col("spare") < one).select("doc_id", "cluster").unionByName(enough.select("doc_id", "cluster"))
+    asked = rest.groupBy("cluster").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("rooms"))
+    members = placed.join(asked, "cluster").select("cluster", "rooms", "tokens")
+    held = materialize(members.groupBy("cluster").agg(F.first("rooms").alias("rooms"), F.sum(F.size("tokens")).alias("held")))
+    few, many = (held.where(F.col("held") <= UNION_TOKENS), held.where(F.col("held") > UNION_TOKENS).select("cluster"))
+    with_tokens = rest.join(placed.select("doc_id", "tokens"), "doc_id").select("doc_id", "cluster", "spare", "tokens")
+
+    # the union as one array, copied to the rooms of a group that many sets query
+    union = members.drop("rooms").join(few, "cluster").groupBy("cluster", "rooms").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    union = union.select("cluster", "union", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"))
+    dealt = with_tokens.join(few.select("cluster", "rooms"), "cluster").withColumn("room", F.pmod(F.xxhash64("doc_id"), F.col("rooms")).cast("int"))
+    enough = dealt.join(union, ["cluster", "room"]).where(F.size(F.array_intersect("tokens", "union")) * one > F.col("spare")).select("doc_id", "cluster")
+    if not many.isEmpty():  # unions too large for a row, by rows
+        tokens = lambda rows: rows.join(many, "cluster", "left_semi").withColumn("token", F.explode("tokens"))
+        shared = tokens(with_tokens).select("cluster", "token", "doc_id", "spare").join(tokens(members).select("cluster", "token").distinct(), ["cluster", "token"])
+        large = shared.groupBy("doc_id", "cluster", "spare").agg(F.count("*").alias("shared")).where(F.col("shared") * one > F.col("spare"))
+        enough = enough.unionByName(large.select("doc_id", "cluster"))
+    return sized.where(F.col("spare") < one).select("doc_id", "cluster").unionByName(enough)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -94,8 +94,11 @@ def test_large_clusters_are_opened_in_steps(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == brute(rows)
 
 
-def test_opens_only_groups_whose_overlap_bound_reaches_the_threshold(spark, monkeypatch):
-    """The bound is recomputed from the sets; what was asked for and lies below it is not opened."""
+@pytest.mark.parametrize("union", [200_000, 30])
+def test_opens_only_groups_whose_overlap_bound_reaches_the_threshold(spark, monkeypatch, union):
+    """The bound is recomputed from the sets; what was asked for and lies below it is not opened. With unions in a row, and by rows."""
+    monkeypatch.setattr(jaccard, "UNION_TOKENS", union)
+    monkeypatch.setattr(jaccard, "ASKERS", 3)
     rng = random.Random(6)
     words = [f"w{k}" for k in range(4000)]
     line = [rng.choice(words) for _ in range(14)]
