@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Decimals are needed, thousands may be set off, a minus counts unless a digit stands before it.
-AMOUNT = "(?:(?<!\\d)-)?(?<![\\d.,])(?:\\d{1,3}(?:[ .,]\\d{3})+|\\d+)[.,] ?\\d{1,2}(?![\\d])(?![.,]\\d)(?!\\s*%)"
+from .text import SPACE
+
+# An amount has one or two decimals; thousands may be set off by a space, point or comma; the
+# minus counts unless a digit or another minus stands before it.
+AMOUNT = f"(?<![\\d-])-?\\d{{1,3}}(?:[{SPACE},.]?\\d{{3}})*[.,][{SPACE}]?\\d{{1,2}}(?!\\d)"
 CLOSE = 0.02 + 1e-6
 TPS_RATE, TVQ_RATE = 0.05, 0.09975
 
 
 def amount(text: Column) -> Column:
-    """The last amount in a text, else null."""
+    """The last amount in a text, else null. Its last separator is that of the cents."""
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), F.lit(-1))
-    plain = F.regexp_replace(F.regexp_replace(last, " ", ""), "[.,](?=.*[.,])", "")
-    return F.regexp_replace(plain, ",", ".").try_cast("double")
+    plain = F.regexp_replace(F.regexp_replace(last, f"[{SPACE}]", ""), "[.,](?=.*[.,])", "")
+    return F.when(text.rlike("\\d[.,]"), F.translate(plain, ",", ".").try_cast("double"))
 
 
 def rate(text: Column) -> Column:
@@ -31,6 +34,16 @@ def quantity(text: Column) -> Column:
     return F.when(value > 0, value)
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once each, however often what follows asks for them.
+
+    Projections would be merged with later filters and projections, which repeats costly expressions.
+    """
+    for name, column in columns.items():
+        rows = rows.select("*", F.explode(F.array(column)).alias(name))
+    return rows
+
+
 def near(a: Column, b: Column) -> Column:
     """Equal for the purposes of a balance."""
     return F.abs(a - b) <= CLOSE
@@ -44,7 +57,7 @@ def tax_kind(name: Column, tax_rate: Column) -> Column:
     """tps or tvq by the printed name, else by the rate; null for others."""
     plain = F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), "\\.", ""))
     return (
-        F.when(plain.rlike("TPS|GST"), "tps").when(plain.rlike("TVQ|QST"), "tvq")
+        F.when(plain.isin("TPS", "GST"), "tps").when(plain.isin("TVQ", "QST"), "tvq")
         .when(F.abs(tax_rate - TPS_RATE) < 1e-4, "tps").when(F.abs(tax_rate - TVQ_RATE) < 1e-4, "tvq")
     )
 

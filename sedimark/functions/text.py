@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters that canonical decomposition leaves of them.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: White space in the wide sense, as the inside of a character class.
+SPACE = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+
+
+def _accented() -> dict[str, str]:
+    """Letters of the Latin blocks that canonical decomposition splits into one letter and marks, and that letter."""
+    out = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all("\u0300" <= m <= "\u036f" for m in marks):
+            out[chr(code)] = base
+    return out
+
+
+ACCENTED, PLAIN = map("".join, zip(*_accented().items(), strict=True))
 
 
 def fold(text: Column) -> Column:
@@ -46,39 +60,43 @@ def erratic_case(text: Column) -> Column:
 
 def nameable(text: Column) -> Column:
     """Fit to be a merchant's name: enough letters, few digits, no markup, orderly case."""
-    return (letters(text) >= 3) & (digits(text) <= 6) & (letters(text) > digits(text)) & ~text.rlike("[<>{}]|&[a-z]+;") & ~erratic_case(text)
+    return (letters(text) >= 3) & (digits(text) <= 6) & (letters(text) > digits(text)) & ~text.rlike("[<>]|=\"") & ~erratic_case(text)
 
 
-# Street words after a civic number, folded.
-STREET_WORDS = "rue|avenue|av|boulevard|boul|blvd|chemin|ch|route|place|rang|cote|autoroute|street|st|road|rd|drive|montee|terrasse"
-POSTAL_CODE = "\\b[a-z]\\d[a-z] ?\\d[a-z]\\d\\b"
+# Kinds of street after a civic number, folded.
+STREET_WORDS = ["rue", "av", "ave", "avenue", "boul", "bd", "blvd", "boulevard", "ch", "chem", "chemin", "rang", "route", "rte", "montee", "cote", "place", "pl", "promenade"]
+POSTAL_CODE = f"\\b[a-z]\\d[a-z][{SPACE}]?\\d[a-z]\\d\\b"
+_PROVINCE = f"(?:^|[{SPACE},])qc(?:[{SPACE},.]|$)"
+_CIVIC = f"^\\d+[a-z]?[{SPACE},]+(?:[^{SPACE}]+[{SPACE}]+)?(?:{'|'.join(STREET_WORDS)})\\b"
 
 
 def address(text: Column) -> Column:
-    """Postal code, province alone, or a civic number, at most one word and a street word."""
-    t = fold(text)
-    return t.rlike(POSTAL_CODE) | t.rlike("(^|[^a-z])qc([^a-z]|$)") | t.rlike(f"\\d+,? +([\\p{{L}}'-]+ +)?({STREET_WORDS})\\b")
+    """Postal code, province alone, or, at the beginning, a civic number, at most one word and a kind of street."""
+    return fold(text).rlike(f"{POSTAL_CODE}|{_PROVINCE}|{_CIVIC}")
 
 
 def field_label(text: Column) -> Column:
     """Begins with a short label and a colon."""
-    return text.rlike("^[\\p{L} .']{1,24}:")
+    return text.rlike(f"^[\\p{{L}}{SPACE}.']{{1,24}}:")
 
 
-# Sites that host others.
-PLATFORMS = ["facebook", "instagram", "google", "gmail", "square", "shopify", "clover", "doordash", "ubereats", "skipthedishes", "paypal", "twitter", "tiktok", "youtube"]
+# Sites of payment, delivery and social media, which name no shop.
+PLATFORMS = ["clover", "square", "squareup", "moneris", "paypal", "facebook", "instagram", "google", "uber", "ubereats", "doordash", "skipthedishes", "tripadvisor"]
 
 
 def site_name(text: Column) -> Column:
     """Name of a web site in a text, without www and suffix; null for platforms, mail addresses and none."""
-    name = F.regexp_extract(F.lower(text), "(?:https?://|\\bwww\\.)(?:www\\.)?([a-z0-9-]+)\\.(?:com|ca|net|org|quebec)\\b", 1)
+    name = F.regexp_extract(fold(text), "(?:https?://|www\\.)(?:www\\.)?([a-z0-9-]+)\\.(?:com|ca|net|org|quebec)\\b", 1)
     return F.when((name != "") & ~name.isin(PLATFORMS), name)
 
 
 def ngrams(words: Column, size: int) -> Column:
     """Phrases of ``size`` adjacent words."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+    out = words
+    for n in range(1, size):
+        later = F.when(F.size(words) > n, F.slice(words, n + 1, F.size(words))).otherwise(F.array().cast("array<string>"))
+        out = F.zip_with(out, later, lambda a, b: F.concat(a, F.lit(" "), b))  # null where the words end
+    return F.array_compact(out) if size > 1 else out
 
 
 def print_name(name: Column, width: int, upper: bool = True, accents: bool = False) -> Column:

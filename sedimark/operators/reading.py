@@ -10,16 +10,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
+from . import brands
 from .solver import READ, TAX
 
 # What receipt lines say, in lower case.
 NOT_A_TOTAL = ["sous", "sub", "valeur", "economie", "epargne"]
 TOTAL_WORDS, AMOUNT_WORDS = ["total"], ["montant", "amount"]
-SUBTOTAL_WORDS = ["sous-total", "sous total", "subtotal", "sub-total", "sub total", "s/total"]
-TAX_WORDS = "(?i)(?<![a-z])(t\\.?p\\.?s|t\\.?v\\.?q|t\\.?v\\.?h|g\\.?s\\.?t|q\\.?s\\.?t|h\\.?s\\.?t|taxe?s?)(?![a-z])"
-PAYMENT_LINE = "(?i)(?<![a-z])(visa|mastercard|interac|amex|comptant|cash|debit|credit|monnaie|change|rabais|pourboire|paiement|solde)(?![a-z])"
+SUBTOTAL_WORDS = ["sous-total", "sous total", "soustotal", "subtotal", "sub-total", "sub total"]
+TAX_WORDS = "(?i)\\b(T\\.?P\\.?S|T\\.?V\\.?Q|TVH|GST|PST|QST|HST|TVA|TAXES?|TAX)\\b"
+PAYMENT_WORDS = ["total", "montant", "solde", "balance", "paiement", "payment", "monnaie", "change", "approuv", "credit", "debit", "visa", "master", "amex", "interac", "rabais", "remise", "discount", "economie", "epargne", "vente", "carte de"]
 CARDS = ["visa", "mastercard", "amex", "interac"]
 PAID_WORDS = ["comptant", "cash"]
+# Payment cards as printed, and words around a payment.
+CARD_BRANDS = [("(?i)\\bVISA\\b", "visa"), (f"(?i)\\bMASTER[{text.SPACE}]?CARD\\b", "mastercard"), (f"(?i)\\bAMEX\\b|\\bAMERICAN[{text.SPACE}]+EXPRESS\\b", "amex"), ("(?i)\\bINTERAC\\b", "interac")]
+PAYMENT_CONTEXT = "(?i)carte|card|credit|debit|paiement|payment"
+# Currencies and what speaks of Canada.
+CURRENCY_CODE = "\\b(CAD|USD|EUR|GBP)\\b"
+SYMBOLS = [("US\\$", "USD"), ("€", "EUR"), ("£", "GBP")]
+CANADIAN = f"(?i)\\b(T\\.?P\\.?S|T\\.?V\\.?Q|GST|QST|HST|TVH)\\b|\\b[A-Z]\\d[A-Z][{text.SPACE}]?\\d[A-Z]\\d\\b|\\b(RT|TQ)[{text.SPACE}]?0001\\b"
+#: Lines in which the shop's name is looked for.
+HEAD_LINES = 12
+
+
+def line_conf(lines: DataFrame) -> Column:
+    """How sure the reading of a line is: its ``conf``, 1 without such a column, at most 1."""
+    return F.least(F.lit(1.0), F.col("conf").cast("double")) if "conf" in lines.columns else F.lit(1.0)
 
 
 def _has(line: Column, words: list[str]) -> Column:
@@ -78,26 +93,51 @@ def candidates(lines: DataFrame) -> DataFrame:
     Totals: lines that say total, then amount, from the foot; then what was paid. An excluded
     word anywhere in a line keeps it out. Taxes: lines with a tax word, from the top.
     """
-    t = lines.withColumn("amount", numbers.amount(F.col("text"))).where("amount is not null")
+    t = numbers.once(lines.select("k", "line", "text", line_conf(lines).alias("sure")), amount=numbers.amount(F.col("text"))).where("amount is not null")
     t = t.withColumn("out", _has(F.col("text"), NOT_A_TOTAL)).withColumn("tier", F.when(~F.col("out") & _has(F.col("text"), TOTAL_WORDS), 0).when(~F.col("out") & _has(F.col("text"), AMOUNT_WORDS), 1).when(_has(F.col("text"), CARDS), 2).when(_has(F.col("text"), PAID_WORDS), 3))
     t = t.withColumn("sub", _has(F.col("text"), SUBTOTAL_WORDS)).withColumn("tax", F.col("text").rlike(TAX_WORDS) & ~_has(F.col("text"), TOTAL_WORDS))
-    tax = F.struct("line", F.struct(F.regexp_extract("text", TAX_WORDS, 1).alias("name"), numbers.rate(F.col("text")).alias("rate"), F.col("amount").alias("amount"), F.lit(0.7).alias("conf"), F.col("line").cast("int").alias("line")).alias("r"))
-    conf = F.when(F.col("tier") < 2, 0.7).otherwise(0.7 * 0.8)
+    tax = F.struct("line", F.struct(F.regexp_extract("text", TAX_WORDS, 1).alias("name"), numbers.rate(F.col("text")).alias("rate"), F.col("amount").alias("amount"), (F.col("sure") * 0.7).alias("conf"), F.col("line").cast("int").alias("line")).alias("r"))
+    conf = F.col("sure") * F.when(F.col("tier") < 2, 0.7).otherwise(0.7 * 0.8)
     out = t.groupBy("k").agg(
         F.array_sort(F.collect_list(F.when(F.col("tier").isNotNull(), _read([F.col("tier"), (-F.col("line")).alias("down")], conf)))).alias("totals"),
-        F.array_sort(F.collect_list(F.when(F.col("sub"), _read([(-F.col("line")).alias("down")], F.lit(0.7))))).alias("subtotals"),
+        F.array_sort(F.collect_list(F.when(F.col("sub"), _read([(-F.col("line")).alias("down")], F.col("sure") * 0.7)))).alias("subtotals"),
         F.array_sort(F.collect_list(F.when(F.col("tax"), tax))).alias("taxes"),
     )
     inner = lambda c: F.transform(c, lambda x: x["r"])
     return out.select("k", inner("totals").cast(f"array<{READ}>").alias("totals"), inner("subtotals").cast(f"array<{READ}>").alias("subtotals"), inner("taxes").cast(f"array<{TAX}>").alias("taxes"))
 
 
+def not_an_article(line: Column) -> Column:
+    """Speaks of payment, a discount, a total or a tax."""
+    return F.lower(line).rlike("|".join(PAYMENT_WORDS)) | line.rlike(TAX_WORDS)
+
+
 def articles(lines: DataFrame) -> DataFrame:
-    """k, line, label, amount of lines that are articles: an amount, a name, not a payment, tax, total or amount line."""
+    """k, line, label, amount of lines that look like articles without labels: an amount, a name, not a payment, tax or total."""
     t = F.col("text")
-    other = t.rlike(PAYMENT_LINE) | t.rlike(TAX_WORDS) | _has(t, TOTAL_WORDS + AMOUNT_WORDS + SUBTOTAL_WORDS)
+    other = not_an_article(t) | _has(t, AMOUNT_WORDS) | F.lower(t).rlike(f"\\b({'|'.join(PAID_WORDS)})\\b")
     named = F.trim(F.regexp_replace(t, numbers.AMOUNT + ".*$", ""))
-    return lines.where(~other).select("k", "line", named.alias("label"), numbers.amount(t).alias("amount")).where("amount is not null and label <> ''")
+    rows = numbers.once(lines.where(~other).select("k", "line", "text"), amount=numbers.amount(t))
+    return rows.select("k", "line", named.alias("label"), "amount").where("amount is not null and label <> ''")
+
+
+def labelled_articles(words: DataFrame) -> DataFrame:
+    """k, line, label, quantity, unit_price, amount, conf of lines with words labelled PRICE.
+
+    words: k, ix, line, text, label, score, conf. The name is the NAME words, or those without a label; COUNT and
+    UNIT give quantity and unit price; conf is the least product of score and confidence of all these words.
+    """
+    of = lambda *labels: F.array_sort(F.collect_list(F.when(F.col("label").isin(*labels), F.struct("ix", "text"))))
+    told = F.col("label").isin("NAME", "COUNT", "UNIT", "PRICE")
+    rows = words.groupBy("k", "line").agg(
+        F.array_sort(F.collect_list(F.struct("ix", "text"))).alias("all"), of("PRICE").alias("price"), of("NAME").alias("name"), of("O").alias("rest"), of("COUNT").alias("count"), of("UNIT").alias("unit"),
+        F.least(F.lit(1.0), F.min(F.when(told, F.col("score") * F.col("conf")))).alias("conf"),
+    )
+    line = lambda c: F.trim(F.array_join(F.transform(c, lambda x: x["text"]), " "))
+    rows = numbers.once(rows.where(F.size("price") > 0), amount=numbers.amount(line("price")))
+    label = F.when(F.size("name") > 0, line("name")).otherwise(line("rest"))
+    rows = rows.where(F.col("amount").isNotNull() & ~not_an_article(line("all")))
+    return rows.select("k", "line", label.alias("label"), numbers.quantity(line("count")).alias("quantity"), numbers.amount(line("unit")).alias("unit_price"), "amount", "conf").where("label <> ''")
 
 
 def first_by(lines: DataFrame, tier: Column, value: Column, conf: Column, name: str) -> DataFrame:
@@ -106,45 +146,69 @@ def first_by(lines: DataFrame, tier: Column, value: Column, conf: Column, name:
     return rows.groupBy("k").agg(F.min_by("r", "at").alias("r")).select("k", F.col("r.v").alias(name), F.col("r.c").alias(f"{name}_conf"))
 
 
+def _touches(line: Column, symbol: str) -> Column:
+    """A symbol before or after an amount with decimals, spaces being free."""
+    s = text.SPACE
+    return line.rlike(f"{symbol}[{s}]*\\d{{1,3}}(?:[{s}.,]\\d{{3}})*[.,]\\d{{1,2}}(?!\\d)|\\d[.,]\\d{{1,2}}[{s}]*{symbol}")
+
+
 def currency(lines: DataFrame) -> DataFrame:
     """ISO code by explicit mention, then a symbol that touches an amount, then dollars, then a Canadian context."""
     t = F.col("text")
-    code = F.regexp_extract(F.upper(t), "(?<![A-Z])(CAD|USD|EUR|GBP)(?![A-Z])", 1)
-    touch = lambda s: t.rlike(f"\\d[.,]\\d{{2}} ?{s}|{s} ?\\d+[.,]\\d{{2}}")
-    canadian = text.fold(t).rlike(text.POSTAL_CODE + "|(?<![a-z])(tps|tvq|tvh)(?![a-z])")
-    tier = F.when(code != "", 0).when(touch("€") | touch("£"), 1).when(touch("\\$"), 2).when(canadian, 3)
-    value = F.when(code != "", code).when(touch("€"), "EUR").when(touch("£"), "GBP").otherwise("CAD")
+    rows = lines.select("k", "line", "text", line_conf(lines).alias("sure"))
+    code = F.regexp_extract(t, CURRENCY_CODE, 1)
+    symbol = F.lit(None).cast("string")
+    for pattern, name in reversed(SYMBOLS):
+        symbol = F.when(_touches(t, pattern), name).otherwise(symbol)
+    rows = numbers.once(rows, _code=code, _symbol=F.when(t.rlike("[€£]|US\\$"), symbol))
+    tier = F.when(F.col("_code") != "", 0).when(F.col("_symbol").isNotNull(), 1).when(F.contains(t, F.lit("$")) & _touches(t, "\\$"), 2).when(t.rlike(CANADIAN), 3)
+    rows = numbers.once(rows, _tier=tier)
+    tier = F.col("_tier")
+    value = F.when(tier == 0, F.col("_code")).when(tier == 1, F.col("_symbol")).otherwise("CAD")
     conf = F.when(tier == 0, 0.9).when(tier == 1, 0.7).when(tier == 2, 0.4).otherwise(0.6)
-    return first_by(lines, tier, value, conf, "currency")
+    return first_by(rows, tier, value, conf * F.col("sure"), "currency")
 
 
 def card(lines: DataFrame) -> DataFrame:
-    """Payment card by brand, then masked number, then the word card."""
-    low = text.fold(F.col("text"))
-    brand = F.regexp_extract(low, "(?<![a-z])(" + "|".join(CARDS) + ")(?![a-z])", 1)
-    tier = F.when(brand != "", 0).when(low.rlike("[*x]{4,} ?\\d{4}"), 1).when(low.rlike("(?<![a-z])(carte|card)(?![a-z])"), 2)
-    return first_by(lines, tier, F.when(brand != "", brand).otherwise("autre"), F.when(tier == 0, 0.9).when(tier == 1, 0.6).otherwise(0.5), "card")
+    """Payment card by brand (MC counts beside a word of payment), then debit without a brand, then a word of payment."""
+    t = F.col("text")
+    brand = F.when(t.rlike("\\bMC\\b") & t.rlike(PAYMENT_CONTEXT), "mastercard")
+    for pattern, name in reversed(CARD_BRANDS):
+        brand = F.when(t.rlike(pattern), name).otherwise(brand)
+    rows = numbers.once(lines.select("k", "line", line_conf(lines).alias("sure"), "text"), _brand=brand)
+    tier = F.when(F.col("_brand").isNotNull(), 0).when(t.rlike("(?i)\\bDEBIT\\b"), 1).when(t.rlike(PAYMENT_CONTEXT), 2)
+    value = F.when(tier == 0, F.col("_brand")).when(tier == 1, "interac").otherwise("autre")
+    return first_by(rows, tier, value, F.when(tier == 0, 0.9).when(tier == 1, 0.6).otherwise(0.5) * F.col("sure"), "card")
 
 
 def date(lines: DataFrame, as_of: Column) -> DataFrame:
-    """The first line with a plausible date: k, date, date_conf."""
-    found = lines.select("k", "line", F.explode(F.array_compact(F.array(dates.date_of(F.col("text"), as_of)))).alias("d"))  # not read twice
-    return first_by(found, F.lit(0), F.col("d.value"), F.col("d.sure"), "date")
+    """The first line with a date: k, date, date_conf."""
+    found = dates.add_dates(lines.select("k", "line", "text", line_conf(lines).alias("sure")), "d", F.col("text"), as_of)
+    return first_by(found, F.when(F.col("d").isNotNull(), 0), F.col("d.value"), F.col("d.sure") * F.col("sure"), "date")
+
 
+def merchant(lines: DataFrame, phrases: brands.Catalogue | None = None, as_of: Column | None = None) -> DataFrame:
+    """k, merchant, merchant_conf, from the first HEAD_LINES lines: a known brand above the first amount, else the first nameable line.
 
-def merchant(lines: DataFrame, brands: DataFrame | None = None) -> DataFrame:
-    """k, merchant, merchant_conf. Within the first 12 lines and above the first amount: a line with a known brand
-    (brands: phrase, a checked small table), else the first nameable line that is not a label, date or address.
+    Lines that are a field label, date or address name no shop, whatever word they have. A line is
+    nameable if it is made of letters. A brand is named by its whole line if that is nameable, else
+    by its phrase in capitals.
     """
-    first_amount = lines.where(numbers.amount(F.col("text")).isNotNull()).groupBy("k").agg(F.min("line").alias("stop"))
-    head = lines.where("line < 12").join(first_amount, "k", "left").where("stop is null or line < stop")
     t = F.col("text")
-    other = text.field_label(t) | text.address(t) | t.rlike("(?i)^date ")
-    plain = text.nameable(t) & ~other
-    if brands is None:
-        return first_by(head, F.when(plain, 1), t, F.lit(0.7), "merchant")
-    grams = F.concat(*[text.ngrams(text.brand_words(t), n) for n in (3, 2, 1)])
-    known = head.select("k", "line", F.explode(grams).alias("phrase")).join(brands.select("phrase").distinct(), "phrase").groupBy("k", "line").agg(F.max_by("phrase", F.length("phrase")).alias("brand"))
-    head = head.join(known, ["k", "line"], "left")
-    tier = F.when(F.col("brand").isNotNull(), 0).when(plain, 1)
-    return first_by(head, tier, F.when((tier == 0) & ~plain, F.upper("brand")).otherwise(t), F.when(tier == 0, 0.85).otherwise(0.7), "merchant")
+    head = lines.where(F.col("line") < HEAD_LINES).select("k", "line", "text", line_conf(lines).alias("sure"))
+    head = numbers.once(head, _amount=numbers.amount(t).isNotNull(), _may=~text.field_label(t) & ~text.address(t))
+    head = dates.add_dates(head, "_date", F.when(F.col("_may"), t), F.lit("2000-01-01").cast("date") if as_of is None else as_of)
+    head = numbers.once(head.withColumn("_may", F.col("_may") & F.col("_date").isNull()), _name=F.col("_may") & text.nameable(t))
+    if phrases is None:
+        head = head.withColumn("_brand", F.lit(None).cast("string"))
+    else:
+        head = brands.add_brands(head, "_hits", F.when(F.col("_may"), t).otherwise(""), phrases)
+        head = head.withColumn("_brand", F.when(F.size("_hits") > 0, F.upper(phrases.name_of(F.get("_hits", F.lit(0))))))
+    rows = head.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "text", "sure", F.col("_amount").alias("amount"), F.col("_name").alias("name"), F.col("_brand").alias("brand")))).alias("h"))
+    stop = F.coalesce(F.array_position(F.transform("h", lambda x: x["amount"]), True), F.lit(0))
+    above = F.when(stop > 0, F.slice("h", 1, F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(F.col("h"))
+    rows = numbers.once(rows, _brand=F.get(F.filter(above, lambda x: x["brand"].isNotNull()), F.lit(0)), _plain=F.get(F.filter("h", lambda x: x["name"]), F.lit(0)))
+    known = F.col("_brand").isNotNull()
+    value = F.when(known, F.when(F.col("_brand.name"), F.col("_brand.text")).otherwise(F.col("_brand.brand"))).otherwise(F.col("_plain.text"))
+    conf = F.when(known, F.col("_brand.sure") * 0.85).otherwise(F.col("_plain.sure") * 0.7)
+    return rows.select("k", value.alias("merchant"), conf.alias("merchant_conf")).where("merchant is not null")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimark.operators import alignment, categories, engines, generator, images, layout, reading, scoring, solver, tokens
+from sedimark.operators import alignment, brands, categories, engines, generator, images, layout, reading, scoring, solver, tokens
 from sedimark.sources import readers, writers
 
 
@@ -25,16 +25,24 @@ def test_line_grouping_follows_the_first_block(spark):
 
 
 def test_readers_of_a_receipt(spark):
-    lines = spark.createDataFrame([(1, 0, "TOTAL 12,50 USD"), (2, 0, "TPS 0,50"), (2, 1, "12,50 €"), (3, 0, "G1V 3V7"), (4, 0, "rien"), (1, 1, "CARTE **** 1234"), (2, 2, "Visa 3,00")], "k int, line int, text string")
-    assert {r.k: r.currency for r in reading.currency(lines).collect()} == {1: "USD", 2: "EUR", 3: "CAD"}
-    assert {r.k: r.card for r in reading.card(lines).collect()} == {1: "autre", 2: "visa"}
+    lines = spark.createDataFrame([(1, 0, "TOTAL 12,50 USD", 0.5), (2, 0, "TPS 0,50", 1.0), (2, 1, "12,50 €", 1.0), (3, 0, "G1V 3V7", 1.0), (4, 0, "rien", 1.0), (1, 1, "CARTE **** 1234", 0.8), (2, 2, "Visa 3,00", 1.0), (5, 0, "MC CREDIT", 1.0), (6, 0, "MC", 1.0), (7, 0, "DEBIT 3,00", 1.0), (8, 0, "American  Express", 1.0), (9, 0, "RT 0001", 1.0)], "k int, line int, text string, conf double")
+    assert {r.k: (r.currency, round(r.currency_conf, 3)) for r in reading.currency(lines).collect()} == {1: ("USD", 0.45), 2: ("EUR", 0.7), 3: ("CAD", 0.6), 9: ("CAD", 0.6)}
+    assert {r.k: (r.card, round(r.card_conf, 3)) for r in reading.card(lines).collect()} == {1: ("autre", 0.4), 2: ("visa", 0.9), 5: ("mastercard", 0.9), 7: ("interac", 0.6), 8: ("amex", 0.9)}
 
 
-def test_merchant_prefers_a_known_brand(spark):
-    lines = spark.createDataFrame([(1, 0, "BlEnVeNuE"), (1, 1, "Accueil"), (1, 2, "Chez Tims 12 rue Principale"), (1, 3, "CAFE 2,00"), (1, 4, "Muffin")], "k int, line int, text string")
-    brands = spark.createDataFrame([("tims",)], "phrase string")
-    assert reading.merchant(lines, brands).first().merchant == "TIMS"
-    assert reading.merchant(lines).first().merchant == "Accueil"
+@pytest.mark.parametrize(("lines", "name"), [  # fixed values
+    (["ESN", "MYRAND", "MAXI", "TOTAL 12,50"], "MAXI"), (["MAXI STE-FOY 3440, CH QUATRE BOURGEOIS, QUEBEC, 418-653-6241", "6,78"], "MAXI"),
+    (["Bienvenue", "BURGER 12,50", "POUTINE", "8,00"], "Bienvenue"), (["Chez Rita", "TOTAL 12,50"], "Chez Rita"), (["2,00 $", "Chez Rita"], "Chez Rita"), (["BlEnVeNuE", "12 rue Iga", "AB&A&W 3"], "AB&A&W 3"),
+])
+def test_merchant(spark, lines, name):
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "k int, line int, text string")
+    assert reading.merchant(rows, brands.catalogue(categories.keywords(spark))).first().merchant == name
+
+
+def test_labelled_articles(spark):
+    words = [(1, 0, 0, "2", "COUNT", 0.9, 1.0), (1, 1, 0, "CAFE", "NAME", 0.8, 0.9), (1, 2, 0, "3,25", "UNIT", 0.9, 1.0), (1, 3, 0, "6,50", "PRICE", 0.9, 1.0), (1, 4, 1, "TPS", "O", 0.9, 1.0), (1, 5, 1, "0,33", "PRICE", 0.9, 1.0), (1, 6, 2, "MUFFIN", "O", 0.9, 1.0), (1, 7, 2, "4,00", "PRICE", 0.7, 1.0), (1, 8, 3, "VISA", "NAME", 0.9, 1.0), (1, 9, 3, "9,00", "PRICE", 0.9, 1.0)]
+    got = reading.labelled_articles(spark.createDataFrame(words, "k int, ix int, line int, text string, label string, score double, conf double")).orderBy("line").collect()
+    assert [(r.label, r.quantity, r.unit_price, r.amount, round(r.conf, 3)) for r in got] == [("CAFE", 2.0, 3.25, 6.5, 0.72), ("MUFFIN", None, None, 4.0, 0.7)]
 
 
 def test_ctc(spark):
@@ -78,8 +86,9 @@ def test_layout(spark):
 
 
 def test_category_with_a_bill(spark):
-    df = spark.createDataFrame([(["hotel", "cafe"],)], "s array<string>")
-    assert sorted(df.select(categories.with_bill(F.col("s"), F.lit(True))).first()[0]) == ["cafe", "casse-croute"]
+    df = spark.createDataFrame([((["voyages", "cafe"], 0.8), 0.5), ((["voyages"], 0.8), 0.5), ((["cafe"], 0.8), None)], "s struct<subcategories:array<string>,conf:double>, bill double")
+    got = [r[0] for r in df.select(categories.with_bill(F.col("s"), F.col("bill"))).collect()]
+    assert [(sorted(r.subcategories), r.conf) for r in got] == [(["cafe", "restaurant"], 0.8), (["restaurant"], 0.45), (["cafe"], 0.8)]
 
 
 def test_tax_multisets(spark):
@@ -128,10 +137,17 @@ def test_files(spark, tmp_path):
 
 
 def test_category_evidence(spark):
-    names = spark.createDataFrame([(1, "Chez A & W Ltée"), (2, "BA&W")], "k int, name string")
-    assert [(r.k, r.phrase) for r in categories.ampersand_hits(names, "k", "name", ["a&w", "b & b"]).collect()] == [(1, "a&w")]
-    lines = spark.createDataFrame([(1, "FRUITS ET LÉGUMES"), (1, "1,5 kg @ 4,39"), (2, "Boulangerie"), (3, "VIANDE"), (3, "Surgelés")], "k int, text string")
-    assert {r.k: r.aisles for r in categories.aisle_evidence(lines).collect()} == {1: True, 2: False, 3: True}
-    df = spark.createDataFrame([(["cafe"], ["bar"], True), ([], ["bar"], True), (None, None, True), ([], [], False)], "n array<string>, s array<string>, a boolean")
-    got = [r[0] for r in df.select(categories.brand_or_site(F.col("n"), F.col("s"), F.col("a"))).collect()]
-    assert [(r.subcategories, r.conf) for r in got] == [(["cafe"], 0.8), (["bar"], 0.8), (["supermarche"], 0.7), ([], 0.0)]
+    phrases = brands.catalogue(categories.keywords(spark))
+    names = brands.add_brands(spark.createDataFrame([(1, "Chez A & W Ltée"), (2, "BA&W"), (3, "A.W. PLOMBERIE"), (4, "BEN & FLORENTINE"), (5, "IGA CAFE ESSO MARCHE EXPRESS"), (6, None)], "k int, name string"), "hits", F.col("name"), phrases)
+    assert {r.k: r.hits for r in names.collect()} == {1: ["a & w"], 2: [], 3: ["plomberie"], 4: ["ben & florentine"], 5: ["esso marche express"], 6: []}
+    lines = spark.createDataFrame([(1, 0, "27-FRUITS ET LÉGUMES", 0.9), (1, 1, "1,500 kg @ 4,39/kg", 0.8), (2, 0, "Boulangerie", 1.0), (3, 0, "VIANDE", 0.7), (3, 1, "Surgelés", 1.0), (4, 0, "TABLE # 13", 0.6), (4, 1, "FACTURE ORIGINALE", 1.0), (5, 0, "TABLE 6 PLACES 499,00", 1.0), (5, 1, "FACTURE ORIGINALE", 1.0)], "k int, line int, text string, conf double")
+    got = {r.k: (r.aisles, r.bill) for r in categories.evidence(lines, phrases).collect()}
+    assert got == {1: (0.8, None), 2: (None, None), 3: (0.7, None), 4: (None, 0.6), 5: (None, None)}
+
+
+def test_large_keyword_tables_meet_by_a_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c", "a"]), (3, [])], "k int, words array<string>")
+    keys = spark.createDataFrame([("a b", ), ("c", ), ("b c", ), ("c", )], "phrase string")
+    one = sorted(tuple(r) for r in categories.longest_phrases(docs, keys, "k", 3).collect())
+    monkeypatch.setattr(categories, "SMALL_PHRASES", 0)
+    assert one == sorted(tuple(r) for r in categories.longest_phrases(docs, keys, "k", 3).collect()) == [(1, 2, "a b"), (1, 2, "b c"), (2, 1, "c")]
