@@ -87,3 +87,18 @@ def ratio(a: Column, b: Column) -> Column:
 def cash_cents(cents: Column) -> Column:
     """Whole cents rounded to five, halves up."""
     return F.floor((cents + 2.5) / 5).cast("bigint") * 5
+
+
+def cents_of(whole: Column, of: int) -> Column:
+    """whole / of to the nearest whole number, halves up, in whole numbers alone (not negative)."""
+    return F.floor((whole * 2 + of) / (2 * of)).cast("bigint")
+
+
+# What is handed over for an amount in cash, in dollars; beyond, the next multiple of twenty.
+NOTES = [5, 10, 20, 40, 50, 60, 80, 100, 120, 140, 160, 200, 300, 500]
+
+
+def tendered(cents: Column) -> Column:
+    """What a customer hands over for a sum in cash."""
+    notes = F.array(*[F.lit(100 * x).cast("bigint") for x in NOTES])
+    return F.coalesce(F.array_min(F.filter(notes, lambda x: x >= cents)), F.ceil(cents / 2000).cast("bigint") * 2000)

@@ -142,6 +142,12 @@ def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", tokens.ctc(F.col("steps"), ["", *"abcdefg"]).alias("r")).select("vec_id", "r.text", F.round("r.conf", 6).alias("conf"))
 
 
+CTC = """with s as (select vec_id, [e[i * 8 + 1:i * 8 + 8] for i in range(0, 8)] st from (select vec_id, cast(embedding as double[]) e from embeddings)),
+b as (select vec_id, [list_position(x, list_max(x)) - 1 for x in st] c, [list_max(x) for x in st] p from s),
+k as (select vec_id, c, p, [i for i in range(1, 9) if c[i] > 0 and (i = 1 or c[i] <> c[greatest(i - 1, 1)])] kept from b)
+select vec_id, array_to_string([substr('abcdefg', cast(c[i] as int), 1) for i in kept], '') as text, round(case when len(kept) = 0 then 0.0 else list_sum([p[i] for i in kept]) / len(kept) end, 6) as conf from k"""
+
+
 def ts(column: Column) -> Column:
     return column.cast("timestamp_ntz")
 
@@ -229,7 +235,7 @@ QUERIES = {
     "token_windows": (token_windows, WINDOWS),
     "first_hit_wins": (first_hit_wins, FIRST.replace("c as (select doc_id, i, unnest(range(0, 1000)) as win from w), ", "")),
     "argmax_softmax": (argmax_softmax, ARGMAX),
-    "ctc_decode": (ctc_decode, None),
+    "ctc_decode": (ctc_decode, CTC),
     "log_flatten": (log_flatten, FLAT),
     "hourly_counts": (hourly_counts, "select date_trunc('hour', ts) as hour, event_type, count(*) as events from events group by 1, 2"),
     "latency_p95": (latency_p95, "select cast(ts as date) as day, count(*) as events, round(avg(value), 5) as mean_value, round(quantile_cont(value, 0.95), 5) as p95, round(quantile_cont(value, 0.5), 5) as p50 from events group by 1"),

@@ -143,15 +143,13 @@ def line_count_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cash_rounding_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cash due, the note that covers it (else the next whole hundred) and the change, in cents."""
-    t = receipts.totals(spark, sf_dir).select("k", numbers.cash_cents(F.col("total")).alias("cash"))
-    notes = F.array(*[F.lit(x * 100) for x in (5, 10, 20, 50, 100)])
-    note = F.coalesce(F.array_min(F.filter(notes, lambda x: x >= F.col("cash"))), F.ceil(F.col("cash") / 10000).cast("bigint") * 10000)
-    return t.withColumn("tendered", note.cast("bigint")).withColumn("change", F.col("tendered") - F.col("cash"))
+    """Cash due, what is handed over and the change, in cents."""
+    t = numbers.once(receipts.totals(spark, sf_dir).select("k", numbers.cash_cents(F.col("total")).alias("cash")), tendered=numbers.tendered(F.col("cash")))
+    return t.withColumn("change", F.col("tendered") - F.col("cash"))
 
 
-CASH = f"""with {REC} select k, cash, tendered, tendered - cash as change from (select k, cash, case when cash <= 500 then 500 when cash <= 1000 then 1000 when cash <= 2000 then 2000 when cash <= 5000 then 5000 when cash <= 10000 then 10000
-  else (cash + 9999) // 10000 * 10000 end as tendered from (select k, (total * 2 + 5) // 10 * 5 as cash from tot))"""
+CASH = f"""with {REC} select k, cash, tendered, tendered - cash as change from (select k, cash, case {' '.join(f'when cash <= {100 * x} then {100 * x}' for x in numbers.NOTES)}
+  else (cash + 1999) // 2000 * 2000 end as tendered from (select k, (total * 2 + 5) // 10 * 5 as cash from tot))"""
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
