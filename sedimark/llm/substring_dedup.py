@@ -277,7 +277,8 @@ def _kept(words: list[bytes], spans: list[int]) -> list[bytes]:
 def _with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Columns c0, c1, ... of docs in their order, and spans (null where nothing is to go): the rows that lose nothing, and those that may.
 
-    Own names keep clashes with columns of the caller out. Only the latter are shuffled.
+    Own names keep clashes with columns of the caller out. Only the latter are shuffled, at any size
+    of the input: spans have no bound for a broadcast.
     """
     spans = materialize(spans.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.xxhash64("doc_id", "mark").alias("key"), F.col("doc_id").alias("id"), "mark", "spans"))
     mark = F.xxhash64(F.col(f"`{text}`"))
@@ -285,7 +286,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> tu
     rows = flagged(rows.withColumn("key", F.xxhash64("own_id", "own_mark")), "key", spans.select("key").distinct(), "maybe")
     names = [f"c{i}" for i in range(len(docs.columns))]
     stay = rows.where("not maybe").select(*names, F.lit(None).cast("array<bigint>").alias("spans"))
-    some = rows.where("maybe").drop("key").join(spans.drop("key"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left").select(*names, "spans")
+    some = rows.where("maybe").drop("key").join(spans.drop("key").hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left").select(*names, "spans")
     return stay, some
 
 
