@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTENT, STEP = 510, 382
@@ -17,6 +17,31 @@ def windows(docs: DataFrame, content: int = CONTENT, step: int = STEP) -> DataFr
     return rows.withColumn("pad", content - F.size("tokens"))
 
 
+def owned(window: Column, size: Column, content: int = CONTENT, step: int = STEP) -> Column:
+    """Tokens of a window that no window before it has: theirs is the label that counts."""
+    return F.when(window == 0, size).otherwise(F.greatest(size - (content - step), F.lit(0))).cast("bigint")
+
+
+def model_input(windows: DataFrame, begin: int, end: int, pad: int, content: int = CONTENT) -> DataFrame:
+    """Windows (``windows``) with ids and mask as a model takes them: begin, tokens, end, then padding to the longest window of the document."""
+    longest = F.max(F.size("tokens")).over(Window.partitionBy("k"))
+    rows = windows.withColumn("length", longest + 2)
+    fill = F.col("length") - F.size("tokens") - 2
+    ids = F.concat(F.array(F.lit(begin)), F.col("tokens").cast("array<int>"), F.array(F.lit(end)), F.array_repeat(F.lit(pad), fill))
+    mask = F.concat(F.array_repeat(F.lit(1), F.size("tokens") + 2), F.array_repeat(F.lit(0), fill))
+    return rows.withColumn("ids", ids).withColumn("mask", mask)
+
+
+def first_labels(scored: DataFrame) -> DataFrame:
+    """k, word, best, p: the class of each word's first token in the first window that has the word.
+
+    scored: k, window, at (place in the window), word, logits; tokens without a word are left out before.
+    """
+    first = scored.groupBy("k", "word").agg(F.min_by("logits", F.struct("window", "at")).alias("logits"))
+    best = best_class(F.col("logits"))
+    return first.select("k", "word", best.alias("b")).select("k", "word", F.col("b.ix").alias("best"), F.col("b.p").alias("p"))
+
+
 def best_class(logits: Column) -> Column:
     """struct(ix, p): the first best class from 0 and its softmax."""
     top = F.array_max(logits)

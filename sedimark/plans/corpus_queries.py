@@ -116,11 +116,10 @@ select doc_id, win as "window", len(w[win * 382 + 1:win * 382 + 510]) as size, 5
 
 
 def first_hit_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The window that each word's label comes from: the first with the word in it. Words per document and window."""
+    """The window that each word's label comes from: the first with the word in it. Words per document and window, by ``tokens.owned``."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != "").alias("tokens"))
-    n = F.size("tokens")
-    first = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < 510, F.lit(0).cast("bigint")).otherwise(F.ceil((i - 509) / 382).cast("bigint")))
-    return d.where(n > 0).select("doc_id", F.explode(first).alias("window")).groupBy("doc_id", "window").agg(F.count("*").alias("words"))
+    w = tokens.windows(d)
+    return w.select("doc_id", F.col("window").cast("bigint").alias("window"), tokens.owned(F.col("window"), F.size("tokens")).alias("words")).where("words > 0")
 
 
 FIRST = r"""with d as (select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) n from documents), w as (select doc_id, unnest(range(0, n)) i from d where n > 0),

@@ -247,10 +247,12 @@ select tag, count(*) as n, cast(sum(ix) as bigint) as sum_ix from t group by tag
 
 
 def entity_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities before the score floor against those after it."""
+    """Entities before the score floor against those after it, from one pass over the words."""
     w = words(spark, sf_dir)
-    truth, predicted = (entities.entities(x).select("k", "first_word", "words", "label") for x in (w, entities.floor_labels(w)))
-    return entities.scores(truth, predicted, ["k", "first_word", "words"])
+    label, begin = entities.floored()
+    twice = F.explode(F.array(F.struct(F.lit(True).alias("t"), "label", "begin"), F.struct(F.lit(False).alias("t"), label.alias("label"), begin.alias("begin"))))
+    both = w.select("k", "ix", "text", "score", "conf", twice.alias("v")).select(F.struct("k", "v.t").alias("doc"), "ix", "text", "v.label", "v.begin", "score", "conf")
+    return entities.scores_of(entities.entities(both, "doc").select("doc.k", "doc.t", "first_word", "words", "label"), ["k", "first_word", "words"])
 
 
 def _ents(name: str, source: str) -> str:

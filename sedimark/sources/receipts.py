@@ -21,23 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k (order), n (place), part, supp, qty, gross, disc, net (cents), taxable."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, part, supp, qty, gross, disc, net (cents), taxable, and ``at``: what the items of an order are sorted by."""
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("k"), F.row_number().over(order).alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"),
+        F.col("l_orderkey").alias("k"), at.alias("at"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("gross"), F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"), (F.col("l_tax") > 0).alias("taxable"),
     )
     return rows.withColumn("net", F.expr("(gross * (100 - disc) + 50) div 100"))
 
 
-def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k, lines, sub, base, tps, tvq, total (cents) of orders with lines."""
-    t = items(spark, sf_dir).groupBy("k").agg(F.count("*").alias("lines"), F.sum("net").alias("sub"), F.coalesce(F.sum(F.when(F.col("taxable"), F.col("net"))), F.lit(0)).cast("bigint").alias("base"))
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k (order), n (place), part, supp, qty, gross, disc, net (cents), taxable."""
+    rows = _priced(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("at")))
+    return rows.select("k", "n", "part", "supp", "qty", "gross", "disc", "taxable", "net")
+
+
+def _with_taxes(t: DataFrame) -> DataFrame:
     t = t.withColumn("tps", F.expr("(base * 5 + 50) div 100")).withColumn("tvq", F.expr("(base * 9975 + 50000) div 100000"))
     return t.withColumn("total", F.col("sub") + F.col("tps") + F.col("tvq"))
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, lines, sub, base, tps, tvq, total (cents) of orders with lines."""
+    return _with_taxes(_priced(spark, sf_dir).groupBy("k").agg(F.count("*").alias("lines"), F.sum("net").alias("sub"), F.coalesce(F.sum(F.when(F.col("taxable"), F.col("net"))), F.lit(0)).cast("bigint").alias("base")))
+
+
 def money(cents: Column, point: str = ",") -> Column:
     """Cents as printed: two decimals."""
     a = F.abs(cents)
@@ -46,9 +55,13 @@ def money(cents: Column, point: str = ",") -> Column:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with lines and what is printed about them: k, shop, day, totals, misread total."""
+    return _headed(spark, sf_dir, totals(spark, sf_dir))
+
+
+def _headed(spark: SparkSession, sf_dir: str, sums: DataFrame) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey"), F.add_months(F.col("o_orderdate").cast("date"), 12 * YEARS_ON).alias("day"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("misread"))
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
-    return totals(spark, sf_dir).join(orders, "k").join(customer, "o_custkey").drop("o_custkey")
+    return sums.join(orders, "k").join(customer, "o_custkey").drop("o_custkey")
 
 
 def printed_day() -> Column:
@@ -71,23 +84,24 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Order k mod 5 says what is wrong: 1 total misread, 2 no sub-total, 3 a fee of 20 % that
     looks like a tax, 4 no TVQ line.
     """
-    head = headers(spark, sf_dir)
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))
+    sold = _priced(spark, sf_dir).join(names, "part", "left")
+    bags = sold.groupBy("k").agg(F.count("*").alias("lines"), F.sum("net").alias("sub"), F.coalesce(F.sum(F.when(F.col("taxable"), F.col("net"))), F.lit(0)).cast("bigint").alias("base"), F.array_sort(F.collect_list(F.struct("at", "name", "net"))).alias("sold"))
+    head = _headed(spark, sf_dir, _with_taxes(bags))
     shop = F.element_at(F.create_map(*[F.lit(x) for pair in SHOPS.items() for x in pair]), F.col("segment"))
     card = F.element_at(F.array(*[F.lit(c) for c in CARDS]), (F.col("k") % 4 + 1).cast("int"))
-    v = F.col("k") % 5
+    v, n = F.col("k") % 5, F.col("lines").cast("int")
     shown = F.when(v == 1, F.col("misread")).otherwise(F.col("total"))
+    body = F.transform("sold", lambda x, i: _line(i + 3, F.concat(F.upper(F.coalesce(x["name"], F.lit("article"))), F.lit("  "), money(x["net"]))))
     rows = F.array(
         _line(F.lit(0), shop),
         _line(F.lit(1), F.concat((F.col("nation") + 100).cast("string"), F.lit(" rue Principale, Québec QC G1V 3V7"))),
         _line(F.lit(2), F.concat(F.lit("Date "), printed_day())),
-        _line(F.lit(3) + F.col("lines").cast("int"), F.when(v != 2, F.concat(F.lit("SOUS-TOTAL "), money(F.col("sub"))))),
-        _line(F.lit(4) + F.col("lines").cast("int"), F.concat(F.lit("T.P.S. 5% "), money(F.col("tps")))),
-        _line(F.lit(5) + F.col("lines").cast("int"), F.when(v != 4, F.concat(F.lit("TVQ 9,975% "), money(F.col("tvq"))))),
-        _line(F.lit(6) + F.col("lines").cast("int"), F.when(v == 3, F.concat(F.lit("TAXE ECO "), money(F.expr("sub div 5"))))),
-        _line(F.lit(7) + F.col("lines").cast("int"), F.concat(F.lit("TOTAL "), money(shown), F.lit(" $"))),
-        _line(F.lit(8) + F.col("lines").cast("int"), F.concat(card, F.lit(" "), money(F.col("total")))),
+        _line(n + 3, F.when(v != 2, F.concat(F.lit("SOUS-TOTAL "), money(F.col("sub"))))),
+        _line(n + 4, F.concat(F.lit("T.P.S. 5% "), money(F.col("tps")))),
+        _line(n + 5, F.when(v != 4, F.concat(F.lit("TVQ 9,975% "), money(F.col("tvq"))))),
+        _line(n + 6, F.when(v == 3, F.concat(F.lit("TAXE ECO "), money(F.expr("sub div 5"))))),
+        _line(n + 7, F.concat(F.lit("TOTAL "), money(shown), F.lit(" $"))),
+        _line(n + 8, F.concat(card, F.lit(" "), money(F.col("total")))),
     )
-    frame = head.select("k", F.explode(rows).alias("r")).select("k", "r.line", "r.text").where("text is not null")
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))
-    body = items(spark, sf_dir).join(names, "part", "left").select("k", (F.col("n") + 2).cast("int").alias("line"), F.concat(F.upper(F.coalesce("name", F.lit("article"))), F.lit("  "), money(F.col("net"))).alias("text"))
-    return frame.unionByName(body.join(head.select("k"), "k", "left_semi"))
+    return head.select("k", F.explode(F.concat(rows, body)).alias("r")).select("k", "r.line", "r.text").where("text is not null")
