@@ -6,12 +6,14 @@ an Arrow batch; documents are small, and each is on its own.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -43,9 +45,11 @@ def local(a: str, b: str) -> list[tuple[int, int]]:
     """Pairs of places of a best local alignment (match 2, mismatch and gap -1)."""
     n, m = len(a), len(b)
     score = np.zeros((n + 1, m + 1), np.int32)
+    bs, places = np.array([ord(c) for c in b], np.int64), np.arange(m + 1)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i, j] = max(0, score[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
+        best = np.maximum(score[i - 1, :-1] + np.where(bs == ord(a[i - 1]), 2, -1), score[i - 1, 1:] - 1)
+        steps = np.concatenate([[0], np.maximum(best, 0)]) + places  # a gap costs one a place
+        score[i] = np.maximum.accumulate(steps) - places
     i, j = map(int, np.unravel_index(int(score.argmax()), score.shape)) if n and m else (0, 0)
     path = []
     while i and j and score[i, j]:
@@ -65,7 +69,7 @@ def relabel(source: list[tuple[str, str]], read: list[str], doc_share: float = 0
     Equal characters vote; the label seen first wins a tie. Under ``doc_share`` the whole text is aligned locally instead.
     A word of which less than ``word_share`` met its equal is looked for on its own, and stays without a label if that fails too.
     """
-    fold = lambda s: s.lower()
+    fold = lambda s: "".join(unicodedata.normalize("NFD", c)[0].lower()[:1] or c for c in s)  # noqa: E731  as long as before
     a = " ".join(w for w, _ in source)
     owner = [k for k, (w, _) in enumerate(source) for _ in range(len(w) + 1)]
     b = " ".join(read)
@@ -93,3 +97,9 @@ def relabel_documents(docs: DataFrame) -> DataFrame:
 
     ship(docs.sparkSession)
     return docs.select("k", "source", "read").mapInPandas(run, "k bigint, labels array<string>, share double")
+
+
+def corpus_share(relabelled: DataFrame, keep_share: float = 0.5) -> DataFrame:
+    """Of ``relabel_documents``: documents, how many are kept (share at least ``keep_share``), words and words with a label; one row."""
+    with_label = F.size(F.filter("labels", lambda x: x.isNotNull()))
+    return relabelled.agg(F.count("*").alias("documents"), F.count_if(F.col("share") >= keep_share).alias("kept"), F.sum(F.size("labels")).alias("words"), F.sum(with_label).alias("labelled"))

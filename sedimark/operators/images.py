@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -41,12 +42,34 @@ def paper_score(rgb: np.ndarray) -> np.ndarray:
     return most * (1 - np.where(most > 0, (most - least) / np.maximum(most, 1), 0))
 
 
-def sharpness(grey: np.ndarray) -> float:
-    """Share of the variation between neighbours that a further blur takes away."""
+#: Spread of the blur before sharpness is measured, and of the blur that tests it. Fixed values, as are the two limits.
+SMOOTH, REBLUR = 2.0, 2.0
+TOO_BLURRED, SHARP = 0.1, 0.25
+
+
+def blur(grey: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur, edges continued, rounded to whole values."""
+    r = max(1, round(3 * sigma))
+    weights = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    weights /= weights.sum()
     g = grey.astype(float)
-    variation = lambda a: (np.diff(a, axis=1) ** 2).sum() + (np.diff(a, axis=0) ** 2).sum()
-    before = variation(g)
-    return float(max(0.0, before - variation(local_mean(g, 1))) / before) if before else 0.0
+    for axis in (0, 1):
+        padded = np.pad(g, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        g = sum(w * np.take(padded, np.arange(k, k + grey.shape[axis]), axis) for k, w in enumerate(weights))
+    return np.floor(g + 0.5)
+
+
+def sharpness(grey: np.ndarray) -> float:
+    """Share of the variation between neighbours, to the left and above, that a further blur takes from the smoothed image."""
+    variation = lambda a: np.abs(a[1:, 1:] - a[1:, :-1]).sum() + np.abs(a[1:, 1:] - a[:-1, 1:]).sum()
+    smooth = blur(grey, SMOOTH)
+    before = variation(smooth)
+    return float((before - variation(blur(smooth, REBLUR))) / before) if before else 0.0
+
+
+def sharpness_verdict(score: Column) -> Column:
+    """struct(note, error): how sharp, at most 1; ``blurred`` under TOO_BLURRED."""
+    return F.struct(F.least(F.lit(1.0), score / SHARP).alias("note"), F.when(score < TOO_BLURRED, "blurred").alias("error"))
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -111,23 +134,65 @@ def order_corners(corners: np.ndarray) -> np.ndarray:
     return np.roll(p, -int(p.sum(1).argmin()), axis=0)
 
 
-def largest_component(mask: np.ndarray) -> np.ndarray:
-    """The largest 4-connected part of a mask."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
+def regions(mask: np.ndarray, diagonal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a mask by rows and the connected region of each: row, first column, column after the last, region.
+
+    Regions are numbered by their first pixel in reading order. Runs of neighbouring rows join where
+    they overlap (or touch at a corner, with ``diagonal``); labels then spread over these pairs.
+    """
+    height, width = mask.shape
+    steps = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(steps == 1)
+    last = np.nonzero(steps == -1)[1]
+    g, span = int(diagonal), width + 2
+    low = np.searchsorted(row * span + last, (row + 1) * span + first - g, side="right")
+    high = np.searchsorted(row * span + first, (row + 1) * span + last + g, side="left")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    label = np.arange(len(row))
+    while len(a):
+        least = np.minimum(label[a], label[b])
         new = label.copy()
-        for axis in (0, 1):
-            for step in (1, -1):
-                moved = np.roll(new, step, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if step == 1 else -1
-                moved[tuple(edge)] = 0
-                new = np.where(mask, np.maximum(new, moved), 0)
+        np.minimum.at(new, label[a], least)  # the roots of both runs
+        np.minimum.at(new, label[b], least)
+        new = new[new]
         if (new == label).all():
             break
         label = new
-    names, counts = np.unique(label[label > 0], return_counts=True)
-    return label == names[counts.argmax()] if len(names) else np.zeros_like(mask, bool)
+    return row, first, last, np.unique(label, return_inverse=True)[1]
+
+
+def largest_component(mask: np.ndarray, filled: bool = False) -> np.ndarray:
+    """The largest 4-connected part of a mask, with its holes filled on demand."""
+    row, first, last, region = regions(mask)
+    out = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int8)
+    if len(row):
+        own = region == np.bincount(region, last - first).argmax()
+        np.add.at(out, (row[own], first[own]), 1)
+        np.add.at(out, (row[own], last[own]), -1)
+    out = np.cumsum(out, axis=1)[:, :-1] > 0
+    if not filled:
+        return out
+    ground = np.pad(~out, 1, constant_values=True)
+    row, first, last, region = regions(ground)
+    holes = np.zeros((ground.shape[0], ground.shape[1] + 1), np.int8)
+    own = region != region[0]  # the first run is the frame outside
+    np.add.at(holes, (row[own], first[own]), 1)
+    np.add.at(holes, (row[own], last[own]), -1)
+    return out | (np.cumsum(holes, axis=1)[1:-1, 1:-2] > 0)
+
+
+def border_share(mask: np.ndarray) -> float:
+    """Share of the image's border that a mask covers."""
+    edge = np.concatenate([mask[0], mask[-1], mask[1:-1, 0], mask[1:-1, -1]])
+    return float(edge.mean()) if len(edge) else 0.0
+
+
+def bounding_box(mask: np.ndarray) -> tuple[int, int, int, int] | None:
+    """x, y, width, height of what a mask covers; None where it covers nothing."""
+    y, x = np.nonzero(mask)
+    return (int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1)) if len(y) else None
 
 
 def skew(ink: np.ndarray, most: float = 10.0) -> float:
@@ -149,7 +214,14 @@ def skew(ink: np.ndarray, most: float = 10.0) -> float:
 def detector_size(width: int, height: int, most: int = 2016) -> tuple[int, int]:
     """Sides of the detector's input: multiples of 32 (halves to even), the longer at most ``most``."""
     scale = min(1.0, most / max(width, height))
-    return tuple(max(32, int(np.round(side * scale / 32)) * 32) for side in (width, height))
+    return tuple(max(32, int(np.round(int(side * scale) / 32)) * 32) for side in (width, height))
+
+
+def detector_sides(width: Column, height: Column, most: int = 2016) -> Column:
+    """``detector_size`` as a column: struct(width, height)."""
+    scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
+    side = lambda c: F.greatest(F.lit(32), F.bround(F.floor(c * scale) / 32).cast("int") * 32).cast("bigint")
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
 
 
 def on_images(images: DataFrame, kernel: Callable[[np.ndarray], float]) -> DataFrame:

@@ -88,6 +88,15 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.regressions(_predictions(spark, sf_dir, *OLD), _predictions(spark, sf_dir, *NEW))
 
 
+def setbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and fields that the old rules got right and the new ones don't."""
+    return scoring.setbacks(_predictions(spark, sf_dir, *OLD), _predictions(spark, sf_dir, *NEW), "doc_id")
+
+
+def right_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.right_share(_predictions(spark, sf_dir, *OLD))
+
+
 PIVOT = rf"""with {_pred_sql('p', *OLD)}, c as (select field, count(*) filter (where verdict = 'juste') juste, count(*) filter (where verdict = 'faux') faux, count(*) filter (where verdict = 'manquant') manquant, count(*) filter (where verdict = 'vide') vide from p group by field)
 select *, round(case when juste + faux + manquant = 0 then 1.0 else juste / (juste + faux + manquant) end, 6) as accuracy, round(case when juste + faux = 0 then 1.0 else juste / (juste + faux) end, 6) as precision from c"""
 GATE = rf"""with {_pred_sql('a', *OLD)}, {_pred_sql('b', *NEW)},
@@ -230,6 +239,8 @@ QUERIES = {
     "confusions": (confusions, f"with {_pred_sql('p', *OLD)} select field, expected, got as read, count(*) as n, min(doc_id) as first_doc from p where verdict = 'faux' group by 1, 2, 3"),
     "all_right_docs": (all_right_docs, f"with {_pred_sql('p', *OLD)}, a as (select doc_id, bool_and(verdict in ('juste', 'vide')) as all_right, bool_and(verdict in ('juste', 'vide') or field = 'toxic') as shown_right from p group by doc_id) select all_right, shown_right, count(*) as docs from a group by 1, 2"),
     "regression_gate": (regression_gate, GATE),
+    "setbacks": (setbacks, f"with {_pred_sql('a', *OLD)}, {_pred_sql('b', *NEW)} select a.doc_id, a.field, a.verdict as old, b.verdict as new from a join b on a.doc_id = b.doc_id and a.field = b.field where a.verdict in ('juste', 'vide') and b.verdict not in ('juste', 'vide')"),
+    "right_share": (right_share, f"with {_pred_sql('p', *OLD)} select count(*) filter (where verdict <> 'vide') as graded, count(*) filter (where verdict = 'juste') as right, round(count(*) filter (where verdict = 'juste') / count(*) filter (where verdict <> 'vide'), 6) as share from p".replace("as right,", 'as "right",')),
     "majority_label": (majority_label, MAJORITY),
     "token_windows": (token_windows, WINDOWS),
     "first_hit_wins": (first_hit_wins, FIRST.replace("c as (select doc_id, i, unnest(range(0, 1000)) as win from w), ", "")),

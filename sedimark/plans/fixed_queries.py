@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import brands, categories, reading
+from ..operators import brands, categories, detection, reading
 
 # Receipts (lines set apart by bars) that mislead a reader of categories, with the category and sub-category they must get.
 TRAPS = [
@@ -100,6 +100,30 @@ def head_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(named, "k", "left").select("k", F.coalesce("named", F.lit(False)).alias("named"), text.address(F.col("text")).alias("address"))
 
 
+# Maps of 40 x 20 with zones (x0, y0, x1, y1, likelihood), the size of their image, and the boxes they give.
+MAPS = [([(5, 8, 30, 12, 1.0)], (40, 20), [(2, 5, 33, 15)]), ([(2, 2, 20, 3, 1.0), (5, 10, 30, 15, 0.5)], (40, 20), []), ([(5, 8, 30, 12, 1.0)], (80, 40), [(5, 11, 65, 29)])]
+# Width and height of a line, its width for the recogniser, and that with padding.
+LINE_WIDTHS = [(100, 48, 100, 320), (1000, 48, 1000, 1000), (10000, 48, 3200, 3200)]
+
+
+def detected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of each of MAPS."""
+    rows = []
+    for k, (zones, (w, h), _) in enumerate(MAPS):
+        chances = [0.0] * 800
+        for x0, y0, x1, y1, p in zones:
+            for y in range(y0, y1 + 1):
+                chances[40 * y + x0 : 40 * y + x1 + 1] = [p] * (x1 + 1 - x0)
+        rows.append((k, 40, 20, w, h, chances))
+    maps = spark.createDataFrame(rows, "k bigint, width int, height int, source_width int, source_height int, chances array<float>")
+    return detection.detect(maps).select("k", "x0", "y0", "x1", "y1")
+
+
+def line_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, w, h) for k, (w, h, *_) in enumerate(LINE_WIDTHS)], "k bigint, w int, h int")
+    return rows.select("k", detection.recogniser_widths(F.col("w"), F.col("h")).alias("s")).select("k", F.col("s.resized").cast("bigint").alias("resized"), F.col("s.total").cast("bigint").alias("total"))
+
+
 def _sql(value) -> str:
     return "null" if value is None else str(value).lower() if isinstance(value, bool) else f"'{value}'" if isinstance(value, str) else str(value)
 
@@ -111,5 +135,7 @@ def _values(rows: list[tuple], columns: list[str]) -> str:
 QUERIES = {
     "category_traps": (category_traps, _values([(c, s) for _, c, s in TRAPS], ["cast(k as bigint) as k", "cast(c0 as varchar) as category", "cast(c1 as varchar) as subcategory"])),
     "odd_lines": (odd_lines, _values([r[1:] for r in ODD_LINES], ["cast(k as bigint) as k", "cast(c0 as bigint) as cents", "cast(c1 as date) as day", "cast(c2 as double) as sure"])),
+    "detected_boxes": (detected_boxes, " union all ".join(f"select cast({k} as bigint) as k, cast({a} as bigint) as x0, cast({b} as bigint) as y0, cast({c} as bigint) as x1, cast({d} as bigint) as y1" for k, (_, _, found) in enumerate(MAPS) for a, b, c, d in found)),
+    "line_widths": (line_widths, _values([r[2:] for r in LINE_WIDTHS], ["cast(k as bigint) as k", "cast(c0 as bigint) as resized", "cast(c1 as bigint) as total"])),
     "head_lines": (head_lines, _values([r[1:] for r in HEADS], ["cast(k as bigint) as k", "c0 as named", "c1 as address"])),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import words
-from ..operators import stages
+from ..operators import images, stages
 from ..sources import receipts
 from ..sources.receipts import table
 from .receipt_queries import LINES_SQL, REC
@@ -107,13 +107,11 @@ VOCABULARY = r"select length(w) as n_letters, count(*) as words from (select dis
 
 def detector_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides of a detector's input for images as wide and high as parts are large: multiples of 32, halves to even."""
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40).alias("w"), (F.col("p_size") * 40 + F.col("p_partkey") % 3000).alias("h"))
-    scale = F.least(F.lit(1.0), F.lit(2016.0) / F.greatest("w", "h"))
-    side = lambda c: F.greatest(F.lit(32), F.bround(F.col(c) * scale / 32).cast("int") * 32).cast("bigint")
-    return p.select("p_partkey", side("w").alias("width"), side("h").alias("height"))
+    p = table(spark, sf_dir, "part").select("p_partkey", images.detector_sides(F.col("p_size") * 40, F.col("p_size") * 40 + F.col("p_partkey") % 3000).alias("s"))
+    return p.select("p_partkey", "s.width", "s.height")
 
 
-DETECTOR = "select p_partkey, greatest(32, cast(round_even(w * s / 32, 0) as bigint) * 32) as width, greatest(32, cast(round_even(h * s / 32, 0) as bigint) * 32) as height from (select *, least(1.0, 2016.0 / greatest(w, h)) as s from (select p_partkey, cast(p_size * 40 as double) as w, cast(p_size * 40 + p_partkey % 3000 as double) as h from part))"
+DETECTOR = "select p_partkey, greatest(32, cast(round_even(floor(w * s) / 32, 0) as bigint) * 32) as width, greatest(32, cast(round_even(floor(h * s) / 32, 0) as bigint) * 32) as height from (select *, least(1.0, 2016.0 / greatest(w, h)) as s from (select p_partkey, cast(p_size * 40 as double) as w, cast(p_size * 40 + p_partkey % 3000 as double) as h from part))"
 
 QUERIES = {
     "word_boxes": (word_boxes, WORD_BOXES),

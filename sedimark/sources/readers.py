@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions of photos, and media types of uploads.
-PHOTO_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "heic", "heif", "tif", "tiff"]
-MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "heic": "image/heic", "heif": "image/heif", "tif": "image/tiff", "tiff": "image/tiff"}
+# Extensions of photos, and media types that uploads may have.
+PHOTO_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "heic", "avif", "tif", "tiff"]
+ACCEPTED_TYPES = ["image/jpeg", "image/jpg", "image/png", "image/webp", "image/heic", "image/heif", "image/avif", "image/tiff"]
+MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "heic": "image/heic", "avif": "image/avif", "tif": "image/tiff", "tiff": "image/tiff"}
 
 
 def photos(spark: SparkSession, folder: str, most_bytes: int = 20_000_000) -> DataFrame:
-    """path, stem, media_type, length, content, error of the photos in a folder, by path.
+    """path, stem, media_type, length, content, error of the photos in a folder.
 
     Files of other kinds are left out, and Spark lists no empty ones; error is ``too_large`` beyond ``most_bytes`` (content is then null).
     """
@@ -59,14 +60,33 @@ def labelled_words(spark: SparkSession, path: str, labels: list[str]) -> DataFra
     return rows.where(F.trim("w.texte") != "").select("doc", "ix", F.col("w.indice_ligne").alias("line"), F.col("w.texte").alias("text"), field.alias("field"), (label.isNull() | label.isin(labels) | label.isin("graphique", "exterieur")).alias("known"), F.col("w.bbox").alias("box"))
 
 
+def upload_error(media_type: Column, length: Column, most_bytes: int = 20_000_000) -> Column:
+    """``bad_request`` for a media type that isn't accepted or an empty file, ``too_large`` beyond ``most_bytes``, else null."""
+    return F.when(~F.coalesce(media_type.isin(ACCEPTED_TYPES), F.lit(False)) | (length == 0), "bad_request").when(length > most_bytes, "too_large")
+
+
 def split(spark: SparkSession, root: str, name: str, schema: str, limit: int | None = None) -> DataFrame:
     """Documents of one split in order of file name; an error if there is none."""
-    rows = spark.read.schema(schema).option("multiLine", "true").json(f"{root}/{name}").orderBy("file_name")
+    rows = spark.read.schema(schema).option("multiLine", "true").json(f"{root}/{name}")
     if rows.isEmpty():
         raise ValueError(f"split {name} is empty")
+    rows = rows.orderBy("file_name")
     return rows.limit(limit) if limit else rows
 
 
+def frozen_summary(spark: SparkSession, path: str) -> DataFrame:
+    """A summary that ``writers.summary`` wrote, to compare a run with."""
+    return spark.read.json(path)
+
+
+def traps(spark: SparkSession, path: str, subcategories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fixed receipts of a JSON file (nom, lignes, attendu): name, lines, category, subcategory; and those whose expected sub-category is unknown."""
+    schema = "pieges array<struct<nom:string,lignes:array<string>,attendu:struct<categorie:string,sousCategorie:string>>>"
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("pieges").alias("p"))
+    rows = rows.select(F.col("p.nom").alias("name"), F.col("p.lignes").alias("lines"), F.col("p.attendu.categorie").alias("category"), F.col("p.attendu.sousCategorie").alias("subcategory"))
+    return rows, unknown_values(rows, "subcategory", subcategories, "subcategory")
+
+
 def unknown_values(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Rows whose value is in no row of a dimension: what a schema with an enumeration refuses."""
     return rows.where(F.col(column).isNotNull()).join(known.select(F.col(key).alias(column)).distinct(), column, "left_anti")

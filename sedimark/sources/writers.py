@@ -20,15 +20,17 @@ def error_reply(code: Column, message: Column) -> Column:
     return F.struct(status.alias("status"), F.when(status == 500, "internal").otherwise(code).alias("code"), F.when(status == 500, "internal error").otherwise(message).alias("message"), F.when(status >= 500, "error").otherwise("warn").alias("level"))
 
 
-def per_document(rows: DataFrame, path: str, key: str) -> None:
-    """JSON in a folder for each document."""
-    rows.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+def per_document(rows: DataFrame, path: str, key: str, order: str) -> None:
+    """One JSON object a document: its key and its rows in order. Not a file or folder each, which would be as many as there are documents."""
+    fields = [c for c in rows.columns if c != key]
+    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in fields if c != order]))).alias("rows"))
+    packed.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def texts(lines: DataFrame, path: str, key: str, order: str, text: str) -> None:
-    """The lines of each document joined, as text in a folder for each."""
-    joined = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("l")).select(key, F.array_join(F.transform("l", lambda x: x[text]), "\n").alias("value"))
-    joined.write.mode("overwrite").partitionBy(key).text(path)
+    """One JSON object a document: its key and its lines joined as ``text``."""
+    joined = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("l")).select(key, F.array_join(F.transform("l", lambda x: x[text]), "\n").alias("text"))
+    joined.write.mode("overwrite").json(path)
 
 
 def summary(rows: DataFrame, path: str) -> None:
@@ -37,8 +39,8 @@ def summary(rows: DataFrame, path: str) -> None:
 
 
 def dataset(rows: DataFrame, path: str, split: str, index: str) -> None:
-    """A data set by split, rows in order of their index within each file."""
-    rows.repartition(split).sortWithinPartitions(index).write.mode("overwrite").partitionBy(split).json(path)
+    """A data set by split, rows in order of their index within and between the files of a split; as many tasks as the session shuffles to."""
+    rows.repartitionByRange(split, index).sortWithinPartitions(split, index).write.mode("overwrite").partitionBy(split).json(path)
 
 
 def aligned_only(rows: DataFrame, path: str, share: str, least: float = 0.5) -> None:

@@ -8,17 +8,11 @@ the last value of a window counts.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 LATENESS = "1 hour"
-#: Hours that the state of a user goes back.
-HOURS = 1000
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,23 +32,18 @@ def windowed(stream: DataFrame, width: str) -> DataFrame:
     return w.select(F.col("w.start").alias("start_ts"), "events", "mean_value")
 
 
-def refusals(stream: DataFrame, limit: int = 1) -> DataFrame:
-    """user_id, hour, events, refused of users and hours beyond the limit, from a state per user of the last hours."""
+def refusals(stream: DataFrame, limit: int = 1, width: str = "1 hour") -> DataFrame:
+    """user_id, hour, events, refused of users and windows beyond the limit.
+
+    Windows are kept until the watermark has passed them, however many a user has; what comes later
+    than LATENESS is out, as in any windowed count.
+    """
+    w = stream.groupBy("user_id", F.window("ts", width).alias("w")).agg(F.count("*").alias("events"))
+    return w.where(F.col("events") > limit).select("user_id", F.col("w.start").alias("hour"), "events", (F.col("events") - limit).alias("refused"))
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts = dict(zip(*state.get, strict=True)) if state.exists else {}
-        changed = set()
-        for b in batches:
-            hours = b["ts"].astype("datetime64[ns]").astype("int64") // 3_600_000_000_000
-            for hour, n in hours.value_counts().items():
-                counts[int(hour)] = counts.get(int(hour), 0) + int(n)
-                changed.add(int(hour))
-        kept = dict(sorted(counts.items())[-HOURS:])
-        state.update((list(kept), list(kept.values())))
-        rows = [(key[0], pd.Timestamp(h * 3600, unit="s"), counts[h], counts[h] - limit) for h in sorted(changed) if counts[h] > limit]
-        yield pd.DataFrame(rows, columns=["user_id", "hour", "events", "refused"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, hour timestamp, events bigint, refused bigint", "hours array<bigint>, counts array<bigint>", "update", GroupStateTimeout.NoTimeout)
+#: Limits by the minute: of all requests of a key, of readings and of probes.
+MINUTE_LIMITS = {"all": 100, "read": 30, "probe": 600}
 
 
 def drain(result: DataFrame, keys: list[str], folder: str) -> DataFrame:
