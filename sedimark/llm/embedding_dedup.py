@@ -9,7 +9,8 @@ bucket is compared in double precision by a block product.
 A pair that meets several times counts where it meets first, which each room sees from the
 buckets that travel with a vector; so rooms put out a row per vector (its links, and the
 leader of its cluster), never pairs. First only bucket numbers and ids are dealt out; vectors go
-to the buckets in which one lives and another meets it. Buckets beyond ``ROOM`` vectors are
+to the buckets in which one lives and another meets it, as narrow as they came (4 bytes a
+component of floats) and with bucket numbers of 4 bytes where these suffice. Buckets beyond ``ROOM`` vectors are
 split into chunks, and each pair of chunks is a room of its own: no candidate is dropped.
 """
 
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ._common import join_figures, map_arrow, materialize, ship
 from .graph import components
@@ -87,6 +89,13 @@ def _meets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(home, np.where((y[:, :, :1] == x).any(2), y[:, :, 0], none))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def _room(t: int, bucket: int, ids: np.ndarray, many: np.ndarray, side: np.ndarray, unit: np.ndarray, codes: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
     """Rows (id, links, leader) of one room. side: 0 or 1 if pairs must be across, 2 if any pair counts."""
     near = unit @ unit.T >= threshold
@@ -122,7 +131,7 @@ def tables_for(k: int) -> int:
 _FOUND = "vec_id bigint, links bigint, leader bigint"
 
 
-def _rooms(batches: Iterator[pa.RecordBatch], tables: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _rooms(batches: Iterator[pa.RecordBatch], tables: int, threshold: float, vector_type: str, code_type: str) -> Iterator[pa.RecordBatch]:
     """Rooms of a partition sorted by (t, bucket, a, b)."""
     held: list[pa.RecordBatch] = []
 
@@ -137,8 +146,8 @@ def _rooms(batches: Iterator[pa.RecordBatch], tables: int, threshold: float) ->
         out: list[tuple] = []
         for s, e in zip(cut.tolist(), ends.tolist(), strict=True):
             if e - s > 1:
-                unit = np.frombuffer(b"".join(vectors.slice(s, e - s).to_pylist()), np.float64).reshape(e - s, -1)
-                code = np.frombuffer(b"".join(codes.slice(s, e - s).to_pylist()), np.int64).reshape(e - s, tables, -1)
+                unit = _unit(np.frombuffer(b"".join(vectors.slice(s, e - s).to_pylist()), vector_type).reshape(e - s, -1))
+                code = np.frombuffer(b"".join(codes.slice(s, e - s).to_pylist()), code_type).astype(np.int64).reshape(e - s, tables, -1)
                 out += _room(int(key[0, s]), int(key[1, s]), ids[s:e], many[s:e], side[s:e], unit, code, threshold)
         for at in range(0, len(out), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 50_000], strict=True)], names=["vec_id", "links", "leader"])
@@ -192,19 +201,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     k = k or max(1, min(round(math.log(max(n, 2)) / math.log(sides)), int(55 // math.log2(sides))))
     tables = tables or tables_for(k)
 
+    narrow = isinstance(vectors.schema[embedding].dataType, ArrayType) and isinstance(vectors.schema[embedding].dataType.elementType, FloatType)
+    vector_type = "<f4" if narrow else "<f8"
+    code_type = "<i4" if (dim or 1) * sides**k < 1 << 31 else "<i8"
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("v").to_pylist()
             lengths = np.array([len(x) for x in lists])
             for d in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == d)
-                unit = np.array([lists[x] for x in own], np.float64)
-                unit /= np.abs(unit).max(1)[:, None]
-                unit /= np.sqrt((unit * unit).sum(1))[:, None]
+                given = np.array([lists[x] for x in own], np.float64)
+                unit = _unit(given)
                 for at in range(0, len(own), 4096):
                     some = buckets(unit[at : at + 4096], tables, k, PROBES)
                     take = pa.array(own[at : at + 4096])
-                    yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("many").take(take), pa.array([x.tobytes() for x in unit[at : at + 4096]], pa.binary()), pa.array([x.tobytes() for x in some], pa.binary()), pa.array(some.reshape(len(some), -1).tolist(), pa.list_(pa.int64()))], names=["vec_id", "many", "vector", "codes", "places"])
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("many").take(take), pa.array([x.tobytes() for x in given[at : at + 4096].astype(vector_type)], pa.binary()), pa.array([x.tobytes() for x in some.astype(code_type)], pa.binary()), pa.array(some.reshape(len(some), -1).tolist(), pa.list_(pa.int64()))], names=["vec_id", "many", "vector", "codes", "places"])
 
     coded = materialize(map_arrow(sets.select("vec_id", "many", "v"), code, "vec_id bigint, many bigint, vector binary, codes binary, places array<bigint>"))
     postings = coded.select("vec_id", F.posexplode("places").alias("p", "bucket")).where("bucket >= 0")
@@ -215,7 +227,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     each = each.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
     each = each.select("t", "bucket", "vec_id", "many", "vector", "codes", "c", other).select("t", "bucket", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).alias("side"), "vec_id", "many", "vector", "codes")
-    found = map_arrow(each.repartition("t", "bucket", "a", "b").sortWithinPartitions("t", "bucket", "a", "b"), lambda b: _rooms(b, tables, threshold), _FOUND)
+    found = map_arrow(each.repartition("t", "bucket", "a", "b").sortWithinPartitions("t", "bucket", "a", "b"), lambda b: _rooms(b, tables, threshold, vector_type, code_type), _FOUND)
     found = materialize(found.groupBy("vec_id", "leader").agg(F.sum("links").alias("links")))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("vec_id").alias("u"), F.col("leader").alias("v")))
