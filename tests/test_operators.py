@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimark.operators import alignment, brands, categories, engines, generator, images, layout, reading, scoring, solver, tokens
+from sedimark.operators import alignment, brands, categories, detection, engines, generator, images, layout, reading, scoring, solver, tokens
 from sedimark.sources import readers, writers
 
 
@@ -100,13 +100,42 @@ def test_images(spark):
     grey = np.full((40, 40), 220, np.uint8)
     grey[10:30, 5:35] = 30
     assert 30 <= images.otsu(grey) < 220
-    assert images.local_mean(grey, 1)[20, 20] == 30 and images.sharpness(grey) > images.sharpness(images.local_mean(grey, 3))
+    assert images.local_mean(grey, 1)[20, 20] == 30
+    text = np.kron(np.random.default_rng(2).integers(0, 2, (30, 30)), np.ones((3, 3))) * 255  # unlike one edge, it has fine structure to lose
+    assert images.sharpness(text) > images.sharpness(images.local_mean(text, 4)) + 0.05 and images.sharpness(np.full((9, 9), 7)) == 0
     square = np.array([[0, 0], [10, 0], [10, 10], [0, 10], [5, 5]])
     assert images.area(images.hull(square)) == 100
     h = images.homography(square[:4], square[:4] * 2 + 1)
     assert np.allclose(images.move(square, h), square * 2 + 1)
     assert images.largest_component(np.pad(np.ones((3, 3), bool), 2) | (np.arange(49).reshape(7, 7) == 0)).sum() == 9
-    assert images.detector_size(2000, 6000) == (672, 2016) and images.detector_size(48, 80)[0] == 64
+    assert images.detector_size(2000, 6000) == (672, 2016) and images.detector_size(859, 1926) == (864, 1920) and images.detector_size(48, 80) == (64, 64)
+    ring = np.pad(np.pad(np.zeros((3, 3), bool), 1, constant_values=True), 2)
+    assert images.largest_component(ring).sum() == 16 and images.largest_component(ring, filled=True).sum() == 25
+    assert images.bounding_box(ring) == (2, 2, 5, 5) and images.border_share(ring) == 0 and images.border_share(np.ones((2, 2), bool)) == 1
+    rng = np.random.default_rng(1)
+    for diagonal in (False, True):  # against a flood fill
+        mask = rng.random((30, 40)) < 0.45
+        row, first, last, region = images.regions(mask, diagonal)
+        got = np.full(mask.shape, -1)
+        for y, a, b, k in zip(row, first, last, region, strict=True):
+            got[y, a:b] = k
+        assert ((got >= 0) == mask).all()
+        seen, n = np.full(mask.shape, -1), 0
+        for y, x in np.argwhere(mask):
+            if seen[y, x] < 0:
+                todo = [(y, x)]
+                seen[y, x] = n
+                while todo:
+                    cy, cx = todo.pop()
+                    for dy, dx in [(0, 1), (0, -1), (1, 0), (-1, 0)] + [(1, 1), (1, -1), (-1, 1), (-1, -1)] * diagonal:
+                        ny, nx = cy + dy, cx + dx
+                        if 0 <= ny < 30 and 0 <= nx < 40 and mask[ny, nx] and seen[ny, nx] < 0:
+                            seen[ny, nx] = n
+                            todo.append((ny, nx))
+                n += 1
+        assert (seen == got).all()
+    verdicts = spark.createDataFrame([(0.05,), (0.125,), (0.5,)], "s double").select(images.sharpness_verdict(F.col("s")).alias("v"))
+    assert [(r.v.note, r.v.error) for r in verdicts.collect()] == [(0.2, "blurred"), (0.5, None), (1.0, None)]
     df = spark.createDataFrame([("a", 40, 40, bytearray(grey.tobytes()))], "path string, width int, height int, pixels binary")
     assert images.on_images(df, images.otsu).first().value == images.otsu(grey)
 
@@ -129,6 +158,16 @@ def test_files(spark, tmp_path):
     assert readers.charset(spark, str(tmp_path / "dict.txt")) == ["", "a", "b", " "]
     rows = spark.createDataFrame([(2, "train", "b"), (1, "train", "a"), (3, "test", "c")], "ix int, split string, text string")
     writers.dataset(rows, str(tmp_path / "out"), "split", "ix")
+    writers.per_document(rows, str(tmp_path / "doc"), "split", "ix")
+    writers.texts(rows, str(tmp_path / "txt"), "split", "ix", "text")
+    assert sorted(r.text for r in spark.read.json(str(tmp_path / "txt")).collect()) == ["a\nb", "c"] and [len(r.rows) for r in spark.read.json(str(tmp_path / "doc")).orderBy("split").collect()] == [1, 2]
+    writers.summary(rows.limit(1), str(tmp_path / "sum"))
+    assert readers.frozen_summary(spark, str(tmp_path / "sum")).count() == 1
+    errors = spark.createDataFrame([("image/avif", 5), ("image/svg+xml", 5), ("image/png", 0), ("image/png", 30_000_000), (None, 5)], "t string, n bigint").select(readers.upload_error(F.col("t"), F.col("n")))
+    assert [r[0] for r in errors.collect()] == [None, "bad_request", "bad_request", "too_large", "bad_request"]
+    (tmp_path / "traps.json").write_text(json.dumps({"pieges": [{"nom": "x", "lignes": ["A"], "attendu": {"categorie": None, "sousCategorie": None}}, {"nom": "y", "lignes": ["B"], "attendu": {"categorie": "sante", "sousCategorie": "sport"}}]}))
+    known, unknown = readers.traps(spark, str(tmp_path / "traps.json"), spark.createDataFrame([("cafe",)], "subcategory string"))
+    assert known.count() == 2 and [r.name for r in unknown.collect()] == ["y"]
     assert spark.read.json(str(tmp_path / "out")).where("split = 'train'").count() == 2
     with pytest.raises(ValueError):
         writers.invoices(rows, str(tmp_path / "inv"))
@@ -151,3 +190,63 @@ def test_large_keyword_tables_meet_by_a_join(spark, monkeypatch):
     one = sorted(tuple(r) for r in categories.longest_phrases(docs, keys, "k", 3).collect())
     monkeypatch.setattr(categories, "SMALL_PHRASES", 0)
     assert one == sorted(tuple(r) for r in categories.longest_phrases(docs, keys, "k", 3).collect()) == [(1, 2, "a b"), (1, 2, "b c"), (2, 1, "c")]
+
+
+def test_detection_and_recognition_geometry():
+    tilted = detection.smallest_rectangle(np.array([[0, 0], [14, 14], [-1.4, 1.4], [12.6, 15.4]]))
+    assert abs((tilted.u1 - tilted.u0) * (tilted.v1 - tilted.v0) - 19.8 * 1.98) < 0.5
+    assert np.allclose(detection.smallest_rectangle(np.array([[0, 0], [10, 0], [10, 4], [0, 4]])).corners(), [[0, 0], [10, 0], [10, 4], [0, 4]])
+    assert detection.resize(np.array([[0, 255]], np.uint8), 4, 1).tolist() == [[0, 64, 191, 255]]
+    same = np.array([[3, 4]], np.uint8)
+    assert detection.resize(same, 2, 1) is same and detection.quarter_turn(np.array([[1, 2]], np.uint8)).tolist() == [[2], [1]]
+    grey = np.arange(200, dtype=np.uint8).reshape(10, 20)
+    assert (detection.crop(grey, np.array([[2, 3], [8, 3], [8, 7], [2, 7]])) == grey[3:7, 2:8]).all()
+    tensor = detection.recogniser_tensor([np.full((48, 100), 255, np.uint8), np.zeros((48, 400), np.uint8)])
+    assert tensor.shape == (2, 3, 48, 400) and tensor[0, 0, 0, 99] == 1 and tensor[0, 0, 0, 100] == 0 and tensor[1].max() == -1
+    assert detection.detector_tensor(np.full((2, 2), 255, np.uint8)).shape == (3, 2, 2)
+
+
+def test_second_reading(spark):
+    lines = spark.createDataFrame([(1, "A", 0.95, 10.0, 10.0, 100.0, 20.0), (2, "B", 0.5, 0.0, 10.0, 100.0, 20.0)], "k int, text string, conf double, x double, y double, w double, h double")
+    again = detection.second_boxes(lines, 105, 200).collect()
+    assert [(r.k, r.x, r.y, r.w, r.h) for r in again] == [(2, 0.0, 8.0, 105.0, 24.0)]
+    both = spark.createDataFrame([(2, 0, "B", 0.5), (2, 1, "BB", 0.7), (3, 0, "C", 0.5), (3, 1, "D", 0.5)], "k int, turn int, text string, conf double")
+    assert sorted((r.k, r.text, r.conf) for r in detection.best_reading(both, ["k"]).collect()) == [(2, "BB", 0.7), (3, "C", 0.5)]
+
+
+def test_grading_against_the_truth(spark):
+    read = spark.createDataFrame([("a", 3.5, "cafe du coin"), ("b", None, "x"), ("c", 1.0, None)], "photo string, total double, merchant string")
+    truth = spark.createDataFrame([("a", 3.5, "Cafe", ["total", "merchant"]), ("b", 2.0, None, ["total"]), ("d", 1.0, None, ["total"])], "photo string, total double, merchant string, given array<string>")
+    v = scoring.graded(read, truth, "photo", {"total": scoring.same_cents, "merchant": scoring.same_name})
+    assert sorted((r.photo, r.field, r.verdict) for r in v.collect()) == [("a", "merchant", "juste"), ("a", "total", "juste"), ("b", "total", "manquant")]
+    assert tuple(scoring.right_share(v).first()) == (3, 2, 0.666667)
+    c = spark.createDataFrame([("a", "coherente"), ("b", "coherente"), ("z", "coherente")], "photo string, coherence string")
+    assert [(r.documents, r.right) for r in scoring.coherence_balance(v, c, "photo", ["total"]).collect()] == [(2, 1)]
+    later = v.withColumn("verdict", F.when(F.col("field") == "merchant", "faux").otherwise("juste"))
+    assert [tuple(r) for r in scoring.setbacks(v, later, "photo").collect()] == [("a", "merchant", "juste", "faux")]
+
+
+def test_model_windows(spark):
+    w = tokens.windows(spark.createDataFrame([(1, list(range(600)))], "k int, tokens array<int>"))
+    rows = tokens.model_input(w, 101, 102, 0).orderBy("window").collect()
+    assert [len(r.ids) for r in rows] == [512, 512] and rows[0].ids[:2] == [101, 0] and rows[0].ids[-1] == 102 and sum(rows[1].mask) == 220 and rows[1].ids[219:222] == [102, 0, 0]
+    scored = spark.createDataFrame([(1, 0, 5, 7, [0.0, 2.0]), (1, 1, 1, 7, [9.0, 0.0]), (1, 0, 6, 7, [5.0, 0.0]), (1, 1, 2, 8, [1.0, 1.0])], "k int, window int, at int, word int, logits array<double>")
+    assert sorted((r.word, r.best) for r in tokens.first_labels(scored).collect()) == [(7, 1), (8, 0)]
+
+
+def test_refusals_keep_every_hour(spark, tmp_path):
+    from sedimark.streaming import monitors
+
+    hours = [(1, f"2020-{1 + d // 28:02d}-{1 + d % 28:02d} {h:02d}:{m}:00") for d in range(60) for h in range(24) for m in ("00", "30")] + [(1, "2020-01-01 00:45:00")]
+    spark.createDataFrame(hours, "user_id bigint, ts string").select("user_id", F.to_timestamp("ts").alias("ts")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id bigint, ts timestamp").parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
+    got = monitors.drain(monitors.refusals(stream), ["user_id", "hour"], str(tmp_path)).collect()
+    assert len(got) == 1440 and sorted(r.events for r in got)[-2:] == [2, 3]
+
+
+def test_draws_do_not_come_again(spark):
+    d = spark.range(3_000_000).select(generator.draw(1, F.col("id"), 1).alias("a"), generator.draw(1, F.col("id"), 2).alias("b"))
+    n, a, b, corr, mean = d.agg(F.count("*"), F.countDistinct("a"), F.countDistinct("b"), F.corr("a", "b"), F.avg("a")).first()
+    assert a == b == n and abs(corr) < 0.005 and abs(mean / generator.SPAN - 0.5) < 0.002
+    far = spark.range(1).select(*[generator.draw(1, F.lit(5 + k * generator.SPAN), 1) for k in range(50)]).first()
+    assert len(set(far)) == 50
