@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..session import ship
+from . import reading
 
 # The stand-in's receipt, two columns of text; its balance closes (7.75 + 0.39 + 0.77 = 8.91).
 STAND_IN = [("CAFE DU COIN", ""), ("12 rue Principale", ""), ("2026-08-27", "22:04"), ("CAFE FILTRE", "3,25"), ("MUFFIN", "4,50"), ("SOUS-TOTAL", "7,75"), ("TPS 5%", "0,39"), ("TVQ 9,975%", "0,77"), ("TOTAL", "8,91")]
@@ -26,6 +28,20 @@ def stand_in(docs: DataFrame, key: str = "k") -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.explode(rows).alias("r")).select("k", "r.*")
 
 
+def stand_in_labels(words: DataFrame) -> DataFrame:
+    """words (k, ix, line, text, ...) with label, begin and score, without a model: the last word with an amount on the last line that speaks of a
+    total or an amount is the TOTAL, all others are O.
+    """
+    lines = words.groupBy("k", "line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "text"))), lambda x: x["text"]), " ").alias("t"), F.max(F.when(numbers.amount(F.col("text")).isNotNull(), F.col("ix"))).alias("at"),
+    )
+    says = lambda of: F.lower("t").rlike("|".join(of))
+    marked = lines.where(F.col("at").isNotNull() & says(reading.TOTAL_WORDS + reading.AMOUNT_WORDS) & ~says(reading.NOT_A_TOTAL))
+    total = marked.groupBy("k").agg(F.max_by("at", "line").alias("at"))
+    hit = F.coalesce(F.col("ix") == F.col("at"), F.lit(False))
+    return words.join(total, "k", "left").withColumns({"label": F.when(hit, "TOTAL").otherwise("O"), "begin": hit, "score": F.lit(0.9)}).drop("at")
+
+
 @lru_cache(maxsize=2)
 def session(path: str):
     import onnxruntime

@@ -55,3 +55,12 @@ def sliding_counts(events: DataFrame, key: str, seconds: int) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy(key).orderBy("micros").rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("micros", at).withColumn("recent", F.count("*").over(w)).drop("micros")
+
+
+#: Headers whose values must not be logged.
+SECRET_HEADERS = ["authorization", "cookie", "x-api-key"]
+
+
+def redacted(headers: Column, secret: list[str] = SECRET_HEADERS) -> Column:
+    """A map of request headers with the values of secret ones (in lower case) replaced."""
+    return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(list(secret)), "[Redacted]").otherwise(v))

@@ -46,6 +46,20 @@ def readable(blocks: DataFrame, text_column: str = "text") -> DataFrame:
     return blocks.where(F.trim(F.col(text_column)) != "")
 
 
+def condense(blocks: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """Blocks of documents as they were seen into (blocks with their lines, one row of figures a document).
+
+    The figures are those of ``read_quality`` over readable blocks, mute (blocks without a text) and error: ``no_text`` where no
+    block is readable, ``weak`` where a tenth of the blocks was read too badly, else null. A document without
+    readable blocks has no lines.
+    """
+    seen = blocks.groupBy("k").agg(F.count_if(F.trim(F.col("text")) == "").alias("mute"))
+    full = readable(blocks)
+    figures = seen.join(read_quality(full, width), "k", "left")
+    error = F.when(F.col("blocks").isNull(), "no_text").when(F.col("degraded"), "weak")
+    return group_lines(full), figures.withColumn("error", error)
+
+
 def group_lines(blocks: DataFrame) -> DataFrame:
     """Blocks (k, ix, text, x, y, w, h, conf) with their line: in order of y, a block opens a line unless it overlaps
     the line's first block by half the smaller height; line_ix from 0, pos by x.

@@ -35,3 +35,9 @@ def batches(rows: DataFrame, key: str, order: str, size: int = 6) -> DataFrame:
     """Rows of a document in batches of ``size`` by an order: batch, place."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
     return rows.withColumn("n", n).withColumn("batch", F.floor(F.col("n") / size)).withColumn("place", F.col("n") % size).drop("n")
+
+
+def mean_of_successes(runs: DataFrame, value: str = "ms", error: str = "error") -> DataFrame:
+    """One row: runs, successes (no error) and the mean of their ``value``, 0 without any."""
+    ok = F.col(error).isNull()
+    return runs.agg(F.count("*").alias("runs"), F.count_if(ok).alias("successes"), F.coalesce(F.avg(F.when(ok, F.col(value))), F.lit(0.0)).alias("mean"))

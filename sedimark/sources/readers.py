@@ -87,6 +87,15 @@ def traps(spark: SparkSession, path: str, subcategories: DataFrame) -> tuple[Dat
     return rows, unknown_values(rows, "subcategory", subcategories, "subcategory")
 
 
+def bench_truth(truths: DataFrame, words: DataFrame) -> DataFrame:
+    """truths (doc, subtotal, total, tps, tvq) of made receipts as a reader can know them: taxes is the array of those whose label is printed on the
+    document (words: doc, text, field), null ones left out; documents without words are left out.
+    """
+    printed = words.where(F.col("text").rlike("[\\p{L}\\p{N}]")).groupBy("doc").agg(F.collect_set("field").alias("fields"))
+    tax = lambda name: F.when(F.array_contains("fields", name) & F.col(name).isNotNull(), F.struct(F.lit(name.upper()).alias("name"), F.col(name).alias("amount")))
+    return truths.join(printed, "doc").select("doc", "subtotal", "total", F.array_compact(F.array(tax("tps"), tax("tvq"))).alias("taxes"))
+
+
 def unknown_values(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Rows whose value is in no row of a dimension: what a schema with an enumeration refuses."""
     return rows.where(F.col(column).isNotNull()).join(known.select(F.col(key).alias(column)).distinct(), column, "left_anti")
