@@ -17,7 +17,7 @@ from ..functions import numbers
 from ..session import ship
 from . import reading
 
-# The stand-in's receipt, two columns of text; its balance closes (7.75 + 0.39 + 0.77 = 8.91).
+#: The stand-in's receipt, our own: two columns of text; its balance closes (7.75 + 0.39 + 0.77 = 8.91).
 STAND_IN = [("CAFE DU COIN", ""), ("12 rue Principale", ""), ("2026-08-27", "22:04"), ("CAFE FILTRE", "3,25"), ("MUFFIN", "4,50"), ("SOUS-TOTAL", "7,75"), ("TPS 5%", "0,39"), ("TVQ 9,975%", "0,77"), ("TOTAL", "8,91")]
 
 

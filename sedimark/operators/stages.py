@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Statuses from best to worst.
+#: Statuses from best to worst, our own names.
 SEVERITY = ["ok", "skipped", "degraded", "failed"]
 
 
@@ -17,11 +17,18 @@ def durations(traces: DataFrame, run: str = "run", stage: str = "stage") -> Data
     return per.select(run, stage, "ms", share.alias("share"), F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.col("worst").cast("int")).alias("status"), "steps")
 
 
+#: Steps that a plan has at most.
+MOST_STEPS = 1000
+
+
 def next_step(plan: DataFrame, traces: DataFrame, run: str = "run") -> DataFrame:
     """The first step of the plan (step, ord) that a run has no trace of; runs that are through have none."""
-    runs = traces.select(run).distinct()
-    todo = runs.crossJoin(F.broadcast(plan)).join(traces.select(run, "step").distinct(), [run, "step"], "left_anti")  # a plan is a handful of rows
-    return todo.groupBy(run).agg(F.min_by("step", "ord").alias("next_step"))
+    steps = [r["step"] for r in plan.orderBy("ord").limit(MOST_STEPS + 1).collect()]
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"a plan of more than {MOST_STEPS} steps")
+    taken = traces.groupBy(run).agg(F.collect_set(F.when(F.col("step").isin(steps), F.col("step"))).alias("taken"))
+    todo = F.filter(F.array(*[F.lit(s) for s in steps]).cast("array<string>"), lambda s: ~F.array_contains("taken", s))
+    return taken.where(F.size(todo) > 0).select(run, F.get(todo, F.lit(0)).alias("next_step"))
 
 
 def filled_fields(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -11,9 +11,9 @@ from ..sources import receipts
 from ..sources.receipts import table
 from .receipt_queries import LINES_SQL, REC
 
-# Payment cards by how an order was paid, none for cash.
+#: Payment cards by how an order was paid, none for cash: our own.
 CARD_OF_MODE = {"1-URGENT": "visa", "2-HIGH": "mastercard", "3-MEDIUM": "interac", "4-NOT SPECIFIED": None, "5-LOW": "interac"}
-# House labels and the public ones they go by.
+#: House labels and the public ones they go by: our own.
 PUBLIC_LABELS = {"SHOP": "STORE.NAME", "NAME": "MENU.NM", "PRICE": "MENU.PRICE"}
 STEPS = ["view", "click", "signup", "purchase"]
 

@@ -315,10 +315,9 @@ from (select *, case when v is null then null when i = 0 then cast(0.7 as double
 def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous blocks of 80, 10 and 10 % of the receipts in order of their keys."""
     t = receipts.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    n = t.agg(F.count("*").alias("n"), F.min("k").alias("lo"))
-    t = t.crossJoin(F.broadcast(n))  # one row
-    at = F.col("k") - F.col("lo")
-    split = F.when(at * 10 < F.col("n") * 8, "train").when(at * 10 < F.col("n") * 9, "validation").otherwise("test")
+    n, lo = t.agg(F.count("*"), F.coalesce(F.min("k"), F.lit(0))).first()
+    at = F.col("k") - lo
+    split = F.when(at * 10 < n * 8, "train").when(at * 10 < n * 9, "validation").otherwise("test")
     return t.groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
 
 
