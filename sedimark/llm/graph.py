@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _common
 from ._common import discard, materialize
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Both directions of the edges, with the least node around u (u itself included)."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(least, "u")
+def _with_least(rows: DataFrame) -> DataFrame:
+    """Rows (u, v) with m, the least of u and its v.
+
+    The few nodes with HOT_ROWS rows or more (centres of stars) are broadcast; rows of the others meet theirs by shuffle.
+    """
+    least = rows.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("degree"))
+    hot = F.broadcast(least.where(F.col("degree") >= _common.HOT_ROWS).select("u", "m"))
+    cold = rows.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("degree") < _common.HOT_ROWS).select("u", "m"), "u")
+    return rows.join(hot, "u").unionByName(cold)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,12 +31,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        large = _with_least(edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()  # v < u in each
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = materialize(large.where("u <> v").distinct())  # v < u in each
+        small = _with_least(down).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         old, edges = edges, materialize(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         discard(old)
+        discard(down)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sedimark.llm import graph, jaccard
+from sedimark.llm import _common, graph, jaccard
 
 
 def brute(rows):
@@ -78,10 +78,12 @@ def test_one_short_text_alone(spark, n):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows) == [(7, 1, 7), (8, 0, 8), (9, 0, 9)]
 
 
-def test_components_of_chains(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200), (101, 100)]
+@pytest.mark.parametrize("hot", [1_000_000, 2, 4])
+def test_components_of_chains_and_stars(spark, monkeypatch, hot):
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200), (101, 100)] + [(350, 300 + i) for i in range(30)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100, 200: 200}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100, 200: 200} | {i: 300 for i in [*range(300, 330), 350]}
 
 
 def test_large_clusters_are_opened_in_steps(spark, monkeypatch):
