@@ -378,20 +378,19 @@ def qualifying(queries: DataFrame, placed: DataFrame, percent: int) -> DataFrame
     sized = materialize(sized.select("doc_id", "cluster", F.least(_spare(F.col("n"), F.col("low"), percent), _spare(F.col("n"), F.col("high"), percent)).alias("spare")))
     rest = sized.where(F.col("spare") >= one)
     asked = rest.groupBy("cluster").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("rooms"))
-    members = placed.join(asked, "cluster").select("cluster", "rooms", "tokens")
-    held = materialize(members.groupBy("cluster").agg(F.first("rooms").alias("rooms"), F.sum(F.size("tokens")).alias("held")))
-    few, many = (held.where(F.col("held") <= UNION_TOKENS), held.where(F.col("held") > UNION_TOKENS).select("cluster"))
-    with_tokens = rest.join(placed.select("doc_id", "tokens"), "doc_id").select("doc_id", "cluster", "spare", "tokens")
+    held = materialize(placed.groupBy("cluster").agg(F.sum(F.size("tokens")).alias("held")).join(asked, "cluster"))
+    few, many = (held.where(F.col("held") <= UNION_TOKENS).select("cluster", "rooms"), held.where(F.col("held") > UNION_TOKENS).select("cluster"))
 
-    # the union as one array, copied to the rooms of a group that many sets query
-    union = members.drop("rooms").join(few, "cluster").groupBy("cluster", "rooms").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    # the union as one array, copied to the rooms of a group that many sets query; only prefixes that are needed are shuffled
+    dealt = materialize(rest.join(few, "cluster").withColumn("room", F.pmod(F.xxhash64("doc_id"), F.col("rooms")).cast("int")).drop("rooms"))
+    own = flagged(placed.select("doc_id", "tokens"), "doc_id", dealt.select("doc_id").distinct(), "maybe").where("maybe").drop("maybe")
+    union = flagged(placed.select("cluster", "tokens"), "cluster", few.select("cluster"), "maybe").where("maybe").groupBy("cluster").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")).join(few, "cluster")
     union = union.select("cluster", "union", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"))
-    dealt = with_tokens.join(few.select("cluster", "rooms"), "cluster").withColumn("room", F.pmod(F.xxhash64("doc_id"), F.col("rooms")).cast("int"))
-    enough = dealt.join(union, ["cluster", "room"]).where(F.size(F.array_intersect("tokens", "union")) * one > F.col("spare")).select("doc_id", "cluster")
+    enough = dealt.join(own, "doc_id").join(union, ["cluster", "room"]).where(F.size(F.array_intersect("tokens", "union")) * one > F.col("spare")).select("doc_id", "cluster")
     if not many.isEmpty():  # unions too large for a row, by rows
-        tokens = lambda rows: rows.join(many, "cluster", "left_semi").withColumn("token", F.explode("tokens"))
-        shared = tokens(with_tokens).select("cluster", "token", "doc_id", "spare").join(tokens(members).select("cluster", "token").distinct(), ["cluster", "token"])
-        large = shared.groupBy("doc_id", "cluster", "spare").agg(F.count("*").alias("shared")).where(F.col("shared") * one > F.col("spare"))
+        askers = rest.join(many, "cluster", "left_semi").join(placed.select("doc_id", "tokens"), "doc_id").select("cluster", F.explode("tokens").alias("token"), "doc_id", "spare")
+        tokens = placed.select("cluster", "tokens").join(many, "cluster", "left_semi").select("cluster", F.explode("tokens").alias("token")).distinct()
+        large = askers.join(tokens, ["cluster", "token"]).groupBy("doc_id", "cluster", "spare").agg(F.count("*").alias("shared")).where(F.col("shared") * one > F.col("spare"))
         enough = enough.unionByName(large.select("doc_id", "cluster"))
     return sized.where(F.col("spare") < one).select("doc_id", "cluster").unionByName(enough)
 
