@@ -210,13 +210,13 @@ def merchant(lines: DataFrame, phrases: brands.Catalogue | None = None, as_of: C
     """
     t = F.col("text")
     head = lines.where(F.col("line") < HEAD_LINES).select("k", "line", "text", line_conf(lines).alias("sure"))
-    head = numbers.once(head, _amount=numbers.amount(t).isNotNull(), _may=~text.field_label(t) & ~text.address(t))
-    head = dates.add_dates(head, "_date", F.when(F.col("_may"), t), F.lit("2000-01-01").cast("date") if as_of is None else as_of)
-    head = numbers.once(head.withColumn("_may", F.col("_may") & F.col("_date").isNull()), _name=F.col("_may") & text.nameable(t))
+    head = numbers.once(head, _amount=numbers.amount(t).isNotNull(), _may=~text.field_label(t) & ~text.address(t), _name=text.nameable(t))
+    head = dates.add_dates(head, "_date", F.when(F.col("_may") & (F.col("_name") | ~F.col("_amount")), t), F.lit("2000-01-01").cast("date") if as_of is None else as_of)
+    head = head.withColumn("_may", F.col("_may") & F.col("_date").isNull()).withColumn("_name", F.col("_may") & F.col("_name"))
     if phrases is None:
         head = head.withColumn("_brand", F.lit(None).cast("string"))
     else:
-        head = brands.add_brands(head, "_hits", F.when(F.col("_may"), t).otherwise(""), phrases)
+        head = brands.add_brands(head, "_hits", F.when(F.col("_may") & ~F.col("_amount"), t).otherwise(""), phrases)  # only lines above the first amount count
         head = head.withColumn("_brand", F.when(F.size("_hits") > 0, F.upper(phrases.name_of(F.get("_hits", F.lit(0))))))
     rows = head.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "text", "sure", F.col("_amount").alias("amount"), F.col("_name").alias("name"), F.col("_brand").alias("brand")))).alias("h"))
     stop = F.coalesce(F.array_position(F.transform("h", lambda x: x["amount"]), True), F.lit(0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import brands, categories, collect, entities, reading, scoring, solver
+from ..session import staged
 from ..sources import receipts
 
 AS_OF = "date '2029-12-31'"
@@ -352,8 +353,8 @@ QUERIES = {
 
 
 def collected_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole invoices of the printed receipts, with the totals labelled word by word."""
-    t = receipts.lines(spark, sf_dir)
+    """Whole invoices of the printed receipts, with the totals labelled word by word. The lines are written once, since ten readers read them."""
+    t = staged(receipts.lines(spark, sf_dir))
     label = F.when(F.col("text").startswith("TOTAL"), "TOTAL").when(F.col("text").startswith("SOUS-TOTAL"), "SUBTOTAL").when(F.col("text").rlike("^(T\\.P\\.S|TVQ)"), "TAX").otherwise("O")
     w = t.select("k", F.col("line").alias("ix"), "line", "text", label.alias("label"), F.lit(False).alias("begin"), F.lit(0.9).alias("score"), F.lit(1.0).alias("conf"))
     c = collect.collect(w, t, categories.keywords(spark), F.expr(AS_OF))
