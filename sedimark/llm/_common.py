@@ -8,7 +8,7 @@ import hashlib
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,10 +68,15 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table.written_to)
 
 
-def purge(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the intermediate tables of this application but ``keep``; results must have been written."""
-    stay = getattr(keep, "written_to", None)
-    for path in [p for p in _WRITTEN if p != stay]:
+def written() -> set[str]:
+    """The intermediate tables that this driver has now."""
+    return set(_WRITTEN)
+
+
+def purge(spark: SparkSession, keep: DataFrame | None = None, before: Collection[str] = ()) -> None:
+    """Delete this driver's intermediate tables but ``keep`` and those of ``before`` (``written`` at some time); results of the others must have been written."""
+    stay = {getattr(keep, "written_to", None), *before}
+    for path in [p for p in _WRITTEN if p not in stay]:
         _delete(spark, path)
         _WRITTEN.remove(path)
 
