@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.llm import exact_dedup, jaccard, language, packing, substring_dedup
-from sedimark.llm._common import materialize, purge
+from sedimark.llm._common import materialize, purge, written
 from sedimark.llm.bloom import anti_join
 
 
@@ -87,10 +87,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn. What a stage has written on the way is deleted once its result is."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = materialize(docs)
-            purge(spark, keep=docs)
+            purge(spark, docs, before)
     return docs
