@@ -115,7 +115,12 @@ def codec(path: str, pattern: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token ids of whole texts: doc_id, ids array<int>. Null text gives no ids. One row per input row."""
+    """Token ids of whole texts: doc_id, ids array<int>.
+
+    One row per input row, repeated rows and null ids included; null and empty texts give no ids;
+    a text of any length is encoded whole; other columns are ignored; an empty table gives an
+    empty result.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = codec(ranks, pattern)
@@ -125,7 +130,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
 
 
 def decode(tokens: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Bytes of token ids: doc_id, data binary. Null ids give no bytes; an id outside the vocabulary is an error."""
+    """Bytes of token ids: doc_id, data binary.
+
+    One row per input row; null ids give no bytes; an id outside the vocabulary is an error; other
+    columns are ignored; an empty table gives an empty result.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = codec(ranks, pattern)
