@@ -136,12 +136,20 @@ def trimmed(table: pa.Table) -> pa.Table:
     return table
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ROWS rows: texts make thousands of rows tens of megabytes, several times over in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, cache: str | None = None) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors.
 
     ``run`` gets batches of at most ROWS rows, whatever the session's setting. cache: the one of CACHES that it uses.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(cache)

@@ -3,7 +3,7 @@ r"""Substring deduplication by Rabin-Karp hashes of word windows.
 Words are ``[^\x20\x09-\x0D]+``. Every window of ``width`` words gets a rolling hash, and a
 word is removed if a window over it also starts in a document with a smaller id.
 
-1. Each input partition is read in blocks of about half a million words. A block settles its own
+1. Each input partition is read in blocks of about 350,000 words. A block settles its own
    repeats; of each hash only the windows of its first document go on, in one compact row per
    reducer (hashes, and the windows' places as compressed differences). However hot a passage
    is, a block asks about it for one document.
@@ -37,9 +37,9 @@ from pyspark.sql.types import StructField, StructType
 from ._common import map_arrow, materialize, sha256, ship, total_bytes, trimmed
 from .bloom import flagged
 
-BLOCK_WORDS = 500_000
-#: Windows that one reducer gets on average at most: some 100 MB while it sorts them.
-REDUCER_WINDOWS = 1_500_000
+BLOCK_WORDS = 350_000
+#: Windows that one reducer gets on average at most: some 70 MB while it sorts them.
+REDUCER_WINDOWS = 1_000_000
 LEAST_REDUCERS = 64
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
 LAST = np.iinfo(np.int64).max  # stands for a null id
