@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, materialize
 
 #: Bytes of text whose words are made distinct at a time.
-PIECE_BYTES = 12_000_000
+PIECE_BYTES = 6_000_000
 #: Words of a gather at a time.
 GATHER_WORDS = 200_000
 #: Frequent words that a worker remembers, of at most so many characters.
