@@ -46,6 +46,15 @@ select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id as ke
 from v join m on m.node = vec_id left join n on n.u = vec_id
 """
 
+TOPK = r"""
+with v as (select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) x from embeddings
+  where vec_id is not null and len(embedding) > 0 and not list_contains(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x)), true)),
+s as (select a.vec_id query_id, a.x q, b.vec_id, cast(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) as bigint) score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where a.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id, q order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
 
 def url(rules, sites: str) -> str:
     parts = " ".join(
