@@ -55,6 +55,22 @@ select query_id, cast(row_number() over (partition by query_id, q order by score
 from s qualify rank <= 5
 """
 
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+with d as (select row_number() over () r, doc_id, {TERMS} w from documents),
+a as (select count(*) docs, sum(len(w)) length from d where len(w) > 0),
+p as (select r, doc_id, len(w) n, unnest(w) term from d),
+c as (select r, doc_id, n, term, count(*) tf from p group by all),
+f as (select term, count(*) df from c group by term),
+q as (select distinct item_id, unnest({TERMS}) term from benchmark),
+s as (select item_id, r, doc_id,
+  cast(sum(cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // cast(length as bigint))))) as bigint) score
+  from q join c using (term) join f using (term), a group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from s where score > 0 qualify rank <= 10
+"""
+
 
 def url(rules, sites: str) -> str:
     parts = " ".join(
