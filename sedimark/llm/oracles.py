@@ -71,6 +71,44 @@ select item_id, cast(row_number() over (partition by item_id order by score desc
 from s where score > 0 qualify rank <= 10
 """
 
+CONVERSATIONS = r"""
+with recursive k as (select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') key from conversations),
+h as (select *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda c: cast(ascii(c) as bigint))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 kind from k),
+d as (select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role,
+    case when kind = 1 then '' when kind = 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end text
+  from h join (values (1), (2)) c(copy) on copy = 1 or kind = 3 where kind <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || text)) i from d),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b'
+    when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 't' else '' end fault,
+    lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) pair from o),
+ids as (select distinct conv_id from conversations),
+n as (select ids.conv_id, count(i) n from ids left join f on ids.conv_id is not distinct from f.conv_id group by ids.conv_id),
+moves as (select * from (values (0, 0, 0, []), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']), (1, 2, 1, ['user:']), (2, 3, 1, ['assistant:']),
+  (3, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 3, 2, ['user:', 'assistant:'])) m(a, b, k, made)),
+edits as (select * from (values ('D'), ('K'), ('R')) e(letter)),
+p as (
+  select conv_id, 0 as i, 0 as st, {'cost': 0, 'audit': '', 'made': cast([] as varchar[])} as best from n
+  union all
+  select conv_id, i, st, min(best) from (
+    select p.conv_id, p.i + 1 as i,
+      case letter when 'D' then m.b when 'R' then [2, 2, 3, 2][m.b + 1]
+        else case left(role, 1) when 's' then case when m.b = 0 then 1 end when 'u' then case when m.b <> 2 then 2 end when 'a' then case when m.b = 2 then 3 end when '' then m.b end end st,
+      {'cost': p.best.cost + 3 * m.k + case letter when 'D' then 4 else case letter when 'R' then 3 else 0 end + case when fault = 't' then 3 else 0 end end,
+       'audit': p.best.audit || repeat('I', m.k) || letter,
+       'made': list_concat(list_concat(p.best.made, m.made), case letter when 'D' then [] when 'K' then [role || ':' || text] else [[null, 'user', 'assistant'][[2, 2, 3, 2][m.b + 1]] || ':' || text] end)} best
+    from p join f on f.conv_id is not distinct from p.conv_id and f.i = p.i + 1 join moves m on m.a = p.st, edits
+    where letter = 'D' or fault not in ('b', 'd')) where st is not null group by conv_id, i, st),
+z as (select p.conv_id, min({'cost': p.best.cost + 3 * m.k, 'audit': p.best.audit || repeat('I', m.k), 'made': list_concat(p.best.made, m.made)}) best
+  from p join n on n.conv_id is not distinct from p.conv_id and n.n = p.i join moves m on m.a = p.st where m.b in (0, 3) group by p.conv_id),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate,
+  count(*) filter (fault = 't') truncated, count(*) filter (pair not in ('su', 'ua', 'au')) illegal from f group by conv_id)
+select z.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  cast(best.cost as bigint) as cost, best.audit as audit, sha256(array_to_string(best.made, chr(10))) repaired_sha256
+from z left join g on g.conv_id is not distinct from z.conv_id
+"""
+
 
 def url(rules, sites: str) -> str:
     parts = " ".join(

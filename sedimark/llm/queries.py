@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, language, lexical_search, oracles, packing, quality, substring_dedup, token_counts, topk_search, url_filter
+from . import byte_bpe, conversation_repair, embedding_dedup, exact_dedup, jaccard, language, lexical_search, oracles, packing, quality, substring_dedup, token_counts, topk_search, url_filter
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -61,6 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")), gone="gone")
+
+
 def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_matches(_table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +83,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_token_counts, op4_exact_dedup, op5_byte_bpe, op6_url_filter, op7_substring_dedup, op8_packing, op9_jaccard_join, op10_language_id, op12_topk_search, op13_lexical_search, language_of_pages)}
+    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_token_counts, op4_exact_dedup, op5_byte_bpe, op6_url_filter, op7_substring_dedup, op8_packing, op9_jaccard_join, op10_language_id, op11_conversation_repair, op12_topk_search, op13_lexical_search, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -89,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": oracles.url(URL_RULES, LISTED_SITES),
         "op7_substring_dedup": oracles.SUBSTRING,
         "op9_jaccard_join": oracles.JACCARD,
+        "op11_conversation_repair": oracles.CONVERSATIONS,
         "op12_topk_search": oracles.TOPK,
         "op13_lexical_search": oracles.LEXICAL,
     }
