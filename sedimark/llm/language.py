@@ -26,8 +26,8 @@ from ._common import join_figures, map_arrow, materialize, ship
 
 #: Documents of a language that its letter-pair model is fitted on, if it has so many: those with the least hash of their id.
 SAMPLE = 5_000
-#: A language needs so many labelled documents, of all.
-LEAST_DOCS = 5
+#: A language needs so many labelled documents, of all; more languages than MOST_LANGUAGES are an error.
+LEAST_DOCS, MOST_LANGUAGES = 5, 200
 #: Steps of the cut between hashes per power of two: a sample exceeds SAMPLE by a tenth or so.
 STEPS = 8
 PAIRS = 100
@@ -81,12 +81,13 @@ def _sample(named: DataFrame, limits: DataFrame) -> DataFrame:
     return named.withColumn("z", _place()).join(F.broadcast(limits.select("k", "least")), "k").where("z >= least").select("k", "text")
 
 
-def train(docs: DataFrame, text: str, label: str, doc_id: str) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of the second byte of a pair given the first, 65536 x languages."""
+def train(docs: DataFrame, text: str, label: str, doc_id: str) -> tuple[list[str], np.ndarray, DataFrame]:
+    """Languages, their log probabilities of the second byte of a pair given the first (65536 x languages), and the labels too rare for a model (k, docs)."""
     named = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("string").alias("k"), F.col(f"`{text}`").alias("text")).where("k is not null")
     limits = materialize(_limits(named))
-    if not limits.where(F.col("docs") >= LEAST_DOCS).isEmpty():
-        limits = limits.where(F.col("docs") >= LEAST_DOCS)
+    limits, rare = limits.where(F.col("docs") >= LEAST_DOCS), limits.where(F.col("docs") < LEAST_DOCS).select("k", "docs")
+    if limits.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels of {LEAST_DOCS} or more rows")
     sample = _sample(named, limits).repartition(max(8, limits.count()), "k", F.pmod(F.xxhash64("text"), F.lit(8)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,7 @@ def train(docs: DataFrame, text: str, label: str, doc_id: str) -> tuple[list[str
         counts[r["k"]] = counts.get(r["k"], 0) + np.frombuffer(pa.decompress(r["counts"], decompressed_size=65536 * 8, codec="zstd", asbytes=True), np.int64)
     names = sorted(counts)
     if not names:
-        return [], np.zeros((65536, 0), np.float32)
+        return [], np.zeros((65536, 0), np.float32), rare
     table = []
     for k in names:
         c = counts[k].reshape(256, 256).astype(np.float64)
@@ -114,7 +115,7 @@ def train(docs: DataFrame, text: str, label: str, doc_id: str) -> tuple[list[str
         p = np.log((c + 20 * second) / (c.sum(1, keepdims=True) + 20))
         p[32, 32] = 0
         table.append(p.ravel())
-    return names, np.array(table, np.float32).T.copy()
+    return names, np.array(table, np.float32).T.copy(), rare
 
 
 def _scores(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,25 +157,25 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     declared, host, suffix name columns with the markup language, the host and the address
     suffix; without a suffix column the host's last label is it, and None for the others leaves
     that evidence out. Every ``label`` (by default the declared language) of at least LEAST_DOCS
-    rows of the whole table has a letter-pair model, fitted on a sample of its own rows. A
-    language with fewer has none unless all have fewer: its documents come out as the nearest
-    language with a model, kept if the confidence among these is high enough, whatever they
-    declare. A document is kept if its text has letters, its language is in ``accept`` (by
-    default any of the models') and its confidence at least ``threshold``. Of equally likely
+    rows of the whole table has a letter-pair model, fitted on a sample of its own rows; more than
+    MOST_LANGUAGES of them are an error. Rows whose label has fewer get language null, confidence 0 and are rejected, since
+    there is nothing to know their language by. Other documents are kept if their text has letters, their language is in
+    ``accept`` (by default any of the models') and its confidence at least ``threshold``. Of equally likely
     languages the first in alphabetical order is named. Texts without letters (null, empty) get
     language null, confidence 0 and are rejected; a text of any length is read whole. Null
     evidence says nothing. Rows that repeat an id are judged each by its own values and count
     each in the sums. Other columns are ignored; an empty table gives an empty result; without
-    any label all are rejected.
+    any label of enough rows, or with neither ``label`` nor ``declared``, all are rejected.
     """
     ship(docs.sparkSession)
-    names, table = train(docs, text, label or declared, doc_id)
+    tag = label or declared
+    names, table, rare = train(docs, text, tag, doc_id) if tag else ([], None, None)
     K = len(names)
     if not K:
         nothing = F.lit(None).cast("string")
         return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), nothing.alias("language"), F.lit(0.0).alias("confidence"), nothing.alias("text_language"), (F.lower(F.col(f"`{declared}`").cast("string")) if declared else nothing).alias("declared"), F.lit(False).alias("kept"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
     column = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lower(F.regexp_extract(column(declared), "^[A-Za-z]+", 0)).alias("declared"), column(host).alias("host"), (F.lower(column(suffix)) if suffix else address_suffix(column(host))).alias("suffix"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lower(F.regexp_extract(column(declared), "^[A-Za-z]+", 0)).alias("declared"), column(host).alias("host"), (F.lower(column(suffix)) if suffix else address_suffix(column(host))).alias("suffix"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), column(tag).alias("tag"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +183,9 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
             if batch.num_rows:
                 ll, n = _scores(batch.column("text").to_pylist(), table)
                 ll = ll * (np.minimum(n, PAIRS) / np.maximum(n, 1))[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("declared"), batch.column("host"), batch.column("suffix"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["doc_id", "declared", "host", "suffix", "mark", "pairs", "ll"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("declared"), batch.column("host"), batch.column("suffix"), batch.column("mark"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["doc_id", "declared", "host", "suffix", "mark", "tag", "pairs", "ll"])
 
-    rated = map_arrow(rows, read, "doc_id bigint, declared string, host string, suffix string, mark bigint, pairs bigint, ll array<double>")
+    rated = map_arrow(rows, read, "doc_id bigint, declared string, host string, suffix string, mark bigint, tag string, pairs bigint, ll array<double>")
     top = F.array_max("ll")
     weights = F.transform("ll", lambda x: F.exp(x - top))
     rated = materialize(rated.withColumn("w", weights).withColumn("p", F.when(F.col("pairs") > 0, F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b)))).drop("w"))
@@ -219,7 +220,10 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
 
     out = out.withColumn("e", F.array(*evidence)).withColumn("top", F.array_max("e"))
     best = lambda c: F.element_at(languages, F.array_position(c, F.array_max(c)).cast("int"))
-    letters = (F.col("pairs") > 0)
+    letters = F.col("pairs") > 0
+    if not rare.isEmpty():
+        out = join_figures(out, rare.select(F.col("k").alias("tag"), F.col("docs").alias("tag_docs")), "tag", "tag_docs")
+        letters = letters & F.col("tag_docs").isNull()
     sure = F.when(letters, 1 / F.aggregate(F.transform("e", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
     out = out.select("doc_id", F.when(letters, best(F.col("e"))).alias("language"), sure.alias("confidence"), F.when(letters, best(F.col("ll"))).alias("text_language"), "declared", "mark")
     fits = F.col("language").isin(accept) if accept is not None else F.col("language").isNotNull()

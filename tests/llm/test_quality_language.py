@@ -59,8 +59,21 @@ def test_rare_languages_have_models(spark):
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     rare = [got[i] for i in range(7, 12_000, 2000)]
     assert len(got) == 12_000 and [(r.language, r.text_language, r.kept) for r in rare] == [("es", "es", True)] * 6
-    assert {r.language for r in got.values()} == {"en", "es", "fr"}  # two documents are too few for a model
+    assert {r.language for r in got.values()} == {"en", "es", "fr", None}
+    assert all((got[i].language, got[i].confidence, got[i].kept) == (None, 0.0, False) for i in (50, 5000))  # two documents are too few for a model
     assert all(got[i].language == lang(i) for i in got if lang(i) != "pt")
+    few = language.identify(docs.where("lang = 'pt'")).collect()
+    assert [(r.language, r.kept) for r in few] == [(None, False)] * 2  # whatever else there is
+
+
+def test_no_label_and_too_many_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the cat and the dog", f"l{i % 3}", "s") for i in range(30)], "doc_id bigint, text string, lang string, source string")
+    got = language.identify(docs, declared=None, host=None).collect()
+    assert len(got) == 30 and not any(r.kept or r.language or r.declared for r in got)
+    assert len(language.identify(docs, declared=None, label="lang").collect()) == 30
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        language.identify(docs)
 
 
 def test_sample_of_each_language(spark, monkeypatch):
@@ -174,7 +187,7 @@ def test_language_posteriors_by_hand(spark, monkeypatch, small):
     rows += [rows[1], rows[1]]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("label", F.regexp_extract("lang", "^[a-z]*", 0))
     got = {r.doc_id: r for r in language.identify(docs, label="label").collect()}
-    names, table = language.train(docs, "text", "label", "doc_id")
+    names, table, _ = language.train(docs, "text", "label", "doc_id")
     K = len(names)
     ll, n = language._scores([r[1] for r in rows], table)
     ll = ll * (np.minimum(n, language.PAIRS) / np.maximum(n, 1))[:, None]
