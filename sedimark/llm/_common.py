@@ -89,18 +89,22 @@ def join_figures(rows: DataFrame, figures: DataFrame, key: str | list[str], size
     """rows with the figures of their ``key`` (unique there), null where there are none.
 
     Up to SMALL_KEYS keys are broadcast. Beyond that the hot ones (``size`` of HOT_ROWS or more:
-    at most one in HOT_ROWS rows) are, and only rows of other keys are shuffled, so no task gets
-    more than HOT_ROWS rows of a key. Rows with a null key stay where they are.
+    at most one in HOT_ROWS rows) are, and their rows and those without a key, which need nothing from the shuffle, are dealt
+    out by a salt; so no task gets more than HOT_ROWS rows of a key, and rows are read once. figures should be a written table.
     """
     from pyspark.sql import functions as F
 
+    keys = [key] if isinstance(key, str) else key
     if figures.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
-        return rows.join(F.broadcast(figures), key, "left")
-    hot = F.broadcast(figures.where(F.col(size) >= HOT_ROWS))
-    first = key if isinstance(key, str) else key[0]
-    direct = rows.join(hot, key, "left").where(F.col(first).isNull() | F.col(size).isNotNull())
-    cold = rows.where(F.col(first).isNotNull()).join(hot.select(key), key, "left_anti").join(figures.where(F.col(size) < HOT_ROWS), key, "left")
-    return direct.unionByName(cold)
+        return rows.join(F.broadcast(figures), keys, "left")
+    names = [c for c in figures.columns if c not in keys]
+    hot, cold = figures.where(F.col(size) >= HOT_ROWS), figures.where(F.col(size) < HOT_ROWS)
+    marked = rows.join(F.broadcast(hot.select(*keys, F.struct(*names).alias("_hot"))), keys, "left")
+    settled = F.col("_hot").isNotNull() | F.col(keys[0]).isNull()
+    salt = F.when(settled, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(F.lit(0).cast("bigint"))
+    met = marked.withColumn("_salt", salt).join(cold.select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.struct(*names).alias("_cold")), [*keys, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold")
+    return met.select(*rows.columns, *[found[c].alias(c) for c in names])
 
 
 #: What operators keep in a Python worker between tasks: name to module and cached function.

@@ -198,7 +198,7 @@ def identify(docs: DataFrame, declared: str | None = "lang", host: str | None =
     def figures(kind: str) -> DataFrame:
         """Per value of a column: soft counts of the languages and their sum, over all documents with letters."""
         seen = rated.where(F.col(kind).isNotNull() & F.col("p").isNotNull()).groupBy(kind).agg(*sums(), F.count("*").cast("double").alias(f"{kind}_n"))
-        return seen.select(kind, F.array(*[F.col(f"s{k}") for k in range(K)]).alias(f"{kind}_s"), f"{kind}_n")
+        return materialize(seen.select(kind, F.array(*[F.col(f"s{k}") for k in range(K)]).alias(f"{kind}_s"), f"{kind}_n"))
 
     out = rated
     evidence = [F.col("ll")[k] for k in range(K)]
