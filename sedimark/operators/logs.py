@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StructType
 
+from ..session import ship
+
 
 def flatten(rows: DataFrame, record: str) -> DataFrame:
     """The fields of a struct as columns: _x for strings, _x_num for numbers, _x_bool for booleans (as text); nested ones joined by _."""
@@ -57,6 +63,42 @@ def sliding_counts(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.withColumn("micros", at).withColumn("recent", F.count("*").over(w)).drop("micros")
 
 
+def breaker(events: DataFrame, key: str, ts: str, event_id: str, seconds: int, tolerated: int) -> DataFrame:
+    """key, event_id of the events that open a key's breaker: the event is one of more than ``tolerated`` within ``seconds``.
+
+    An opening begins the count anew, so no window function gives it: a fold over the times does. It need not look across
+    a gap of ``seconds``, so a key falls into runs of neighbouring buckets of that width, found from its distinct buckets; runs are dealt out
+    one by one, and each is read in order with as many times in memory as are tolerated. Events of one time count in order of id.
+    """
+    ship(events.sparkSession)
+    width = seconds * 1_000_000
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(event_id).cast("bigint").alias("event_id")).where("at is not null")
+    rows = rows.withColumn("bucket", F.floor(F.col("at") / width))
+    w = Window.partitionBy("key").orderBy("bucket")
+    runs = rows.select("key", "bucket").distinct().withColumn("new", (F.col("bucket") - F.lag("bucket").over(w) != 1).cast("int"))
+    runs = runs.select("key", "bucket", F.sum(F.coalesce("new", F.lit(1))).over(w).alias("run"))
+    placed = rows.alias("a").join(runs.alias("b"), F.expr("a.key <=> b.key and a.bucket = b.bucket")).select("a.key", "b.run", "a.at", "a.event_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, recent = None, deque()
+        for batch in batches:
+            opens = []
+            for i, (k, run, at) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "run", "at")], strict=True)):
+                if (k, run) != place:
+                    place = (k, run)
+                    recent.clear()
+                while recent and at - recent[0] >= width:
+                    recent.popleft()
+                recent.append(at)
+                if len(recent) > tolerated:
+                    recent.clear()
+                    opens.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id")], names=["key", "event_id"]).take(pa.array(opens, pa.int64()))
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return placed.repartition("key", "run").sortWithinPartitions("key", "run", "at", "event_id").mapInArrow(fold, f"key {kind}, event_id bigint").withColumnRenamed("key", key)
+
+
 #: Headers whose values must not be logged.
 SECRET_HEADERS = ["authorization", "cookie", "x-api-key"]
 

@@ -48,3 +48,13 @@ def mean_of_successes(runs: DataFrame, value: str = "ms", error: str = "error")
     """One row: runs, successes (no error) and the mean of their ``value``, 0 without any."""
     ok = F.col(error).isNull()
     return runs.agg(F.count("*").alias("runs"), F.count_if(ok).alias("successes"), F.coalesce(F.avg(F.when(ok, F.col(value))), F.lit(0.0)).alias("mean"))
+
+
+def spans(events: DataFrame, kinds: dict[str, str], run: str, ts: str, event: str, tie: str) -> DataFrame:
+    """run, stage, status, start_ms, duration_ms: the batch twin of the stream's spans, by the event after each start."""
+    rows = events.where(F.col(event).isin(list(kinds))).select(F.col(run).cast("bigint").alias("run"), F.unix_millis(F.col(ts).cast("timestamp")).alias("start_ms"), F.col(event).alias("stage"), F.col(tie).alias("tie"))
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    w = Window.partitionBy("run").orderBy("start_ms", "tie")
+    rows = rows.withColumn("next_ms", F.lead("start_ms").over(w)).withColumn("closer", F.lead(kind[F.col("stage")]).over(w))
+    closed = rows.where((kind[F.col("stage")] == "start") & F.col("next_ms").isNotNull())
+    return closed.select("run", "stage", F.when(F.col("closer") == "failure", "failed").otherwise("done").alias("status"), "start_ms", (F.col("next_ms") - F.col("start_ms")).alias("duration_ms"))

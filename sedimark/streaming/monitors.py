@@ -8,6 +8,7 @@ the last value of a window counts.
 from __future__ import annotations
 
 import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -15,7 +16,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 LATENESS = "1 hour"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files, whether it is one file or a folder of them."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
@@ -23,7 +24,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     reader = spark.readStream.schema(schema)
     rows = reader.parquet(f"{sf_dir}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def events(spark: SparkSession, sf_dir: str, lateness: str = LATENESS) -> DataFrame:
+    """The events table as a stream with a watermark."""
+    return files(spark, sf_dir).withWatermark("ts", lateness)
 
 
 def windowed(stream: DataFrame, width: str) -> DataFrame:
@@ -42,18 +48,14 @@ def refusals(stream: DataFrame, limit: int = 1, width: str = "1 hour") -> DataFr
     return w.where(F.col("events") > limit).select("user_id", F.col("w.start").alias("hour"), "events", (F.col("events") - limit).alias("refused"))
 
 
-#: Limits by the minute: of all requests of a key, of readings and of probes.
-MINUTE_LIMITS = {"all": 100, "read": 30, "probe": 600}
-
-
-def drain(result: DataFrame, keys: list[str], folder: str) -> DataFrame:
+def drain(result: DataFrame, keys: list[str], folder: str, mode: str = "update") -> DataFrame:
     """Run a stream over all that is there now and read the last value of each key."""
     out, marks = f"{folder}/{uuid.uuid4().hex}", f"{folder}/{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
 
-    query = result.writeStream.outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
+    query = result.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     spark = result.sparkSession
     rows = spark.read.schema(StructType([*result.schema.fields, StructField("_batch", IntegerType())])).parquet(out)
