@@ -18,15 +18,48 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
+#: Cells of a table of costs that are kept at once; longer texts are halved first.
+CELLS = 1 << 20
+# Labels of what is drawn, not written.
+DRAWN = ["barcode", "qr", "logo", "separator"]
+
+
+def _costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs of turning all of ``a`` into each beginning of ``b``, in memory of one row."""
+    places = np.arange(len(b) + 1)
+    row = places.copy()
+    for i, c in enumerate(a, 1):
+        best = np.minimum(row[:-1] + (b != c), row[1:] + 1)
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - places) + places
+    return row
+
+
 def align(a: str, b: str) -> list[tuple[int, int]]:
-    """Pairs of places of a cheapest edit path: matches and substitutions in order."""
+    """Pairs of places of a cheapest edit path: matches and substitutions in order.
+
+    Texts whose table would have more than CELLS cells are split where a cheapest path crosses the middle of ``a``, found from both ends.
+    """
+    codes = [np.array([ord(c) for c in t], np.int64) for t in (a, b)]
+    path: list[tuple[int, int]] = []
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        i0, i1, j0, j1 = parts.pop()
+        if (i1 - i0 + 1) * (j1 - j0 + 1) <= CELLS or i1 - i0 < 2:
+            path += [(i0 + i, j0 + j) for i, j in _table(codes[0][i0:i1], codes[1][j0:j1])]
+            continue
+        middle = (i0 + i1) // 2
+        before, after = _costs(codes[0][i0:middle], codes[1][j0:j1]), _costs(codes[0][middle:i1][::-1], codes[1][j0:j1][::-1])[::-1]
+        cut = j0 + int((before + after).argmin())
+        parts += [(middle, i1, cut, j1), (i0, middle, j0, cut)]
+    return path
+
+
+def _table(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     n, m = len(a), len(b)
     cost = np.zeros((n + 1, m + 1), np.int32)
     cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    bs = np.array([ord(c) for c in b], np.int64)
     for i in range(1, n + 1):
-        diagonal = cost[i - 1, :-1] + (bs != ord(a[i - 1]))
-        best = np.minimum(diagonal, cost[i - 1, 1:] + 1)
+        best = np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1)
         steps = np.concatenate([[cost[i, 0]], best]) - np.arange(m + 1)
         cost[i] = np.minimum.accumulate(steps) + np.arange(m + 1)
     i, j, path = n, m, []
@@ -42,19 +75,21 @@ def align(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def local(a: str, b: str) -> list[tuple[int, int]]:
-    """Pairs of places of a best local alignment (match 2, mismatch and gap -1)."""
-    n, m = len(a), len(b)
+    """Pairs of places of a best local alignment (match 2, mismatch and gap -1); of equal ones the first in the longer text."""
+    if len(a) < len(b):
+        return [(i, j) for j, i in local(b, a)]
+    n, m = len(b), len(a)  # rows: the shorter text
     score = np.zeros((n + 1, m + 1), np.int32)
-    bs, places = np.array([ord(c) for c in b], np.int64), np.arange(m + 1)
+    long, places = np.array([ord(c) for c in a], np.int64), np.arange(m + 1)
     for i in range(1, n + 1):
-        best = np.maximum(score[i - 1, :-1] + np.where(bs == ord(a[i - 1]), 2, -1), score[i - 1, 1:] - 1)
+        best = np.maximum(score[i - 1, :-1] + np.where(long == ord(b[i - 1]), 2, -1), score[i - 1, 1:] - 1)
         steps = np.concatenate([[0], np.maximum(best, 0)]) + places  # a gap costs one a place
         score[i] = np.maximum.accumulate(steps) - places
     i, j = map(int, np.unravel_index(int(score.argmax()), score.shape)) if n and m else (0, 0)
     path = []
     while i and j and score[i, j]:
-        if score[i, j] == score[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
-            path.append((i - 1, j - 1))
+        if score[i, j] == score[i - 1, j - 1] + (2 if b[i - 1] == a[j - 1] else -1):
+            path.append((j - 1, i - 1))
             i, j = i - 1, j - 1
         elif score[i, j] == score[i - 1, j] - 1:
             i -= 1
@@ -63,43 +98,62 @@ def local(a: str, b: str) -> list[tuple[int, int]]:
     return path[::-1]
 
 
-def relabel(source: list[tuple[str, str]], read: list[str], doc_share: float = 0.5, word_share: float = 0.6) -> tuple[list[str | None], float]:
-    """A label for each word read from labelled source words, and the share of source characters that met an equal one.
+def _folded(s: str) -> str:
+    """Without case and accents, as long as before."""
+    return "".join(unicodedata.normalize("NFD", c)[0].lower()[:1] or c for c in s)
+
 
-    Equal characters vote; the label seen first wins a tie. Under ``doc_share`` the whole text is aligned locally instead.
-    A word of which less than ``word_share`` met its equal is looked for on its own, and stays without a label if that fails too.
+def relabel(source: list[tuple[str, str]], read: list[str], lines: list[int] | None = None, doc_share: float = 0.5, word_share: float = 0.6) -> tuple[list[str | None], int, int]:
+    """A label for each word read from labelled source words, how many source characters met an equal one, and how many there are.
+
+    Source words without letter or digit, and those with a label of DRAWN, are left out. Equal characters vote; the label seen first wins a
+    tie. Where the whole text meets under ``doc_share``, its lines come in another order: each line read (``lines``: the number of each word's; one line without)
+    is looked for alone. A word of which less than ``word_share`` met its equal is looked for on its own, and stays without a label if that fails too.
     """
-    fold = lambda s: "".join(unicodedata.normalize("NFD", c)[0].lower()[:1] or c for c in s)  # noqa: E731  as long as before
-    a = " ".join(w for w, _ in source)
+    source = [(w, label) for w, label in source if label not in DRAWN and any(c.isalnum() for c in w)]
+    a, words = _folded(" ".join(w for w, _ in source)), [_folded(w) for w in read]
+    b = " ".join(words)
     owner = [k for k, (w, _) in enumerate(source) for _ in range(len(w) + 1)]
-    b = " ".join(read)
-    starts = np.cumsum([0, *[len(w) + 1 for w in read]])
-    pairs = [(i, j) for i, j in align(fold(a), fold(b)) if fold(a[i]) == fold(b[j]) and a[i] != " "]
-    letters = max(1, sum(len(w) for w, _ in source))
-    if len(pairs) / letters < doc_share:
-        pairs = [(i, j) for i, j in local(fold(a), fold(b)) if fold(a[i]) == fold(b[j]) and a[i] != " "]
+    starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+    letters = sum(len(w) for w, _ in source)
+    equal = lambda pairs, t: [(i, j) for i, j in pairs if a[i] == t[j] and a[i] != " "]
+    pairs = equal(align(a, b), b)
+    if len(pairs) < doc_share * letters:
+        number = lines if lines is not None else [0] * len(words)
+        firsts = [k for k in range(len(words)) if k == 0 or number[k] != number[k - 1]]
+        pairs = []
+        for first, after in zip(firsts, [*firsts[1:], len(words)], strict=True):
+            t = " ".join(words[first:after])
+            pairs += [(i, int(starts[first]) + j) for i, j in equal(local(a, t), t)]
+    votes = np.searchsorted([j for _, j in pairs], starts)  # pairs are in order of the reading
     out: list[str | None] = []
-    for k, w in enumerate(read):
-        own = [source[owner[i]][1] for i, j in pairs if starts[k] <= j < starts[k + 1]]
+    for k, w in enumerate(words):
+        own = [source[owner[i]][1] for i, _ in pairs[votes[k] : votes[k + 1]]]
         if len(own) < word_share * len(w):
-            own = [source[owner[i]][1] for i, j in local(fold(a), fold(w)) if fold(a[i]) == fold(w[j]) and a[i] != " "]
+            own = [source[owner[i]][1] for i, _ in equal(local(a, w), w)]
         out.append(Counter(own).most_common(1)[0][0] if own and len(own) >= word_share * len(w) else None)
-    return out, len(pairs) / letters
+    return out, len({j for _, j in pairs}), letters
 
 
 def relabel_documents(docs: DataFrame) -> DataFrame:
-    """docs: k, source (array of struct word, label), read (array of strings); gives k, labels, share."""
+    """docs: k, source (array of struct word, label), read (array of strings), perhaps lines (array of int); gives k, labels, met and characters (of the source), share.
+
+    Aligning costs far more than its rows weigh, so they are dealt out to as many tasks as there are cores, not by their size.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [relabel([(x["word"], x["label"]) for x in s], list(r)) for s, r in zip(b["source"], b["read"], strict=True)]
-            yield pd.DataFrame({"k": b["k"], "labels": [d[0] for d in done], "share": [d[1] for d in done]})
+            done = [relabel([(x["word"], x["label"]) for x in s], list(r), None if n is None else list(n)) for s, r, n in zip(b["source"], b["read"], b["lines"], strict=True)]
+            yield pd.DataFrame({"k": b["k"], "labels": [d[0] for d in done], "met": [d[1] for d in done], "characters": [d[2] for d in done], "share": [d[1] / max(1, d[2]) for d in done]})
 
     ship(docs.sparkSession)
-    return docs.select("k", "source", "read").mapInPandas(run, "k bigint, labels array<string>, share double")
+    lines = F.col("lines") if "lines" in docs.columns else F.lit(None).cast("array<int>")
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.select("k", "source", "read", lines.alias("lines")).repartition(tasks).mapInPandas(run, "k bigint, labels array<string>, met bigint, characters bigint, share double")
 
 
 def corpus_share(relabelled: DataFrame, keep_share: float = 0.5) -> DataFrame:
-    """Of ``relabel_documents``: documents, how many are kept (share at least ``keep_share``), words and words with a label; one row."""
+    """Of ``relabel_documents``: documents, how many are kept (share at least ``keep_share``), words and words with a label, the share of all source characters that met an equal one; one row."""
     with_label = F.size(F.filter("labels", lambda x: x.isNotNull()))
-    return relabelled.agg(F.count("*").alias("documents"), F.count_if(F.col("share") >= keep_share).alias("kept"), F.sum(F.size("labels")).alias("words"), F.sum(with_label).alias("labelled"))
+    return relabelled.agg(F.count("*").alias("documents"), F.count_if(F.col("share") >= keep_share).alias("kept"), F.sum(F.size("labels")).alias("words"), F.sum(with_label).alias("labelled"), (F.sum("met") / F.sum("characters")).alias("met_share"))

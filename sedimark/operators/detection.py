@@ -19,7 +19,7 @@ PIXEL, BOX, UNCLIP, LEAST_SIDE, MOST_REGIONS = 0.3, 0.6, 1.5, 3, 1000
 MEAN, SPREAD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 HEIGHT, LEAST_WIDTH, MOST_WIDTH = 48, 320, 3200
 # Under which confidence a line is read again, by how much its box grows for that, and the cubic kernel's sharpness.
-WEAK, MARGIN, CUBIC = 0.90, 0.10, -0.75
+WEAK, MARGIN, LEAST_CROP, CUBIC = 0.90, 0.10, 4, -0.75
 
 
 @dataclass
@@ -170,13 +170,15 @@ def recogniser_tensor(lines: list[np.ndarray]) -> np.ndarray:
 
 
 def second_boxes(lines: DataFrame, width: int, height: int) -> DataFrame:
-    """Upright boxes of weak lines (conf under WEAK), MARGIN wider on every side, inside the image: the columns of ``lines`` with other x, y, w, h."""
-    grow = lambda at, size, most: F.greatest(F.lit(0.0), at - size * MARGIN)  # noqa: E731, ARG005
-    far = lambda at, size, most: F.least(F.lit(float(most)), at + size * (1 + MARGIN))
-    weak = lines.where(F.col("conf") < WEAK)
-    x, y = grow(F.col("x"), F.col("w"), width), grow(F.col("y"), F.col("h"), height)
-    w, h = far(F.col("x"), F.col("w"), width) - x, far(F.col("y"), F.col("h"), height) - y
-    return weak.withColumns({"x": x, "y": y, "w": w, "h": h})
+    """Upright boxes of weak lines (conf under WEAK), MARGIN of their height taller above and below, cut to the image and to whole pixels: the columns of
+    ``lines`` with other x, y, w, h. Boxes of less than LEAST_CROP pixels either way aren't read again.
+    """
+    edge = lambda at, most: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), at)))
+    more = F.col("h") * MARGIN
+    x, y = edge(F.col("x"), width), edge(F.col("y") - more, height)
+    w, h = edge(F.col("x") + F.col("w"), width) - x, edge(F.col("y") + F.col("h") + more, height) - y
+    weak = lines.where(F.col("conf") < WEAK).withColumns({c: v.cast("double") for c, v in (("x", x), ("y", y), ("w", w), ("h", h))})
+    return weak.where((F.col("w") >= LEAST_CROP) & (F.col("h") >= LEAST_CROP))
 
 
 def best_reading(readings: DataFrame, keys: list[str], turn: str = "turn") -> DataFrame:

@@ -1,30 +1,25 @@
-"""Engines behind one interface: a stand-in without a model, and an adapter for ONNX graphs.
-
-An engine maps rows to rows in Arrow batches; a model is loaded once per Python worker.
-"""
+"""Engines without a model: a stand-in for reading and one for labels, and how far two engines agree."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..session import ship
 from . import reading
 
-#: The stand-in's receipt, our own: two columns of text; its balance closes (7.75 + 0.39 + 0.77 = 8.91).
-STAND_IN = [("CAFE DU COIN", ""), ("12 rue Principale", ""), ("2026-08-27", "22:04"), ("CAFE FILTRE", "3,25"), ("MUFFIN", "4,50"), ("SOUS-TOTAL", "7,75"), ("TPS 5%", "0,39"), ("TVQ 9,975%", "0,77"), ("TOTAL", "8,91")]
+# The stand-in's texts with their column and their place down the page; where columns begin, height of a line, width of a character, confidence.
+STAND_IN = [
+    ("CAFE DU COIN", 0, 0.06), ("2026-08-30", 0, 0.14), ("Cafe filtre", 0, 0.28), ("3,25", 1, 0.28), ("Croissant", 0, 0.36), ("4,50", 1, 0.36), ("Sous-total", 0, 0.52),
+    ("7,75", 1, 0.52), ("TPS 5%", 0, 0.6), ("0,39", 1, 0.6), ("TVQ 9,975%", 0, 0.68), ("0,77", 1, 0.68), ("TOTAL", 0, 0.8), ("8,91", 1, 0.8),
+]
+COLUMNS, LINE_HEIGHT, LETTER_WIDTH, SURE = (0.08, 0.62), 28.0, 14.0, 0.9
 
 
-def stand_in(docs: DataFrame, key: str = "k") -> DataFrame:
-    """The same fragments for every document: k, ix, text, x, y, w, h, conf."""
-    parts = [(x, 40.0 * side, 12.0 * line) for line, pair in enumerate(STAND_IN) for side, x in enumerate(pair) if x]
-    rows = F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(t).alias("text"), F.lit(x * 5).alias("x"), F.lit(y).alias("y"), F.lit(float(8 * len(t))).alias("w"), F.lit(10.0).alias("h"), F.lit(0.95).alias("conf")) for i, (t, x, y) in enumerate(parts)])
+def stand_in(docs: DataFrame, key: str = "k", width: str = "width", height: str = "height") -> DataFrame:
+    """The same fragments for every document, placed by its ``width`` and ``height``: k, ix, text, x, y, w, h, conf."""
+    fragment = lambda i, text, column, down: F.struct(F.lit(i).alias("ix"), F.lit(text).alias("text"), (F.col(width) * COLUMNS[column]).alias("x"), (F.col(height) * down).alias("y"), F.lit(LETTER_WIDTH * len(text)).alias("w"), F.lit(LINE_HEIGHT).alias("h"), F.lit(SURE).alias("conf"))
+    rows = F.array(*[fragment(i, *x) for i, x in enumerate(STAND_IN)])
     return docs.select(F.col(key).alias("k"), F.explode(rows).alias("r")).select("k", "r.*")
 
 
@@ -42,30 +37,6 @@ def stand_in_labels(words: DataFrame) -> DataFrame:
     return words.join(total, "k", "left").withColumns({"label": F.when(hit, "TOTAL").otherwise("O"), "begin": hit, "score": F.lit(0.9)}).drop("at")
 
 
-@lru_cache(maxsize=2)
-def session(path: str):
-    import onnxruntime
-
-    options = onnxruntime.SessionOptions()
-    options.intra_op_num_threads = 1
-    return onnxruntime.InferenceSession(path, options)
-
-
-def run_onnx(rows: DataFrame, path: str, input_name: str, key: str, features: str) -> DataFrame:
-    """key, outputs (array<double>) of a graph with one input of shape (rows, features). The path must be open to every executor."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.array(b.column("x").to_pylist(), np.float32)
-                y = session(path).run(None, {input_name: x})[0]
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(y.astype(float).tolist(), pa.list_(pa.float64()))], names=["key", "outputs"])
-
-    ship(rows.sparkSession)
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("key"), F.col(features).alias("x")).mapInArrow(work, f"key {kind}, outputs array<double>")
-
-
 def parity(a: DataFrame, b: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Share of equal labels of two engines over the same words: words, equal, share."""
     both = a.select(*keys, F.col(label).alias("a")).join(b.select(*keys, F.col(label).alias("b")), keys)

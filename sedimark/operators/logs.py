@@ -8,34 +8,63 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StructType
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructField, StructType
 
 from ..session import ship
 
 
-def flatten(rows: DataFrame, record: str) -> DataFrame:
-    """The fields of a struct as columns: _x for strings, _x_num for numbers, _x_bool for booleans (as text); nested ones joined by _."""
+def flatten(rows: DataFrame, record: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """The fields of a struct as columns: _x for strings, _x_num for numbers, _x_bool for booleans (as text); points in names become _.
+
+    One level of structs is taken, its names joined by _; what lies deeper, arrays and the fields of ``skip`` are left out.
+    """
     out: list[Column] = []
 
-    def walk(kind: StructType, path: str, name: str) -> None:
+    def walk(kind: StructType, path: str, name: str, deeper: bool) -> None:
         for f in kind.fields:
             at, as_name = F.col(f"{path}.`{f.name}`"), f"{name}_{f.name.replace('.', '_')}"
             if isinstance(f.dataType, StructType):
-                walk(f.dataType, f"{path}.`{f.name}`", as_name)
+                if deeper:
+                    walk(f.dataType, f"{path}.`{f.name}`", as_name, False)
             elif isinstance(f.dataType, NumericType):
                 out.append(at.cast("double").alias(f"{as_name}_num"))
             elif isinstance(f.dataType, BooleanType):
                 out.append(at.cast("string").alias(f"{as_name}_bool"))
-            else:
-                out.append(at.cast("string").alias(as_name))
+            elif isinstance(f.dataType, StringType) and not (path == record and f.name in skip):
+                out.append(at.alias(as_name))
 
-    walk(rows.schema[record].dataType, record, "")
+    kind = rows.schema[record].dataType
+    walk(StructType([f for f in kind.fields if f.name not in skip]), record, "", True)
     return rows.select(*[c for c in rows.columns if c != record], *out)
 
 
-def syslog_level(level: Column) -> Column:
-    """Syslog severity of a numeric log level (10 trace to 60 fatal)."""
-    return F.when(level >= 60, 2).when(level >= 50, 3).when(level >= 40, 4).when(level >= 30, 6).otherwise(7)
+# Severities and names of numeric log levels, those of any other level, the message of a line without one, and the fields that the envelope takes up.
+LEVELS = {10: (7, "trace"), 20: (7, "debug"), 30: (6, "info"), 40: (4, "warn"), 50: (3, "error"), 60: (2, "fatal")}
+OTHER_LEVEL, NO_MESSAGE, ENVELOPE = (6, "info"), "(sans message)", ("level", "time", "msg", "hostname", "pid")
+
+
+def severity(level: Column) -> Column:
+    """struct(level, name) of a numeric log level; null and unknown ones count as info."""
+    made = lambda pair: F.struct(F.lit(pair[0]).alias("level"), F.lit(pair[1]).alias("name"))
+    out = made(OTHER_LEVEL)
+    for number, pair in LEVELS.items():
+        out = F.when(level == number, made(pair)).otherwise(out)
+    return out
+
+
+def envelope(lines: DataFrame, line: str, schema: StructType, fixed: dict[str, str], now: Column) -> DataFrame:
+    """Log lines (JSON) as messages to ship: the columns of ``lines`` but ``line``, those of ``fixed``, version, short_message, timestamp (seconds), level,
+    _niveau, _conteneur (the host name), and all other fields of ``schema`` as ``flatten`` names them. Lines that are no JSON object are left out; a field of another
+    type than the schema says is null. ``now``: the time in milliseconds of lines without one.
+    """
+    bad = "_bad"
+    names = {f.name for f in schema.fields}
+    given = StructType([*schema.fields, StructField(bad, StringType())])
+    rows = lines.withColumn("_r", F.from_json(line, given, {"columnNameOfCorruptRecord": bad})).where(F.col("_r").isNotNull() & F.col(f"_r.{bad}").isNull()).drop(line)
+    field = lambda name, kind: F.col(f"_r.{name}") if name in names else F.lit(None).cast(kind)
+    s = severity(field("level", "bigint"))
+    made = rows.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()], F.lit("1.1").alias("version"), F.coalesce(field("msg", "string"), F.lit(NO_MESSAGE)).alias("short_message"), (F.coalesce(field("time", "bigint"), now) / 1000).alias("timestamp"), s["level"].alias("level"), s["name"].alias("_niveau"), field("hostname", "string").alias("_conteneur"))
+    return flatten(made, "_r", (*ENVELOPE, bad))
 
 
 def alert_counts(events: DataFrame, width: str, most: int) -> DataFrame:

@@ -17,7 +17,7 @@ from .solver import READ, TAX
 NOT_A_TOTAL = ["sous", "sub", "valeur", "economie", "epargne"]
 TOTAL_WORDS, AMOUNT_WORDS = ["total"], ["montant", "amount"]
 SUBTOTAL_WORDS = ["sous-total", "sous total", "soustotal", "subtotal", "sub-total", "sub total"]
-TAX_WORDS = "(?i)\\b(T\\.?P\\.?S|T\\.?V\\.?Q|TVH|GST|PST|QST|HST|TVA|TAXES?|TAX)\\b"
+TAX_WORDS = "(?i)(?<![A-Za-z0-9_])(T\\.?P\\.?S|T\\.?V\\.?Q|TVH|GST|PST|QST|HST|TVA|TAXES?|TAX)(?![A-Za-z0-9_])"
 PAYMENT_WORDS = ["total", "montant", "solde", "balance", "paiement", "payment", "monnaie", "change", "approuv", "credit", "debit", "visa", "master", "amex", "interac", "rabais", "remise", "discount", "economie", "epargne", "vente", "carte de"]
 CARDS = ["visa", "mastercard", "amex", "interac"]
 PAID_WORDS = ["comptant", "cash"]

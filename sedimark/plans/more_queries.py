@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import words
-from ..operators import images, stages
+from ..operators import alignment, images, logs, stages
 from ..sources import receipts
 from ..sources.receipts import table
 from .receipt_queries import LINES_SQL, REC
@@ -113,7 +114,48 @@ def detector_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETECTOR = "select p_partkey, greatest(32, cast(round_even(floor(w * s) / 32, 0) as bigint) * 32) as width, greatest(32, cast(round_even(floor(h * s) / 32, 0) as bigint) * 32) as height from (select *, least(1.0, 2016.0 / greatest(w, h)) as s from (select p_partkey, cast(p_size * 40 as double) as w, cast(p_size * 40 + p_partkey % 3000 as double) as h from part))"
 
+SENT = "level int, time bigint, msg string, hostname string, pid int, value double, high boolean, err struct<type:string,k:bigint,deep:struct<x:int>>, `a.b` string"
+
+
+def log_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events printed as log lines, some cut off and some without message, time or host, and these as messages to ship."""
+    e = table(spark, sf_dir, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    level = F.when(F.col("event_type") == "error", 50).when(F.col("event_type") == "view", 35).when(F.col("event_type") != "signup", F.col("event_id") % 7 * 10)
+    err = F.when(F.col("event_type") == "error", F.struct(F.lit("E").alias("type"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.struct(F.lit(1).alias("x")).alias("deep")))
+    fields = [level.cast("int").alias("level"), F.when(F.col("event_id") % 11 != 0, ms).alias("time"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("msg"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("h"), F.col("user_id").cast("string"))).alias("hostname"), F.lit(1).alias("pid"), F.col("value"), (F.col("value") > 50).alias("high"), err.alias("err"), F.lit("p").alias("a.b")]
+    line = F.to_json(F.struct(*fields))
+    lines = e.select("event_id", ms.alias("at"), F.when(F.col("event_id") % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("line"))
+    out = logs.envelope(lines, "line", StructType.fromDDL(SENT), {"host": "service"}, F.col("at"))
+    return out.drop("at").withColumn("_value_num", F.round("_value_num", 6)).withColumn("timestamp", F.round("timestamp", 3))
+
+
+SENT_SQL = """with e as (select *, epoch_ms(date_trunc('millisecond', ts)) as ms, case when event_type = 'error' then 50 when event_type = 'view' then 35 when event_type <> 'signup' then event_id % 7 * 10 end as l from events where event_id % 17 <> 0)
+select event_id, 'service' as host, '1.1' as version, case when event_id % 5 <> 0 then event_type else '(sans message)' end as short_message, round(ms / 1000, 3) as timestamp,
+  case l when 10 then 7 when 20 then 7 when 40 then 4 when 50 then 3 when 60 then 2 else 6 end as level, case l when 10 then 'trace' when 20 then 'debug' when 40 then 'warn' when 50 then 'error' when 60 then 'fatal' else 'info' end as _niveau,
+  case when event_id % 3 = 0 then 'h' || user_id end as _conteneur, round(value, 6) as _value_num, case when value > 50 then 'true' else 'false' end as _high_bool,
+  case when event_type = 'error' then 'E' end as _err_type, case when event_type = 'error' then cast(json_extract(props, '$.k') as double) end as _err_k_num, 'p' as _a_b from e"""
+
+
+def relabelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of printed words (amounts and names) carried to a reading in lower case with the lines in reverse order: per receipt the words, those
+    labelled as printed, and the characters printed."""
+    label = lambda w: F.when(w.rlike("^[0-9]"), "PRICE").otherwise("NAME")
+    t = receipts.lines(spark, sf_dir).select("k", "line", F.filter(F.split("text", " +"), lambda w: w.rlike("[A-Za-z0-9]")).alias("w"))
+    g = t.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "w"))).alias("l"))
+    words = lambda l: F.flatten(F.transform(l, lambda x: x["w"]))  # noqa: E731, E741
+    docs = g.select("k", F.transform(words(F.col("l")), lambda w: F.struct(w.alias("word"), label(w).alias("label"))).alias("source"), F.transform(words(F.reverse("l")), F.lower).alias("read"), F.flatten(F.transform(F.reverse("l"), lambda x: F.array_repeat(x["line"].cast("int"), F.size(x["w"])))).alias("lines"))
+    done = alignment.relabel_documents(docs).join(docs.select("k", F.transform("read", label).alias("want")), "k")
+    return done.select("k", F.size("labels").cast("bigint").alias("words"), F.size(F.filter(F.arrays_zip("labels", "want"), lambda x: x["labels"] == x["want"])).cast("bigint").alias("right_words"), "characters")
+
+
+RELABELLED = rf"""with {LINES_SQL}, w as (select k, unnest(list_filter(regexp_split_to_array(txt, ' +'), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) as w from ln)
+select k, count(*) as words, count(*) as right_words, cast(sum(length(w)) as bigint) as characters from w group by k"""
+
+
 QUERIES = {
+    "log_envelope": (log_envelope, SENT_SQL),
+    "relabelled_words": (relabelled_words, RELABELLED),
     "word_boxes": (word_boxes, WORD_BOXES),
     "stage_durations": (stage_durations, DURATIONS),
     "next_steps": (next_steps, NEXT),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,12 @@ def dataset(rows: DataFrame, path: str, split: str, index: str) -> None:
 def aligned_only(rows: DataFrame, path: str, share: str, least: float = 0.5) -> None:
     """Documents whose aligned share reaches the threshold."""
     rows.where(F.col(share) >= least).write.mode("overwrite").json(path)
+
+
+def keep_batch(folder: str) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch`` that writes a batch into a folder of its number. A batch that is run again replaces what it had written, so nothing doubles."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{folder}/batch={number}")
+
+    return keep

@@ -1,21 +1,24 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sedimark.operators import alignment, brands, categories, detection, engines, generator, images, layout, reading, scoring, solver, tokens
+from sedimark.operators import alignment, brands, categories, detection, engines, generator, images, layout, logs, reading, scoring, solver, tokens
 from sedimark.sources import readers, writers
 
 
 def test_stand_in_receipt_reads_coherent(spark):
-    blocks = engines.stand_in(spark.range(2).withColumnRenamed("id", "k"))
+    blocks = engines.stand_in(spark.range(2).selectExpr("id as k", "1000 as width", "2000 as height"))
+    assert [tuple(r)[2:] for r in blocks.where("k = 1 and ix in (3, 13)").orderBy("ix").collect()] == [("3,25", 620.0, 560.0, 56.0, 28.0, 0.9), ("8,91", 620.0, 1600.0, 56.0, 28.0, 0.9)]
     lines = reading.line_texts(reading.group_lines(blocks)).withColumnRenamed("line_ix", "line")
     assert [r.text for r in lines.where("k = 0").orderBy("line").collect()][-1] == "TOTAL 8,91"
     c = reading.candidates(lines).select("k", solver.solve(F.col("totals"), F.col("subtotals"), F.col("taxes")).alias("s"))
     assert [(r.s.total.value, r.s.subtotal.value, len(r.s.taxes), r.s.coherence) for r in c.collect()] == [(8.91, 7.75, 2, "coherente")] * 2
     assert reading.articles(lines).where("k = 1").count() == 2
-    assert reading.date(lines, F.lit("2026-09-01").cast("date")).first().date.isoformat() == "2026-08-27"
+    assert reading.date(lines, F.lit("2026-09-01").cast("date")).first().date.isoformat() == "2026-08-30"
 
 
 def test_line_grouping_follows_the_first_block(spark):
@@ -61,7 +64,63 @@ def test_relabel(spark):
     assert alignment.relabel(source, ["CAFE", "F1LTRE", "3,25"])[0] == ["NAME", "NAME", "PRICE"]
     assert alignment.relabel(source, ["xyz"])[0] == [None]
     df = spark.createDataFrame([(1, source, ["cafe", "3,25"])], "k bigint, source array<struct<word:string,label:string>>, read array<string>")
-    assert alignment.relabel_documents(df).first().labels == ["NAME", "PRICE"]
+    done = alignment.relabel_documents(df)
+    assert done.first().labels == ["NAME", "PRICE"] and (done.first().met, done.first().characters) == (8, 14)
+    assert tuple(alignment.corpus_share(done).first()) == (1, 1, 2, 2, 8 / 14)
+
+
+def test_lines_in_another_order_are_found_alone():
+    lines = [[("RUE", "PLACE"), ("PRINCIPALE", "PLACE")], [("=====", "RULE"), ("x", "logo")], [("BEURRE", "NAME"), ("SALE", "NAME"), ("7,49", "PRICE")], [("TOTAL", "WORD"), ("18,20", "TOTAL")]]
+    source = [w for line in lines for w in line]
+    read = ["TOTAL", "18,20", "BEURRE", "SALE", "7,49", "RUE", "PRINC1PALE"]
+    labels, met, letters = alignment.relabel(source, read, [0, 0, 1, 1, 1, 2, 2])
+    assert labels == ["WORD", "TOTAL", "NAME", "NAME", "PRICE", "PLACE", "PLACE"] and (met, letters) == (36, 37)  # rules and drawings aside
+    assert alignment.relabel(source, read)[1] < 20  # as one line only a part is found
+
+
+def test_long_texts_are_aligned_in_halves(monkeypatch):
+    r = random.Random(3)
+    a = "".join(r.choice("abcd ") for _ in range(300))
+    b = "".join(c if r.random() > 0.2 else r.choice(["", "x", c + "y"]) for c in a)
+    cost = lambda pairs: len(a) + len(b) - 2 * len(pairs) + sum(a[i] != b[j] for i, j in pairs)
+    whole = alignment.align(a, b)
+    monkeypatch.setattr(alignment, "CELLS", 500)
+    halves = alignment.align(a, b)
+    assert cost(halves) == cost(whole) and halves == sorted(halves) and len({j for _, j in halves}) == len(halves)
+
+
+def test_polygons_keep_their_corners():
+    ring = np.array([[50, 0], [100, 0], [100, 2], [100, 100], [0, 100], [0, 1]], float)
+    assert images.simplified(ring, 3).tolist() == [[0, 100], [0, 1], [100, 0], [100, 100]]  # from the corner farthest from the centre
+    spike = np.array([[0, 0], [10, 0], [30, 0.2], [10, 0.4], [0, 10]], float)  # beyond the end of its chord
+    assert [30, 0.2] in images.simplified(spike, 5).tolist()
+    assert images.simplified(ring, 1000).tolist() == [[0, 100]]
+
+
+def test_taxes_after_an_accented_letter(spark):
+    got = spark.createDataFrame([("éTPS 5% 0,39",), ("aTPS 5%",), ("TVQé",), ("TVQ_x",)], "t string").select(F.col("t").rlike(reading.TAX_WORDS)).collect()
+    assert [r[0] for r in got] == [True, False, True, False]
+
+
+def test_left_and_right_texts_that_are_empty(spark):
+    rows = [("", "4,50"), ("MUFFIN", ""), ("", ""), ("", "x" * 20)]
+    got = spark.createDataFrame(rows, "a string, b string").select(layout.justified(F.col("a"), F.col("b"), 20, "l", "r").alias("r")).collect()
+    assert [[[(s["col"], s.text) for s in row] for row in r.r] for r in got] == [[[(16, "4,50")]], [[(0, "MUFFIN")]], [], [[(0, "x" * 20)]]]
+
+
+def test_log_envelopes(spark):
+    schema = StructType.fromDDL("level int, time bigint, msg string, hostname string, pid int, n double, ok boolean, err struct<type:string,deep:struct<x:int>>, tags array<string>")
+    lines = [('{"level":50,"time":1500,"msg":"m","hostname":"c1","pid":1,"n":2,"ok":true,"err":{"type":"E","deep":{"x":1}},"tags":["a"]}',), ('{"level":35}',), ("not json",), ('{"level":50',), (None,)]
+    got = logs.envelope(spark.createDataFrame(lines, "line string"), "line", schema, {"host": "s"}, F.lit(9000))
+    assert got.columns == ["host", "version", "short_message", "timestamp", "level", "_niveau", "_conteneur", "_n_num", "_ok_bool", "_err_type"]
+    assert sorted(tuple(r) for r in got.collect()) == [("s", "1.1", "(sans message)", 9.0, 6, "info", None, None, None, None), ("s", "1.1", "m", 1.5, 3, "error", "c1", 2.0, "true", "E")]
+
+
+def test_a_batch_that_is_replayed_is_there_once(spark, tmp_path):
+    keep = writers.keep_batch(str(tmp_path / "out"))
+    for number, n in ((0, 5), (1, 3), (1, 3), (0, 5)):
+        keep(spark.range(n), number)
+    assert spark.read.json(str(tmp_path / "out")).groupBy("batch").count().orderBy("batch").collect() == [(0, 5), (1, 3)]
 
 
 def test_generator_holds_its_invariants_whatever_the_partitions(spark):
@@ -207,9 +266,9 @@ def test_detection_and_recognition_geometry():
 
 
 def test_second_reading(spark):
-    lines = spark.createDataFrame([(1, "A", 0.95, 10.0, 10.0, 100.0, 20.0), (2, "B", 0.5, 0.0, 10.0, 100.0, 20.0)], "k int, text string, conf double, x double, y double, w double, h double")
+    lines = spark.createDataFrame([(1, "A", 0.95, 10.0, 10.0, 100.0, 20.0), (2, "B", 0.5, 0.6, 10.0, 120.0, 25.0), (3, "C", 0.1, 5.0, 5.0, 3.9, 20.0), (4, "D", 0.89, 1.5, 195.0, 50.2, 20.0)], "k int, text string, conf double, x double, y double, w double, h double")
     again = detection.second_boxes(lines, 105, 200).collect()
-    assert [(r.k, r.x, r.y, r.w, r.h) for r in again] == [(2, 0.0, 8.0, 105.0, 24.0)]
+    assert [(r.k, r.x, r.y, r.w, r.h) for r in again] == [(2, 0.0, 7.0, 105.0, 30.0), (4, 1.0, 193.0, 50.0, 7.0)]  # taller alone, whole pixels, none under four
     both = spark.createDataFrame([(2, 0, "B", 0.5), (2, 1, "BB", 0.7), (3, 0, "C", 0.5), (3, 1, "D", 0.5)], "k int, turn int, text string, conf double")
     assert sorted((r.k, r.text, r.conf) for r in detection.best_reading(both, ["k"]).collect()) == [(2, "BB", 0.7), (3, "C", 0.5)]
 
