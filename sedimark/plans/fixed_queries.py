@@ -1,4 +1,4 @@
-"""Queries over fixed receipts whose answers are known line by line."""
+"""Queries over receipts and images printed for every order or part, whose answers are known."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import brands, categories, detection, reading
+from ..sources.receipts import table
 
 # Receipts (lines set apart by bars) that mislead a reader of categories, with the category and sub-category they must get.
 TRAPS = [
@@ -73,69 +74,79 @@ HEADS = [
 ]
 
 
-def _rows(spark: SparkSession) -> DataFrame:
-    """k, line, text of the traps."""
-    rows = [(k, n, x) for k, (lines, *_) in enumerate(TRAPS) for n, x in enumerate(lines.split(" | "))]
-    return spark.createDataFrame(rows, "k bigint, line int, text string")
+def _printed(spark: SparkSession, sf_dir: str, cases: list[list[str]]) -> DataFrame:
+    """k, trap, line, text: every order prints one of the cases, by its key."""
+    rows = [(c, n, x) for c, lines in enumerate(cases) for n, x in enumerate(lines)]
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"), (F.col("o_orderkey") % len(cases)).cast("bigint").alias("trap"))
+    return orders.join(F.broadcast(spark.createDataFrame(rows, "trap bigint, line int, text string")), "trap")
 
 
 def category_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category and sub-category of each of TRAPS, through merchant, site, bill and aisles."""
-    lines, phrases = _rows(spark), brands.catalogue(categories.keywords(spark))
-    found = categories.of_receipts(lines, reading.merchant(lines, phrases, F.lit(AS_OF).cast("date")), phrases)
-    return found.select("k", "category", "subcategory")
+    """Category and sub-category of every order's trap, through merchant, site, bill and aisles."""
+    lines, phrases = _printed(spark, sf_dir, [t[0].split(" | ") for t in TRAPS]), brands.catalogue(categories.keywords(spark))
+    read = lines.drop("trap")
+    found = categories.of_receipts(read, reading.merchant(read, phrases, F.lit(AS_OF).cast("date")), phrases)
+    return found.groupBy((F.col("k") % len(TRAPS)).alias("trap"), "category", "subcategory").agg(F.count("*").alias("orders"))
 
 
 def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amount and date of each of ODD_LINES."""
-    rows = spark.createDataFrame([(k, r[0]) for k, r in enumerate(ODD_LINES)], "k bigint, text string")
-    rows = dates.add_dates(rows.where("text is not null"), "d", F.col("text"), F.lit(AS_OF).cast("date"))
-    return rows.select("k", F.round(numbers.amount(F.col("text")) * 100).cast("bigint").alias("cents"), F.col("d.value").alias("day"), F.col("d.sure").alias("sure"))
+    """Amount and date of the odd line that every order prints."""
+    rows = dates.add_dates(_printed(spark, sf_dir, [[r[0]] for r in ODD_LINES]), "d", F.col("text"), F.lit(AS_OF).cast("date"))
+    read = rows.select("trap", F.round(numbers.amount(F.col("text")) * 100).cast("bigint").alias("cents"), F.col("d.value").alias("day"), F.col("d.sure").alias("sure"))
+    return read.groupBy("trap", "cents", "day", "sure").agg(F.count("*").alias("orders"))
 
 
 def head_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of HEADS can name a shop, and which are addresses."""
-    lines = spark.createDataFrame([(k, 0, r[0]) for k, r in enumerate(HEADS)], "k bigint, line int, text string")
-    named = reading.merchant(lines, None, F.lit(AS_OF).cast("date")).select("k", F.lit(True).alias("named"))
-    return lines.join(named, "k", "left").select("k", F.coalesce("named", F.lit(False)).alias("named"), text.address(F.col("text")).alias("address"))
-
-
-# Maps of 40 x 20 with zones (x0, y0, x1, y1, likelihood), the size of their image, and the boxes they give.
-MAPS = [([(5, 8, 30, 12, 1.0)], (40, 20), [(2, 5, 33, 15)]), ([(2, 2, 20, 3, 1.0), (5, 10, 30, 15, 0.5)], (40, 20), []), ([(5, 8, 30, 12, 1.0)], (80, 40), [(5, 11, 65, 29)])]
-# Width and height of a line, its width for the recogniser, and that with padding.
-LINE_WIDTHS = [(100, 48, 100, 320), (1000, 48, 1000, 1000), (10000, 48, 3200, 3200)]
+    """Whether the line at the head of every order's receipt can name a shop, and whether it is an address."""
+    lines = _printed(spark, sf_dir, [[h[0]] for h in HEADS])
+    named = reading.merchant(lines.drop("trap"), None, F.lit(AS_OF).cast("date")).select("k", F.lit(True).alias("named"))
+    read = lines.join(named, "k", "left").select("trap", F.coalesce("named", F.lit(False)).alias("named"), text.address(F.col("text")).alias("address"))
+    return read.groupBy("trap", "named", "address").agg(F.count("*").alias("orders"))
 
 
 def detected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of each of MAPS."""
-    rows = []
-    for k, (zones, (w, h), _) in enumerate(MAPS):
-        chances = [0.0] * 800
-        for x0, y0, x1, y1, p in zones:
-            for y in range(y0, y1 + 1):
-                chances[40 * y + x0 : 40 * y + x1 + 1] = [p] * (x1 + 1 - x0)
-        rows.append((k, 40, 20, w, h, chances))
-    maps = spark.createDataFrame(rows, "k bigint, width int, height int, source_width int, source_height int, chances array<float>")
+    """Boxes of a map of 40 x 20 for every part: a bright zone whose place comes from the key, in an image of the same size or twice that; every fifth is too
+    weak and every seventh too thin."""
+    k = F.col("p_partkey").cast("bigint")
+    dx, dy = k % 4, F.floor(k / 4) % 2
+    bottom = F.when(k % 7 == 0, 8 + dy).otherwise(12 + dy)
+    chance = F.when(k % 5 == 0, 0.5).otherwise(1.0)
+    x, y = lambda i: i % 40, lambda i: F.floor(i / 40)
+    lit = lambda i: F.when(x(i).between(5 + dx, 30 + dx) & y(i).between(8 + dy, bottom), chance).otherwise(0.0).cast("float")
+    twice = F.when(k % 3 == 0, 2).otherwise(1)
+    maps = table(spark, sf_dir, "part").select(k.alias("k"), F.lit(40).alias("width"), F.lit(20).alias("height"), (twice * 40).alias("source_width"), (twice * 20).alias("source_height"), F.transform(F.sequence(F.lit(0), F.lit(799)), lit).alias("chances"))
     return detection.detect(maps).select("k", "x0", "y0", "x1", "y1")
 
 
+# The zone of 26 x 5 at (5, 8) gives the box (2, 5) to (33, 15), twice as large (5, 11) to (65, 29).
+BOXES = """with p as (select cast(p_partkey as bigint) as k, k % 4 as dx, k // 4 % 2 as dy from part where p_partkey % 5 <> 0 and p_partkey % 7 <> 0)
+select k, case when k % 3 = 0 then 5 + 2 * dx else 2 + dx end as x0, case when k % 3 = 0 then 11 + 2 * dy else 5 + dy end as y0, case when k % 3 = 0 then 65 + 2 * dx else 33 + dx end as x1, case when k % 3 = 0 then 29 + 2 * dy else 15 + dy end as y1 from p"""
+
+
 def line_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, w, h) for k, (w, h, *_) in enumerate(LINE_WIDTHS)], "k bigint, w int, h int")
+    """Widths for the recogniser of a line for every part."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * 37 % 6000 + 10).alias("w"), (F.col("p_size") + 20).alias("h"))
     return rows.select("k", detection.recogniser_widths(F.col("w"), F.col("h")).alias("s")).select("k", F.col("s.resized").cast("bigint").alias("resized"), F.col("s.total").cast("bigint").alias("total"))
 
 
+WIDTHS = """with p as (select p_partkey as k, p_partkey * 37 % 6000 + 10 as w, p_size + 20 as h from part), t as (select *, cast(floor(48 * greatest(320 / 48, w / h)) as bigint) as total from p)
+select k, case when total > 3200 then 3200 else least(total, cast(ceil(48 * w / h) as bigint)) end as resized, least(total, 3200) as total from t"""
+
+
 def _sql(value) -> str:
     return "null" if value is None else str(value).lower() if isinstance(value, bool) else f"'{value}'" if isinstance(value, str) else str(value)
 
 
 def _values(rows: list[tuple], columns: list[str]) -> str:
-    return f"select {', '.join(columns)} from (values {', '.join('(' + ', '.join(map(_sql, (k, *r))) + ')' for k, r in enumerate(rows))}) t({', '.join(['k', *(f'c{i}' for i in range(len(rows[0])))])})"
+    """Per case the answer that is known and the orders that print it."""
+    cases = f"(values {', '.join('(' + ', '.join(map(_sql, (k, *r))) + ')' for k, r in enumerate(rows))}) t({', '.join(['k', *(f'c{i}' for i in range(len(rows[0])))])})"
+    return f"select cast(k as bigint) as trap, {', '.join(columns)}, count(*) as orders from orders join {cases} on o_orderkey % {len(rows)} = k group by all"
 
 
 QUERIES = {
-    "category_traps": (category_traps, _values([(c, s) for _, c, s in TRAPS], ["cast(k as bigint) as k", "cast(c0 as varchar) as category", "cast(c1 as varchar) as subcategory"])),
-    "odd_lines": (odd_lines, _values([r[1:] for r in ODD_LINES], ["cast(k as bigint) as k", "cast(c0 as bigint) as cents", "cast(c1 as date) as day", "cast(c2 as double) as sure"])),
-    "detected_boxes": (detected_boxes, " union all ".join(f"select cast({k} as bigint) as k, cast({a} as bigint) as x0, cast({b} as bigint) as y0, cast({c} as bigint) as x1, cast({d} as bigint) as y1" for k, (_, _, found) in enumerate(MAPS) for a, b, c, d in found)),
-    "line_widths": (line_widths, _values([r[2:] for r in LINE_WIDTHS], ["cast(k as bigint) as k", "cast(c0 as bigint) as resized", "cast(c1 as bigint) as total"])),
-    "head_lines": (head_lines, _values([r[1:] for r in HEADS], ["cast(k as bigint) as k", "c0 as named", "c1 as address"])),
+    "category_traps": (category_traps, _values([(c, s) for _, c, s in TRAPS], ["cast(c0 as varchar) as category", "cast(c1 as varchar) as subcategory"])),
+    "odd_lines": (odd_lines, _values([r[1:] for r in ODD_LINES], ["cast(c0 as bigint) as cents", "cast(c1 as date) as day", "cast(c2 as double) as sure"])),
+    "detected_boxes": (detected_boxes, BOXES),
+    "line_widths": (line_widths, WIDTHS),
+    "head_lines": (head_lines, _values([r[1:] for r in HEADS], ["c0 as named", "c1 as address"])),
 }
