@@ -61,7 +61,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _headed(spark: SparkSession, sf_dir: str, sums: DataFrame) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey"), F.add_months(F.col("o_orderdate").cast("date"), 12 * YEARS_ON).alias("day"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("misread"))
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
-    return sums.join(orders, "k").join(customer, "o_custkey").drop("o_custkey")
+    return sums.join(orders.join(customer, "o_custkey").drop("o_custkey"), "k")
 
 
 def printed_day() -> Column:
