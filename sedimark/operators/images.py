@@ -16,13 +16,14 @@ from ..session import ship
 
 
 def otsu(grey: np.ndarray) -> int:
-    """Threshold with the greatest variance between the classes below and above it."""
+    """Threshold with the greatest variance between the classes up to it and above it; 128 for a picture of one tone."""
     counts = np.bincount(grey.ravel().astype(np.uint8), minlength=256).astype(float)
     below, mass = np.cumsum(counts), np.cumsum(counts * np.arange(256))
     above = counts.sum() - below
     with np.errstate(divide="ignore", invalid="ignore"):
         between = below * above * (mass / below - (mass[-1] - mass) / above) ** 2
-    return int(np.nanargmax(np.where((below > 0) & (above > 0), between, 0)))
+    parted = (below > 0) & (above > 0)
+    return int(np.argmax(np.where(parted, between, -1))) if parted.any() else 128
 
 
 def local_mean(grey: np.ndarray, radius: int) -> np.ndarray:
@@ -256,7 +257,7 @@ LEAST_INK, MOST_INK, INK_POINTS = 0.002, 0.4, 40_000
 
 
 def skew(ink: np.ndarray, most: float = 10.0) -> float:
-    """Degrees of the text lines: the turn whose row sums vary most, to a tenth; 0 below a fifth and where ink is too little or too much for text.
+    """Degrees of the text lines: the slope along which row sums vary most, to a tenth; 0 below a fifth and where ink is too little or too much for text.
 
     Of more than INK_POINTS points every n-th is looked at.
     """
@@ -267,12 +268,11 @@ def skew(ink: np.ndarray, most: float = 10.0) -> float:
     y, x = y[::step], x[::step]
 
     def spread(angle: float) -> float:
-        a = np.deg2rad(angle)
-        rows = np.round(y * np.cos(a) - x * np.sin(a)).astype(int)
+        rows = np.floor(y - x * np.tan(np.deg2rad(angle)) + 0.5).astype(int)
         return float((np.bincount(rows - rows.min()).astype(float) ** 2).sum())
 
     best = max(np.arange(-most, most + 1), key=spread)
-    best = max(np.arange(best - 1, best + 1.01, 0.1), key=spread)
+    best = max((a for a in np.arange(best - 1, best + 1.01, 0.1) if abs(a) <= most + 1e-9), key=spread)
     return 0.0 if abs(best) < 0.2 else round(float(best), 1)
 
 
