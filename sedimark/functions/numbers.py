@@ -21,6 +21,11 @@ def amount(text: Column) -> Column:
     return F.when(text.rlike("\\d[.,]"), F.translate(plain, ",", ".").try_cast("double"))
 
 
+def line_amounts(text: Column) -> Column:
+    """The amounts of a text's lines, in order, of each the last one; lines without one give none, a null text no line."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), amount), lambda a: a.isNotNull())
+
+
 def rate(text: Column) -> Column:
     """The first percentage as a fraction; null without one or outside 0 to 1."""
     found = F.regexp_extract(text, "(\\d+(?:[.,]\\d+)?)\\s*%", 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import words
+from ..functions import numbers, words
 from ..operators import alignment, images, logs, stages
 from ..sources import receipts
 from ..sources.receipts import table
@@ -153,7 +153,27 @@ RELABELLED = rf"""with {LINES_SQL}, w as (select k, unnest(list_filter(regexp_sp
 select k, count(*) as words, count(*) as right_words, cast(sum(length(w)) as bigint) as characters from w group by k"""
 
 
+def amount_parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every whole document how many lines have an amount, the last of them, and the sum, in cents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", numbers.line_amounts(F.col("text")).alias("a"))
+    cents = F.transform("a", lambda a: F.round(a * 100).try_cast("bigint"))
+    total = F.aggregate(cents, F.lit(0).cast("decimal(38,0)"), lambda s, c: (s + F.coalesce(c, F.lit(0))).cast("decimal(38,0)"))
+    return docs.select("doc_id", F.size("a").cast("bigint").alias("lines"), F.try_element_at(cents, F.lit(-1)).alias("last_cents"), total.cast("string").alias("cents"))
+
+
+# This engine's patterns can't look around. Letters are set apart first, and a minus behind a digit or another minus becomes a letter glued to what follows, so
+# that word boundaries say where an amount may begin and end.
+_SPACES = r"\s\x{b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+LAST_AMOUNT = rf"""regexp_extract_all(regexp_replace(regexp_replace(line, '([A-Za-z_])', ' \1 ', 'g'), '([\d-])-+', '\1 x', 'g'), '-?\b\d{{1,3}}(?:[{_SPACES},.]?\d{{3}})*[.,][{_SPACES}]?\d{{1,2}}\b')[-1]"""
+LINE_CENTS = rf"""try_cast(round(100 * try_cast(concat(case when m like '-%' then '-' else '' end, regexp_replace(regexp_extract(m, '^(.*)[.,]', 1), '[^\d]', '', 'g'), '.', regexp_extract(m, '(\d{{1,2}})$', 1)) as double)) as bigint)"""
+DOCUMENT_AMOUNTS = f"""with d as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+m as (select doc_id, i, {LAST_AMOUNT} as m from d), c as (select doc_id, i, m, {LINE_CENTS} as c from m where m is not null),
+g as (select doc_id, count(*) as lines, arg_max_null(c, i) as last_cents, sum(c) as cents from c group by doc_id)
+select doc_id, coalesce(lines, 0) as lines, last_cents, cast(coalesce(cents, 0) as varchar) as cents from documents left join g using (doc_id)"""
+
+
 QUERIES = {
+    "amount_parse_documents": (amount_parse_documents, DOCUMENT_AMOUNTS),
     "log_envelope": (log_envelope, SENT_SQL),
     "relabelled_words": (relabelled_words, RELABELLED),
     "word_boxes": (word_boxes, WORD_BOXES),

@@ -58,3 +58,27 @@ def test_filled_fields(spark):
 
     df = spark.createDataFrame([("a", "", [1], None)], "a string, b string, c array<int>, d int")
     assert stages.filled_fields(df, ["a", "b", "c", "d"]).select("filled", "fields").first()[:] == (2, 4)
+
+
+def test_amounts_of_lines_by_two_patterns(spark):
+    """The amounts of random lines, by the engine's pattern and by that of its SQL."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from sedimark.plans.more_queries import LAST_AMOUNT, LINE_CENTS
+
+    rng = random.Random(7)
+    lines = ["".join(rng.choice("0123456789012345 .,.,--ax_ é\t$%") for _ in range(rng.randint(0, 24))) for _ in range(20_000)]
+    lines += ["3-4-5.00", "---5.00", "12.50-13.00", "5-1 234,00", "a5.00b", "TVQ 9,975%", "", "-1.234,5", "1.2.3.4"]
+    rows = pd.DataFrame({"i": range(len(lines)), "line": lines})
+    got = {r.i: r.c for r in spark.createDataFrame(rows).select("i", F.round(numbers.amount(F.col("line")) * 100).cast("bigint").alias("c")).collect()}
+    want = dict(duckdb.connect().execute(f"select i, case when m is not null then {LINE_CENTS} end from (select i, {LAST_AMOUNT} as m from rows)").fetchall())
+    assert [(lines[i], got[i], want[i]) for i in got if got[i] != want[i]] == [] and sum(v is not None for v in got.values()) > 2000
+
+
+def test_amounts_of_texts(spark):
+    rows = [("a", "x 1,50\n2,00 3,00\nnone\n-4.5"), ("b", ""), ("c", None), ("d", "7,25 " * 20_000)]
+    got = {r.d: list(r.a) for r in spark.createDataFrame(rows, "d string, t string").select("d", numbers.line_amounts(F.col("t")).alias("a")).collect()}
+    assert got == {"a": [1.5, 3.0, -4.5], "b": [], "c": [], "d": [7.25]}
