@@ -21,8 +21,13 @@ def _band(ground: str, width: int, at: Column, *runs: tuple[str, Column]) -> Col
     return F.concat(_run(ground, at), *[_run(c, n) for c, n in runs], _run(ground, width - used))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' keys, spread before a picture is drawn for each: few bytes of a file give many of pixels."""
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def _drawn(spark: SparkSession, sf_dir: str, width: int, height: int, pixels: Column, *marks: Column) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("k"), *marks).select(F.col("k").cast("string").alias("path"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(pixels).alias("pixels"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").cast("bigint").alias("k"), *marks).select(F.col("k").cast("string").alias("path"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(pixels).alias("pixels"))
 
 
 def framed_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ select k, case when whole then 'perspective' when kind in (1, 2) then 'box' else
 
 def straightened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tilt of every part's page of four lines, from -4 to 4 degrees by its key, and the size of the page turned back."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("k"), (F.col("p_partkey") % 21).cast("bigint").alias("tilted"))
+    part = _parts(spark, sf_dir).select(F.col("p_partkey").cast("bigint").alias("k"), (F.col("p_partkey") % 21).cast("bigint").alias("tilted"))
     slope = F.tan(F.radians((F.col("tilted") - 10) * 0.4))
     inked = lambda i: F.pmod(F.floor(i / 400) - F.floor(10 + slope * (i % 400) + 0.5), F.lit(20)) == 0
     page = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(400 * 80 - 1)), lambda i: F.when(inked(i), DARK).otherwise(BRIGHT)), ""))
