@@ -32,6 +32,10 @@ from ._common import map_arrow, map_rows, materialize
 GROUP_BYTES = 16_000_000
 #: Documents and postings of a block; documents that are scored together; intervals that are split together.
 BLOCK_DOCS, BLOCK_POSTINGS, LEAF, WIDTH = 8192, 1_000_000, 48, 64
+#: Parts of the answer to a group of items, at least, and rows that meet in one.
+PARTS, PART_ROWS = 8, 1_000_000
+#: Salts of an item's hits: the first ranking is among those of one salt.
+SALTS = 64
 #: Bytes of a text that are split into terms at a time.
 PIECE = 1 << 22
 
@@ -257,10 +261,12 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str =
     pieces of bounded size. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    asked = materialize(_item_terms(items, item_id, item_text))
+    asked = _item_terms(items, item_id, item_text)
     total = asked.agg(F.sum(F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + 8))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
-    out = spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
+    if groups > 1:  # one group is collected at once; written, a few items would make a file for every shuffle partition
+        asked = materialize(asked)
+    out = None
     for g in range(groups):
         mine = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()  # GROUP_BYTES or so
         vocabulary = sorted({bytes(w) for r in mine for w in r.terms})
@@ -280,8 +286,10 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str =
         names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(mine)], "item int, item_id bigint")
         # k rows a task and item: first the best of some tasks each, then of these
         order = (F.desc("score"), F.asc_nulls_last("doc_id"))
-        salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+        salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("item", "salt").orderBy(*order))).where(F.col("rank") <= k)
         best = some.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("rank") <= k)
-        out = out.unionByName(best.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"))
-    return out
+        named = best.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
+        named = named.coalesce(max(PARTS, len(mine) * SALTS * k // PART_ROWS))  # else a few items make a file for every shuffle partition
+        out = named if out is None else out.unionByName(named)
+    return spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint") if out is None else out

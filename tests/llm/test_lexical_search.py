@@ -2,10 +2,12 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 from sedimark.llm import lexical_search
+from sedimark.llm._common import written
 from sedimark.llm.lexical_search import Block, rank_documents
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -65,6 +67,23 @@ def test_production_parameters_give_the_same(spark):
     assert Counter(tuple(r) for r in run(spark, docs, items, 1).collect()) == brute(docs, items)
 
 
+def test_few_items_write_no_files(spark):
+    docs, items = corpus(6)
+    before, settings = written(), {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        got = run(spark, docs, items)
+        assert got.rdd.getNumPartitions() <= lexical_search.PARTS
+        assert Counter(tuple(r) for r in got.collect()) == brute(docs, items)
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    files = [f for table in written() - before for f in Path(table.removeprefix("file://")).glob("part-*.parquet")]
+    assert 2 <= len(files) <= 6  # postings and hits of three tasks, however many shuffle partitions there are
+
+
 def test_empty_tables(spark):
     docs, items = corpus(1, 30)
     assert run(spark, [], items).collect() == []
