@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -26,6 +27,46 @@ def test_ids_are_the_library_s():
     assert got == [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
 
 
+FORMS = ["word", "Word", "WORD.", "word,", "wOrd!!", "été", "Été", "ÉTÉ;", "ß", "ẞ", "STRASSE", "ÿ", "Ÿ", "H\u0331", "I\u0307", "A\u030a", "a=\u0338", "x×y", "÷", "ª", "µm", "don't", "Don'T.", "ab'", "a_b", "a^", "{b}", "b|", "b<|endoftext|>", "B<|ENDOFTEXT|>", "a1", "a.b", "...", "q" * 3000, "Q" * 3000 + "?!"]
+
+
+def test_forms_of_a_word_keep_the_library_s_ids():
+    library, own = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    rng = random.Random(5)
+    texts = [*FORMS, *(" ".join(rng.choices(FORMS, k=40)) for _ in range(50))]
+    texts += ["".join(rng.choice("abcEFGéÉÿßñÑ") for _ in range(rng.randint(1, 12))) + rng.choice(["", ".", ",", "$$$", ".###", "&&&", "-", "'", ">"]) for _ in range(3000)]
+    for _ in range(2):  # the second time from what is remembered
+        got = [np.frombuffer(x, "<u2").tolist() for x in own.encode(pa.array(texts))]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_spelling_rules_go_to_the_library(tmp_path):
+    spec = json.loads(Tokenizer.from_file(PATH).to_str())
+    spec["normalizer"]["normalizers"].pop()  # letters keep their case
+    (path := tmp_path / "other.json").write_text(json.dumps(spec))
+    library, own = Tokenizer.from_file(str(path)), packing.WordIds(str(path))
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(pa.array(FORMS))] == [library.encode(t, add_special_tokens=False).ids for t in FORMS]
+
+
+def test_forms_of_a_word_are_encoded_once():
+    seen = []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, words, **more):
+            seen.extend(w for text in words for w in text.split())
+            return self.inner.encode_batch_fast(words, **more)
+
+    own = packing.WordIds(PATH)
+    for name in ("tokenizer", "bare"):
+        if hasattr(own, name):
+            setattr(own, name, Watched(getattr(own, name)))
+    own.encode(pa.array(["word Word WORD, word.", "wORd, Word!! it's"]))
+    assert sorted(seen) == ["!!", ",", ".", "it's", "word"]
+
+
 @pytest.mark.parametrize("window", [64, 4096])
 def test_packing_is_gapless_and_whole(spark, window):
     rng = random.Random(window)
