@@ -37,6 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+#: Tables are read only after their write has returned, so they need no _SUCCESS, for whose two files Hadoop starts a process each in the driver.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
 #: Tables that this driver has written and not deleted yet.
 _WRITTEN: list[str] = []
 
@@ -49,7 +52,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sedimark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **UNMARKED).parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -223,13 +223,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, doc_i
     for row in totals:
         bases.append((row["part"], base))
         base += row["total"]
-    width = word_ids(tokenizer).width
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row, at, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-                wide = memoryview(np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4").tobytes())
+                packed = ids.as_buffer()
+                wide = memoryview(np.frombuffer(packed, f"<u{packed.size // n}").astype("<u4").tobytes())
                 start = 0
                 while start < n:
                     sequence, offset = divmod(at + start, window)

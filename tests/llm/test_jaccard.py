@@ -86,6 +86,36 @@ def test_components_of_chains_and_stars(spark, monkeypatch, hot):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100, 200: 200} | {i: 300 for i in [*range(300, 330), 350]}
 
 
+def test_stars_need_no_round_and_small_links_no_broadcast(spark, monkeypatch):
+    tables, asked = [], []
+    monkeypatch.setattr(graph, "materialize", lambda df: tables.append(df) or _common.materialize(df))
+    monkeypatch.setattr(graph.F, "broadcast", lambda df: asked.append(df) or df)
+    stars = [(i, i % 3) for i in range(3, 60)] + [(70, 70)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(stars, "u bigint, v bigint")).collect()}
+    assert got == {i: i % 3 for i in range(60)} | {70: 70} and len(tables) == 1
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame([*stars, (58, 59), (5, 80), (90, 80)], "u bigint, v bigint")).collect()}
+    assert got == {i: 0 if i % 3 == 0 else 1 for i in range(60)} | {70: 70, 80: 1, 90: 1} and not asked
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 5])
+def test_components_of_random_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)]
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    got = graph.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in parent)
+
+
 def test_large_clusters_are_opened_in_steps(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 2)
     monkeypatch.setattr(jaccard, "FIRST", 1)

@@ -98,3 +98,9 @@ def test_packing_is_gapless_and_whole(spark, window):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), PATH, 2).collect() == []
+
+
+def test_the_driver_loads_no_tokenizer(spark):
+    packing.word_ids.cache_clear()
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id bigint, text string")
+    assert packing.pack(docs, PATH, 2).count() == 2 and packing.word_ids.cache_info().currsize == 0

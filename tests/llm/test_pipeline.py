@@ -113,3 +113,10 @@ def test_run_leaves_only_what_its_result_reads(spark):
     assert n > 0 and len(_common.written() - before) <= 2 and other.count() == 3
     _common.purge(spark, before=before)
     assert _common.written() == before
+
+
+def test_written_tables_have_no_marker(spark):
+    table = _common.materialize(spark.range(3))
+    names = {p.name for p in Path(table.written_to.removeprefix("file:")).resolve().iterdir()}
+    assert names and not [n for n in names if "SUCCESS" in n] and table.count() == 3
+    _common.discard(table)
