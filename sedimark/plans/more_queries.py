@@ -141,11 +141,12 @@ def relabelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of printed words (amounts and names) carried to a reading in lower case with the lines in reverse order: per receipt the words, those
     labelled as printed, and the characters printed."""
     label = lambda w: F.when(w.rlike("^[0-9]"), "PRICE").otherwise("NAME")
-    t = receipts.lines(spark, sf_dir).select("k", "line", F.filter(F.split("text", " +"), lambda w: w.rlike("[A-Za-z0-9]")).alias("w"))
-    g = t.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "w"))).alias("l"))
+    printed = receipts.lines(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
+    split = lambda t: F.filter(F.split(t, " +"), lambda w: w.rlike("[A-Za-z0-9]"))
+    g = alignment.dealt(printed).select("k", F.transform("l", lambda x: F.struct(x["line"].alias("line"), split(x["text"]).alias("w"))).alias("l"))
     words = lambda l: F.flatten(F.transform(l, lambda x: x["w"]))  # noqa: E731, E741
     docs = g.select("k", F.transform(words(F.col("l")), lambda w: F.struct(w.alias("word"), label(w).alias("label"))).alias("source"), F.transform(words(F.reverse("l")), F.lower).alias("read"), F.flatten(F.transform(F.reverse("l"), lambda x: F.array_repeat(x["line"].cast("int"), F.size(x["w"])))).alias("lines"))
-    done = alignment.relabel_documents(docs).join(docs.select("k", F.transform("read", label).alias("want")), "k")
+    done = alignment.relabel_documents(docs.withColumn("want", F.transform("read", label)), "want", deal=False)
     return done.select("k", F.size("labels").cast("bigint").alias("words"), F.size(F.filter(F.arrays_zip("labels", "want"), lambda x: x["labels"] == x["want"])).cast("bigint").alias("right_words"), "characters")
 
 

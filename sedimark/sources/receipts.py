@@ -85,8 +85,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     looks like a tax, 4 no TVQ line.
     """
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))
-    sold = _priced(spark, sf_dir).join(names, "part", "left")
-    bags = sold.groupBy("k").agg(F.count("*").alias("lines"), F.sum("net").alias("sub"), F.coalesce(F.sum(F.when(F.col("taxable"), F.col("net"))), F.lit(0)).cast("bigint").alias("base"), F.array_sort(F.collect_list(F.struct("at", "name", "net"))).alias("sold"))
+    # Only what an item is sorted by goes over the network; its price and tax are worked out from it where the items of an order are together.
+    sold = _priced(spark, sf_dir).select("k", "at", F.col("at.l_partkey").alias("part")).join(names, "part", "left")
+    bags = sold.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("sold"))
+    gross, disc = (lambda x, c=c: F.round(x["at"][c] * 100).cast("bigint") for c in ("l_extendedprice", "l_discount"))
+    net = lambda x: F.call_function("div", gross(x) * (100 - disc(x)) + 50, F.lit(100))
+    bags = bags.select("k", F.size("sold").alias("lines"), F.transform("sold", lambda x: F.struct(x["name"].alias("name"), net(x).alias("net"), (x["at"]["l_tax"] > 0).alias("taxable"))).alias("sold"))
+    known = F.transform(F.filter("sold", lambda x: x["net"].isNotNull()), lambda x: F.struct(x["net"].alias("net"), F.when(x["taxable"], x["net"]).otherwise(0).alias("due")))
+    sum_of = lambda c: F.aggregate("known", F.lit(0).cast("bigint"), lambda s, x: s + x[c])
+    bags = bags.withColumn("known", known).withColumn("sub", F.when(F.size("known") > 0, sum_of("net"))).withColumn("base", sum_of("due")).drop("known")
     head = _headed(spark, sf_dir, _with_taxes(bags))
     shop = F.element_at(F.create_map(*[F.lit(x) for pair in SHOPS.items() for x in pair]), F.col("segment"))
     card = F.element_at(F.array(*[F.lit(c) for c in CARDS]), (F.col("k") % 4 + 1).cast("int"))
