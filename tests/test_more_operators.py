@@ -66,3 +66,11 @@ def test_small_ones(spark):
     truths = spark.createDataFrame([("a", 1.0, 2.0, 0.1, 0.2), ("b", 1.0, 2.0, 0.1, None)], "doc string, subtotal double, total double, tps double, tvq double")
     words = spark.createDataFrame([("a", "TPS", "tps"), ("a", "--", "tvq"), ("b", "TVQ", "tvq")], "doc string, text string, field string")
     assert {r.doc: [t.name for t in r.taxes] for r in readers.bench_truth(truths, words).collect()} == {"a": ["TPS"], "b": []}
+
+
+def test_entities_of_documents_read_twice_stay_where_their_words_are(spark):
+    words = spark.createDataFrame([(1, v, ix, f"w{ix}", label, False, 0.9, 1.0) for v in (True, False) for ix, label in enumerate(["A", "A", "O", "A", "B"])], "k bigint, v boolean, ix int, text string, label string, begin boolean, score double, conf double")
+    found = entities.entities(words.repartition(4, "k"), ["k", "v"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in found.select("v", "entity_ix", "label", "text", "first_word").collect()) == [(v, i, label, text, at) for v in (False, True) for i, (label, text, at) in enumerate([("A", "w0 w1", 0), ("A", "w3", 3), ("B", "w4", 4)])]
