@@ -84,7 +84,7 @@ def straightened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(400 * 80 - 1)), lambda i: F.when(inked(i), DARK).otherwise(BRIGHT)), ""))
     pages = part.select("tilted").distinct().select("tilted", page.alias("pixels"))  # 21 pages at most
     drawn = part.join(F.broadcast(pages), "tilted").select(F.col("k").cast("string").alias("path"), F.lit(400).alias("width"), F.lit(80).alias("height"), "pixels")
-    done = photos.through(drawn, ["straighten"])
+    done = photos.through(drawn, ["straighten"], pixels=False)
     return done.select(F.col("path").cast("bigint").alias("k"), F.round(F.col("tilt") * 10).cast("bigint").alias("tenths"), F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
 
 

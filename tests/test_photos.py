@@ -110,3 +110,24 @@ def test_rules_of_the_pass_are_those_of_the_columns(spark):
 def test_worst_note(spark):
     got = spark.createDataFrame([(0.8, None), (None, None), (0.5, 0.2)], "a double, b double").select(photos.worst_note(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [0.8, 1.0, 0.2]
+
+
+def test_pictures_that_come_again_are_worked_out_once(spark, monkeypatch):
+    """Each worker counts the pages it straightens: two different ones among sixty, in one task."""
+    page = lambda n: bytes(30 if (i // 40 + n * i % 40 // 8) % 10 == 0 else 220 for i in range(1600))
+    rows = spark.createDataFrame([(str(i), 40, 40, page(i % 2) if i % 3 else None) for i in range(60)], "path string, width int, height int, pixels binary").coalesce(1)
+    monkeypatch.setattr(photos, "STAGES", photos.STAGES | {"straighten": (_counting(photos.STAGES["straighten"][0]), "ink double, tilt double, seen int")})
+    got = photos.through(rows, ["straighten"], pixels=False).collect()
+    assert len(got) == 60 and sum(not r.readable for r in got) == 20 and max(r.seen for r in got if r.readable) == 2
+    assert all(r.pixels is None for r in got) and len({(r.tilt, r.ink) for r in got if r.readable}) == 2
+
+
+def _counting(step):
+    calls = []
+
+    def counted(grey):
+        calls.append(1)
+        picture, figures = step(grey)
+        return picture, figures | {"seen": len(calls)}
+
+    return counted
