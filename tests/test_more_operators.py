@@ -74,3 +74,9 @@ def test_entities_of_documents_read_twice_stay_where_their_words_are(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in found.select("v", "entity_ix", "label", "text", "first_word").collect()) == [(v, i, label, text, at) for v in (False, True) for i, (label, text, at) in enumerate([("A", "w0 w1", 0), ("A", "w3", 3), ("B", "w4", 4)])]
+
+
+def test_draws_of_a_receipt_are_not_repeated(spark):
+    """An expression inside a lambda is computed as often as it is written: each draw of a line stands there once or in two branches."""
+    made = generator.receipts(spark, 10).select("lines")._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count(str(generator._A)) < 200
