@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sedimark.operators import engines, entities, generator, images, layout, logs, reading, stages
+from sedimark.operators import brands, categories, collect, engines, entities, generator, images, layout, logs, reading, stages
 from sedimark.sources import readers
 
 BLOCK = "k int, ix int, text string, x double, y double, w double, h double, conf double"
@@ -80,3 +80,26 @@ def test_draws_of_a_receipt_are_not_repeated(spark):
     """An expression inside a lambda is computed as often as it is written: each draw of a line stands there once or in two branches."""
     made = generator.receipts(spark, 10).select("lines")._jdf.queryExecution().optimizedPlan().toString()
     assert made.count(str(generator._A)) < 200
+
+
+def test_labelled_candidates_send_no_text_of_lines_and_no_words_twice(spark):
+    lines = spark.createDataFrame([(1, 0, "Épicerie"), (1, 1, "TPS 5% 0,50"), (1, 2, "TOTAL 10,50"), (1, 3, "SOUS-TOTAL 10,00")], "k bigint, line int, text string")
+    label = F.when(F.col("line") == 1, "TAX").when(F.col("line") == 2, "TOTAL").when(F.col("line") == 3, "TOTAL").otherwise("O")
+    words = lines.select("k", F.col("line").alias("ix"), "line", "text", label.alias("label"), F.lit(True).alias("begin"), F.lit(0.9).alias("score"), F.lit(1.0).alias("conf"))
+    found = collect.labelled_candidates(words, lines)
+    r = found.first()
+    assert [(x.value, x.line) for x in r.l_totals] == [(10.5, 2)] and [(x.name, x.rate, x.amount, x.line) for x in r.l_taxes] == [("TPS 5% 0,50", 0.05, 0.5, 1)] and r.l_subtotals == []
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_shop_below_the_first_amount(spark):
+    as_of = F.lit("2029-12-31").cast("date")
+    rows = [(1, 0, "12,50 $"), (1, 1, "Garage Bleu"), (2, 0, "Tel: 418"), (2, 1, "3,00"), (2, 2, "2024-01-01"), (2, 3, "Pharmacie Roy"), (3, 0, "1,00"), (4, 0, "Boutique Ida"), (4, 1, "2,00"), (4, 2, "Garage Bleu"), (5, 13, "Garage Bleu")]
+    got = reading.merchant(spark.createDataFrame(rows, "k bigint, line int, text string"), brands.catalogue(categories.keywords(spark)), as_of)
+    assert {r.k: (r.merchant, r.merchant_conf) for r in got.collect()} == {1: ("Garage Bleu", 0.7), 2: ("Pharmacie Roy", 0.7), 4: ("Boutique Ida", 0.7)}
+
+
+def test_date_after_accents_and_marks(spark):
+    rows = [(1, 0, "Payé le 3 févr. 2024"), (1, 1, "3 février 2024"), (2, 0, "20́24-05-06"), (3, 0, "12/11/24"), (4, 0, "prix 12,34"), (5, 0, None)]
+    got = reading.date(spark.createDataFrame(rows, "k bigint, line int, text string"), F.lit("2026-12-31").cast("date"))
+    assert {r.k: str(r.date) for r in got.collect()} == {1: "2024-02-03", 2: "2024-05-06", 3: "2024-11-12"}
